@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. The full-Unicode lower() gives the same, faster, where no other capital occurs."""
-    other_capitals = text.rlike(r"[^\x00-\x7F&&[^\p{Lu}\p{Lt}\p{Nl}\p{So}]]")
+    other_capitals = text.rlike(r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]")
     return F.when(other_capitals, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
