@@ -8,8 +8,8 @@ only these lists are compared and moved: the text of a long document is not
 shuffled as a whole, and repeated chunks are merged before the shuffle.
 
 Defined cases: null text counts as empty; an empty text has an empty recipe, so all
-empty texts are equal; rows with a null doc_id count in ``group_size`` but are
-never kept; rows that repeat a doc_id and text are one document and share its fate;
+empty texts are equal; rows with a null doc_id count in ``group_size`` and
+always stay, as no other row can stand for them by id; rows that repeat a doc_id and text are one document and share its fate;
 extra columns are left alone. An empty table gives an empty result.
 """
 
@@ -92,12 +92,12 @@ def exact_dedup(documents: DataFrame, id_bits: int = 64) -> DataFrame:
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(True)).alias("kept"),
         "text_sha256",
     )
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that ``exact_dedup`` keeps, with all their columns."""
-    kept = exact_dedup(documents).filter("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi")
+    dropped = exact_dedup(documents).filter(~F.col("kept")).select("doc_id").distinct()
+    return documents.join(dropped, "doc_id", "left_anti").select(documents.columns)
