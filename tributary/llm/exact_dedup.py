@@ -43,17 +43,15 @@ def chunk_id(chunk: Column, bits: int = 64) -> Column:
     return h if bits == 64 else F.pmod(h, F.lit(1 << bits))
 
 
-def ambiguous_chunks(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """(id, chunk, rank) of every chunk whose identifier also stands for another content."""
-    distinct = (
-        docs.select(F.explode(chunks_of(F.col("norm"))).alias("chunk"))
-        .select(chunk_id(F.col("chunk"), bits).alias("id"), "chunk")
-        .groupBy("id", "chunk")
-        .agg(F.count("*").alias("uses"))
-    )
-    several = distinct.groupBy("id").agg(F.count("*").alias("contents")).filter("contents > 1").select("id")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("chunk"))
-    return distinct.join(several, "id", "left_semi").select("id", "chunk", rank.alias("rank"))
+def distinct_chunks(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(id, chunk) of every different chunk of the texts in ``norm``."""
+    chunks = docs.select(F.explode(chunks_of(F.col("norm"))).alias("chunk"))
+    return chunks.groupBy(chunk_id(F.col("chunk"), bits).alias("id"), "chunk").agg(F.count("*").alias("uses"))
+
+
+def ambiguous_ids(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """The identifiers that stand for more than one content; usually none."""
+    return distinct_chunks(docs, bits).groupBy("id").agg(F.count("*").alias("contents")).filter("contents > 1").select("id")
 
 
 def recipes(documents: DataFrame, id_bits: int = 64) -> DataFrame:
@@ -68,9 +66,11 @@ def recipes(documents: DataFrame, id_bits: int = 64) -> DataFrame:
         F.sha2("norm", 256).alias("text_sha256"),
         F.transform(chunks_of(F.col("norm")), lambda c: chunk_id(c, id_bits)).alias("recipe"),
     )
-    ambiguous = cut(ambiguous_chunks(docs, id_bits))
-    if ambiguous.isEmpty():
+    several = cut(ambiguous_ids(docs, id_bits))
+    if several.isEmpty():
         return cut(plain.withColumn("amend", F.lit(None).cast("array<struct<pos:int,rank:int>>")))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("chunk")).alias("rank")
+    ambiguous = distinct_chunks(docs, id_bits).join(several, "id", "left_semi").select("id", "chunk", rank)
     placed = (
         docs.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.posexplode(chunks_of(F.col("norm"))).alias("pos", "chunk"))
         .withColumn("id", chunk_id(F.col("chunk"), id_bits))
