@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .simhash import near_duplicates
+from .warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,9 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through monolithic archives, their normal form and back."""
+    return archive_round_trip(table(spark, sf_dir, "pages"))
