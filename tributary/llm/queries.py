@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_conversations, read_back
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
@@ -55,3 +56,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through monolithic archives, their normal form and back."""
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return read_back(format_conversations(rows))
