@@ -11,6 +11,7 @@ from .chat import format_conversations, read_back
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .secrets import scan
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .warc import archive_round_trip
@@ -74,3 +75,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without their repeated passages."""
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return scan(table(spark, sf_dir, "documents"))
