@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
 from .common import table
+from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .secrets import scan
@@ -81,3 +82,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, with the items."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -2,7 +2,7 @@
 
 ``word_bpe_49k.json`` composes characters (NFC), lower-cases, splits at white space and then into runs of
 letters, single digits and runs of other marks. None of these steps looks across white space, so the ids
-of a text are those of its words one after another; a word is encoded once per worker. Texts that hold
+of a text are those of its words one after another; a run of letters is encoded once per worker. Texts that hold
 a special token of the file, or a control character on whose nature as white space the libraries
 disagree, are encoded whole. The tests hold both against the library on whole texts.
 """
@@ -10,13 +10,14 @@ disagree, are encoded whole. The tests hold both against the library on whole te
 from __future__ import annotations
 
 import array
+import re
 from itertools import filterfalse
 
 import numpy as np
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Pre-tokens that are encoded in one call, one after another.
 LINE = 500
 
@@ -39,17 +40,19 @@ def load(name: str = WORD_TOKENIZER) -> WordTokenizer:
     return _loaded[name]
 
 
+#: Letters and numbers that lower-case Latin text can hold, up to U+024F before lower-casing.
+LETTERS, NUMBERS = r"a-zªµºß-öø-\u02af\u2c65\u2c66", "0-9²³¹¼½¾"
+
+
 class WordTokenizer:
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.odd = regex.compile("[\x1c-\x1f]|" + "|".join(map(regex.escape, self.special)))
+        self.odd = [*map(chr, range(0x1C, 0x20)), *(t.content for t in self.whole.get_added_tokens_decoder().values())]
         #: Characters that lower() and NFC treat alike in Python and in the library.
-        self.latin = regex.compile(r"[\x21-įı-ɏ]*").fullmatch
-        self.pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.beyond = re.compile(r"[^\x00-\u012f\u0131-\u024f]").search
+        self.split = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{LETTERS}{NUMBERS}]+").findall
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = normalizers.Sequence([])
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence(
@@ -58,50 +61,52 @@ class WordTokenizer:
         vocabulary = self.whole.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        #: Ids of pre-tokens, and of words as they stand in a text, which have "\0" before them.
+        self.known: dict[str, bytes] = {}
 
     def _exact(self, text: str) -> bytes:
         return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _keys(self, text: str) -> list[str] | None:
+        """What the text is made of, or None if it is to be encoded whole."""
+        if any(x in text for x in self.odd):
+            return None
+        if not self.beyond(text):
+            return self.split(text.lower())
+        keys: list[str] = []
+        for word in text.split():
+            if self.beyond(word):
+                keys.append("\0" + word)
+            else:
+                keys += self.split(word.lower())
+        return keys
+
+    def _learn(self, missing: set[str]) -> None:
+        parts = [k for k in missing if k[0] != "\0"]
         for k in range(0, len(parts), LINE):
             line = parts[k : k + LINE]
-            ids = np.array(self.pieces.encode(" ".join(line), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
             if len(ends) == len(line):
-                start = 0
-                for part, end in zip(line, ends.tolist(), strict=True):
-                    self.parts[part] = ids[start:end].tobytes()
-                    start = end
+                data = ids.tobytes()
+                self.known.update(zip(line, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:
-                self.parts |= {part: self._exact(part) for part in line}
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        split = {w: self.pretokens(w.lower()) for w in missing if self.latin(w)}
-        new = {p for parts in split.values() for p in parts if p not in self.parts}
-        self._learn_parts(list(new))
-        known = self.parts.__getitem__
-        self.words |= {w: b"".join(map(known, parts)) for w, parts in split.items()}
-        self.words |= {w: self._exact(w) for w in missing if w not in split}
+                self.known |= {part: self._exact(part) for part in line}
+        self.known |= {k: self._exact(k[1:]) for k in missing if k[0] == "\0"}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers, without special tokens added."""
-        split = [None if self.odd.search(t) else t.split() for t in texts]
-        missing: set[str] = set()
-        for words in split:
-            missing.update(filterfalse(self.words.__contains__, words or ()))
-        if len(missing) + len(self.words) > 4 * CACHE_WORDS and len(texts) > 1:
-            half = len(texts) // 2
-            return self.encode(texts[:half]) + self.encode(texts[half:])
-        if missing:
-            had = len(self.words)
-            self._learn(missing)
-            if len(self.words) < had:  # it started afresh; what these texts need may be gone
-                self._learn(set().union(*(w or () for w in split)) - self.words.keys())
-        known = self.words.__getitem__
-        return [self._exact(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
+        out = []
+        for text in texts:
+            keys = self._keys(text)
+            if keys is None:
+                out.append(self._exact(text))
+                continue
+            missing = set(filterfalse(self.known.__contains__, keys))
+            if missing:
+                if len(self.known) + len(missing) > CACHE_WORDS:
+                    self.known.clear()
+                    missing = set(keys)
+                self._learn(missing)
+            out.append(b"".join(map(self.known.__getitem__, keys)))
+        return out
