@@ -1,0 +1,105 @@
+"""Rendering of HTML: layouts case by case, and all visible words against the standard library's parser."""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tributary.llm.html_text import HIDDEN, VOID, page_texts, render_page
+
+CASES = {
+    "<p>a<p>b": "a\n\nb",
+    "a  <b>b</b>\n c": "a b c",
+    "<div>a</div><div>b</div>c": "a\nb\nc",
+    "a<br>b<br/>c</br>d": "a\nb\nc\nd",
+    "<h1>T</h1><p>x": "T\n\nx",
+    "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>": "- a\n- b\n  - c\n- d",
+    "<ol start=9><li>a</li><li>b</li><li value=3>c</ol>": "9. a\n10. b\n3. c",
+    "<ul><li><p>a</p><p>b</p></ul>": "- a\n\n  b",
+    "<table><tr><th>Name<th>N<tr><td>pear<td>1<tr><td>fig<td>200</table>": "Name  N\npear  1\nfig   200",
+    "<table><caption>C</caption><tr><td colspan=2>wide cell here<td>z<tr><td>a<td>b<td>c</table>": "C\nwide cell here  z\na  b            c",
+    "<table><tr><td rowspan=2>x<td>1<tr><td>2</table>": "x  1\n   2",
+    "<table><tr><td>a<br>b<td>c</table>": "a  c\nb",
+    "<pre>\n x\n   y </pre>z": " x\n   y\n\nz",
+    "<title>T &amp; U</title><script>var t='</p>';</script><style>p{}</style>v": "v",
+    "<p hidden>a</p><p style='display: none'>b</p><i style='visibility:hidden'>c</i>d": "d",
+    "<details><summary>s</summary>more</details><details open><summary>t</summary>body</details>": "s\nt\nbody",
+    "&copy; &lt;b&gt; &#233; &nbsp;x": "© <b> é \xa0x",
+    "<!-- no --><!doctype html>a<!-- open": "a",
+    "a < b and c > d <3": "a < b and c > d <3",
+    "<blockquote>q<p>r</blockquote>s": "    q\n\n    r\n\ns",
+    "<dl><dt>t<dd>d<dt>u</dl>": "t\n    d\nu",
+    '<a title="x>y">l</a> <img alt=no>': "l",
+    "<p>a</div></span>b</p>": "ab",
+    "<h1>a<h2>b</h1>c": "a\n\nb\n\nc",
+    "<head><title>x</title><body>y": "y",
+    "<table><tr><td><table><tr><td>1<td>2</table><td>3</table>": "1  2  3",
+    "<div>" * 5000 + "deep": "deep",
+    "": "",
+    "   ": "",
+    "<p>a\0b": "ab",
+    "<textarea>a\n<b></textarea>": "a\n<b>",
+    "x<unknown>y</unknown>z": "xyz",
+}
+
+
+@pytest.mark.parametrize("page", CASES)
+def test_layouts(page):
+    assert render_page(page)[1] == CASES[page]
+
+
+class Visible(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.off, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in HIDDEN and tag != "head":
+            self.off += 1
+        if tag not in ("b", "a", "i", "span"):
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in HIDDEN and tag != "head":
+            self.off -= 1
+        if tag not in ("b", "a", "i", "span"):
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.out.append(data)
+
+
+def test_all_visible_words_of_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in page_texts(pages).collect()}
+    for r in pages.collect():
+        parser = Visible()
+        parser.feed(r.html)
+        parser.close()
+        mine = [w for w in got[r.page_id].text.split() if w != "-"]
+        assert mine == [w for w in "".join(parser.out).split() if w != "-"]
+        assert got[r.page_id].title == " ".join(__import__("html").unescape(re.search("<title>(.*?)</title>", r.html, re.S)[1]).split())
+    assert len(got) == pages.count()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "<td rowspan=3 colspan=2>", "</table>", "<b>", "</b>", "<br>", "<pre>", "</pre>", "<ol>", "</ol>", "<details open>", "</td>", "word", "two words ", "<div hidden>", "</div>", "<", ">", '"', "<a href='", "&amp"]), max_size=40).map("".join))
+def test_any_markup_is_rendered(page):
+    text = render_page(page)[1]
+    assert text == text.strip("\n") and "\n\n\n" not in text or "<pre>" in page or "<br>" in page
+    if not {"hidden", "<a href='", '"'} & set(re.findall(r"hidden|<a href='|\"", page)) and "<<" not in page and not re.search(r"<(?![a-z/])", page):
+        assert text.count("word") == page.count("word")
+
+
+def test_nulls_and_repeats(spark):
+    rows = [(1, None), (2, ""), (None, "<p>x"), (3, "<li>y"), (3, "<li>y"), (4, "word " * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "1 title", "2 text")
+    got = sorted(((r.page_id or 0, r.text[:5]) for r in page_texts(pages).collect()))
+    assert got == [(0, "x"), (1, ""), (2, ""), (3, "y"), (3, "y"), (4, "word ")]
+    assert page_texts(pages.limit(0)).count() == 0
+    assert not VOID & HIDDEN

@@ -11,6 +11,7 @@ from .chat import format_conversations, read_back
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .html_text import page_texts
 from .packing import pack_documents
 from .secrets import scan
 from .simhash import near_duplicates
@@ -95,3 +96,9 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages rendered as text."""
+    return page_texts(table(spark, sf_dir, "pages"))
