@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CACHED_PAIRS = 250_000
 
@@ -19,7 +20,7 @@ def _ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _character_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series([None if a is None or b is None else _ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
@@ -66,16 +67,15 @@ def contains_either(left: Column, right: Column) -> Column:
     return (left != "") & (right != "") & (F.contains(left, right) | F.contains(right, left))
 
 
-def name_signals(left: Column, right: Column) -> Column:
-    """struct of what the reports ask of two lightly normalised names."""
-    a, b = (F.array_distinct(F.filter(F.split(x, " "), lambda t: t != "")) for x in (left, right))
+def name_signals(left: Column, right: Column, left_tokens: Column, right_tokens: Column) -> Column:
+    """struct of what the reports ask of two lightly normalised names and their sets of informative tokens."""
     return F.struct(
         (left == right).alias("exact"),
         character_similarity(left, right).alias("similarity"),
         edit_similarity(left, right).alias("edit_similarity"),
         contains_either(left, right).alias("contains"),
-        shared(a, b).alias("shared_tokens"),
-        overlap_coefficient(a, b).alias("token_overlap"),
+        shared(left_tokens, right_tokens).alias("shared_tokens"),
+        overlap_coefficient(left_tokens, right_tokens).alias("token_overlap"),
     )
 
 
@@ -99,7 +99,7 @@ def marked(markers: tuple[str, ...]):
     """A column function: does a token stand with a marker in one part of a text, in either order?"""
     either = "|".join(map(re.escape, markers))
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def near_marker(tokens: pd.Series, texts: pd.Series) -> pd.Series:
         def hit(token: str | None, text: str | None) -> bool:
             if not token or not text:

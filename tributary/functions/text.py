@@ -12,6 +12,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that say nothing about a name or an address, and words that mark kinds of places.
 COMMON_NAME_TOKENS = ("the", "and", "company", "co", "corporation", "corp", "inc", "incorporated", "llc", "ltd", "limited", "pvt", "private", "llp", "plc", "group", "india")
@@ -36,12 +37,12 @@ def _beyond_ascii(x: Column) -> Column:
     return F.when(x.rlike(_NOT_ASCII), x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(values: pd.Series) -> pd.Series:
     def fold(v: str | None) -> str | None:
         return None if v is None else "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
@@ -57,7 +58,7 @@ def _script(c: str) -> str | None:
     return next((s for s in SCRIPTS if s in name), None)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _scripts(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else sorted({s for s in map(_script, v) if s}))
 
