@@ -12,7 +12,8 @@ document of smaller doc_id or earlier in the same one.
    bucket is told which of its own cells were counted more than once.
 4. In the second pass a bucket forwards only windows all of whose cells are repeated. It compares its own
    windows first, so it forwards a key once, however common. These few are grouped exactly, by key,
-   over all buckets: all but the earliest are repeats.
+   over all buckets, a slice at a time: all but the earliest are repeats. They travel as packed arrays, and
+   places in planes of bytes, which compress well.
 5. The words under repeats are removed.
 
 Defined cases: null text has no words; texts shorter than a window stay whole; a null doc_id counts as
@@ -27,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -158,63 +160,90 @@ def _merge(bits: int):
     return run
 
 
-FOUND = "k1 long, k2 long, doc_id long, p int, row int, start int, run int"
+FOUND = "slice int, p int, own boolean, keys binary, docs binary, rows binary, starts binary, runs binary"
+_FOUND = (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+REPEATS = "p int, rows binary, starts binary, runs binary"
+NONE = b""
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The numbers byte by byte: all lowest bytes, then the next."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _first(k1: np.ndarray, k2: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, later): an order by key and address, and whether a window comes after the first of its key."""
+    order = np.lexsort([start, at, k2, k1])
+    k1, k2, at, start = k1[order], k2[order], at[order], start[order]
+    new = np.flatnonzero(np.r_[np.ones(min(1, len(k1)), bool), (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+    first = np.repeat(new, np.diff(np.r_[new, len(k1)]))
+    return order, (at != at[first]) | (start != start[first])
 
 
 def _forward(slices: int, bits: int, width: int):
     def run(t: pa.Table, said: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return _found(*[np.zeros(0, np.int64)] * 6, 0, np.zeros(0, np.int64))
-        doc, texts = _in_order(t)
-        k1, k2, row, start = keys_of(texts, width)
-        left = np.arange(len(k1))
-        for line, cells in enumerate(cells_of(k1, k2, slices, bits)):
-            mine = [(np.uint64(s) << np.uint64(bits)) | decode(c).astype(np.uint64) for s, ln, c in zip(said["slice"].to_pylist(), said["line"].to_pylist(), said["cells"].to_pylist(), strict=True) if ln == line]
-            repeated = np.sort(np.concatenate(mine)) if mine else np.zeros(0, np.uint64)
-            if not len(repeated):
-                left = left[:0]
-                break
-            asked = cells[left]
-            place = np.minimum(np.searchsorted(repeated, asked), len(repeated) - 1)
-            left = left[repeated[place] == asked]
-        k1, k2, row, start = k1[left], k2[left], row[left], start[left]
-        at = doc[row] if len(row) else np.zeros(0, np.int64)
-        order = np.lexsort([row, start, at, k2, k1])
-        k1, k2, row, start, at = k1[order], k2[order], row[order], start[order], at[order]
-        new = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])] if len(k1) else np.zeros(0, bool)
-        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(k1) else np.zeros(0, np.int64)
-        later = (at != at[first]) | (start != start[first])
-        # windows at the address of the first go along, as another bucket may have an earlier one
-        go = ~later
-        row_l, start_l, run_l = spans(row[later], start[later])
-        n = int(go.sum())
-        return _found(
-            np.r_[k1[go].view(np.int64), np.zeros(len(row_l), np.int64)],
-            np.r_[k2[go].view(np.int64), np.zeros(len(row_l), np.int64)],
-            np.r_[at[go], np.zeros(len(row_l), np.int64)],
-            np.r_[row[go], row_l],
-            np.r_[start[go], start_l],
-            np.r_[np.zeros(n, np.int64), run_l],
-            t["p"][0].as_py(),
-            None,
-        )
+        out: dict[str, list] = {c.split()[0]: [] for c in FOUND.split(", ")}
+
+        def put(*values) -> None:
+            for column, v in zip(out.values(), values, strict=True):
+                column.append(v)
+
+        if t.num_rows:
+            p = t["p"][0].as_py()
+            doc, texts = _in_order(t)
+            k1, k2, row, start = keys_of(texts, width)
+            left = np.arange(len(k1))
+            for line, cells in enumerate(cells_of(k1, k2, slices, bits)):
+                told = zip(said["slice"].to_pylist(), said["line"].to_pylist(), said["cells"].to_pylist(), strict=True)
+                mine = [(np.uint64(s) << np.uint64(bits)) | decode(c).astype(np.uint64) for s, ln, c in told if ln == line]
+                repeated = np.sort(np.concatenate([np.zeros(0, np.uint64), *mine]))
+                asked = cells[left]
+                place = np.minimum(np.searchsorted(repeated, asked), max(0, len(repeated) - 1))
+                left = left[repeated[place] == asked] if len(repeated) else left[:0]
+            k1, k2, row, start = k1[left], k2[left], row[left], start[left].astype(np.int32)
+            at = doc[row] if len(doc) else doc
+            order, later = _first(k1, k2, at, start)
+            own_row, own_start, own_run = spans(row[order[later]], start[order[later]])
+            if len(own_row):
+                put(p % slices, p, True, NONE, NONE, planes(own_row.astype(np.int32)), planes(own_start.astype(np.int32)), planes(own_run.astype(np.int32)))
+            # windows at the address of the first go along, as another bucket may have an earlier one
+            go = np.sort(order[~later])
+            part = ((k1[go] >> np.uint64(24)) % np.uint64(slices)).astype(np.int64)
+            by_slice = np.argsort(part, kind="stable")
+            for lo, hi in _runs(part[by_slice]):
+                x = go[by_slice[lo:hi]]
+                put(int(part[by_slice[lo]]), p, False, np.concatenate([k1[x], k2[x]]).tobytes(), planes(at[x]), planes(row[x].astype(np.int32)), planes(start[x]), NONE)
+        return _table({c: (v, ty) for (c, v), ty in zip(out.items(), _FOUND, strict=True)})
 
     return run
 
 
-def _found(k1, k2, doc, row, start, run, p: int, _none) -> pa.Table:
-    n = len(k1)
-    return pa.table(
-        {
-            "k1": pa.array(k1, pa.int64()),
-            "k2": pa.array(k2, pa.int64()),
-            "doc_id": pa.array(doc, pa.int64()),
-            "p": pa.array(np.full(n, p, np.int32)),
-            "row": pa.array(row.astype(np.int32)),
-            "start": pa.array(start.astype(np.int32)),
-            "run": pa.array(run.astype(np.int32)),
-        }
-    )
+def _settle(t: pa.Table) -> pa.Table:
+    """Of a slice's windows, those that come after the first of their key; what buckets found by themselves passes."""
+    own = t.filter(t["own"])
+    ps, rows, starts, runs = (own[c].to_pylist() for c in ("p", "rows", "starts", "runs"))
+    sent = t.filter(pa.compute.invert(t["own"]))
+    if sent.num_rows:
+        keys = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in sent["keys"].to_pylist()]
+        k1, k2 = np.concatenate(keys, axis=1)
+        at = np.concatenate([from_planes(x, np.int64) for x in sent["docs"].to_pylist()])
+        row, start = (np.concatenate([from_planes(x, np.int32) for x in sent[c].to_pylist()]) for c in ("rows", "starts"))
+        bucket = np.repeat(sent["p"].to_numpy(), [x.shape[1] for x in keys])
+        order, later = _first(k1, k2, at, start)
+        x = np.sort(order[later])
+        x = x[np.argsort(bucket[x], kind="stable")]
+        for lo, hi in _runs(bucket[x]):
+            mine = x[lo:hi]
+            ps.append(int(bucket[mine[0]]))
+            rows.append(planes(row[mine]))
+            starts.append(planes(start[mine]))
+            runs.append(NONE)
+    return _table({"p": (ps, pa.int32()), "rows": (rows, pa.binary()), "starts": (starts, pa.binary()), "runs": (runs, pa.binary())})
 
 
 def spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +262,12 @@ def _remove(width: int):
         if not t.num_rows:
             return _table({"doc_id": ([], pa.int64()), "text": ([], pa.string()), "n_words": ([], pa.int64()), "n_removed": ([], pa.int64())})
         doc, texts = _in_order(t)
-        row, start, many = (repeats[c].to_numpy() for c in ("row", "start", "run"))
+        none = np.zeros(0, np.int32)
+        row, start, many = none, none, none
+        if repeats.num_rows:
+            row, start = (np.concatenate([from_planes(x, np.int32) for x in repeats[c].to_pylist()]) for c in ("rows", "starts"))
+            # a list without runs has single windows
+            many = np.concatenate([from_planes(x, np.int32) if x else np.ones(len(r) // 4, np.int32) for x, r in zip(repeats["runs"].to_pylist(), repeats["rows"].to_pylist(), strict=True)])
         order = np.lexsort([start, row])
         row, start, many = row[order], start[order], many[order]
         lo, hi = np.searchsorted(row, np.arange(len(texts))), np.searchsorted(row, np.arange(len(texts)), "right")
@@ -272,8 +306,5 @@ def remove_repeats(
     sketches = dealt.groupBy("p").applyInArrow(_sketch(slices, cell_bits, width), "slice int, p int, line int, cells binary, twice binary")
     said = sketches.groupBy("slice").applyInArrow(_merge(cell_bits), "slice int, p int, line int, cells binary")
     found = dealt.groupBy("p").cogroup(said.groupBy("p")).applyInArrow(_forward(slices, cell_bits, width), FOUND)
-    earlier = Window.partitionBy("k1", "k2").orderBy("doc_id", "start")
-    across = found.filter("run = 0").withColumn("rank", F.rank().over(earlier)).filter("rank > 1")
-    # what a bucket has found by itself lies under the removal's schema already; what was grouped comes back by bucket
-    repeats = across.select("p", "row", "start", F.lit(1).alias("run")).union(found.filter("run > 0").select("p", "row", "start", "run"))
+    repeats = found.groupBy("slice").applyInArrow(_settle, REPEATS)
     return dealt.groupBy("p").cogroup(repeats.groupBy("p")).applyInArrow(_remove(width), "doc_id long, text string, n_words long, n_removed long")
