@@ -46,7 +46,7 @@ def source_of(entity_id):
 
 def truth_pairs(truth: DataFrame) -> DataFrame:
     """(s1_id, candidate_id), one row per true pair, from truth cells with comma-separated ids."""
-    ids = F.filter(F.transform(F.split(text_of(F.col("matched_entity_ids")), ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(text_of(F.col("matched_entity_ids")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return truth.select(F.col("source1_entity_id").alias("s1_id"), F.explode(ids).alias("candidate_id")).distinct()
 
 
