@@ -1,4 +1,4 @@
-"""The queries over the operators of this subpackage, and their SQL where SQL can express them."""
+"""The queries over the operators of this subpackage; ``ORACLES`` has SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .html_text import page_texts
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
 from .secrets import scan
 from .simhash import near_duplicates
@@ -20,7 +21,6 @@ from .toxicity import toxicity
 from .warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,18 +34,6 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-ORACLES["op7_exact_dedup"] = """
-SELECT doc_id,
-       max(doc_id) OVER (PARTITION BY norm) AS keep_id,
-       count(*) OVER (PARTITION BY norm) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept,
-       sha256(norm) AS text_sha256
-FROM (SELECT doc_id,
-             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
-      FROM documents)
-"""
-
-
 @query
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of near duplicates over all documents."""
