@@ -184,6 +184,8 @@ def test_sampling(spark):
     assert {round(r.weight, 6) for r in got.filter("label = 0").collect()} == {round(50 / 199, 6)}
     again = matcher.training_pairs(pairs.repartition(7), truth, negatives=50)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in again.collect()}
+    ids = spark.range(20_000)
+    assert {r.id for r in matcher.sample_rows(ids, ["id"], 900).collect()} == {r.id for r in matcher.sample_rows(ids, ["id"], 900, total=20_000).collect()}
     with pytest.raises(ValueError):
         matcher.sample_rows(pairs, ["s1_id"], 500, strict=True)
 
