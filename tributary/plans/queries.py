@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import similarity as s
+from tributary.functions import text
 from tributary.functions.text import COMMON_ADDRESS_TOKENS, COMMON_NAME_TOKENS
 from tributary.operators import blocking, evaluate, matcher, rules, stats
 from tributary.operators.blocking import PAIR
@@ -160,6 +161,36 @@ def candidate_five_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.five_numbers(candidate_counts(spark, sf_dir), "candidates")
 
 
+@query(E3 + "SELECT id AS entity_id, nn AS name, na AS address, array_to_string(nt, ' ') AS name_tokens, array_to_string(atok, ' ') AS address_tokens, len(ns) AS distinct_name_tokens FROM recs")
+def record_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = document_linkage(spark, sf_dir, True)
+    tokens = [F.array_join(c, " ").alias(c) for c in ("name_tokens", "address_tokens")]
+    return x.s1.unionByName(x.targets).select("entity_id", "name", "address", *tokens, F.size("name_set").cast("long").alias("distinct_name_tokens"))
+
+
+@query(
+    E3
+    + r""", parts AS (SELECT id, list_filter(list_transform(string_split(ba, ','), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM rec)
+SELECT id AS entity_id, CASE WHEN len(p) > 1 THEN p[-2] ELSE '' END AS city, CASE WHEN len(p) > 1 THEN p[-1] ELSE '' END AS state FROM parts"""
+)
+def record_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = document_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), True)
+    return records.withColumn("p", text.address_parts(F.col("business_address"))).select("entity_id", "p.city", "p.state")
+
+
+@query(E3 + "SELECT s AS s1_id, c AS candidate_id FROM cand WHERE s = (SELECT min(id) FROM s1)")
+def one_record_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = document_linkage(spark, sf_dir, True)
+    first = x.s1.agg(F.min("entity_id")).first()[0]
+    return blocking.candidate_pairs(x.s1.filter(F.col("entity_id") == first), x.targets)
+
+
+@query(E3 + "SELECT s AS s1_id, c AS candidate_id FROM cand WHERE s IN (SELECT s FROM truth)")
+def fast_validation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = document_linkage(spark, sf_dir, True)
+    return evaluate.for_entities(x.candidates, x.truth.select("s1_id"))
+
+
 @query(E3 + "SELECT t AS token, f AS frequency FROM freq")
 def address_token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_linkage(spark, sf_dir, True).frequency
