@@ -61,7 +61,7 @@ class WordTokenizer:
         vocabulary = self.whole.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        #: Ids of pre-tokens, and of words as they stand in a text, which have "\0" before them.
+        #: Ids of pre-tokens, and of words as they stand in a text, which have a space before them.
         self.known: dict[str, bytes] = {}
 
     def _exact(self, text: str) -> bytes:
@@ -76,13 +76,13 @@ class WordTokenizer:
         keys: list[str] = []
         for word in text.split():
             if self.beyond(word):
-                keys.append("\0" + word)
+                keys.append(" " + word)
             else:
                 keys += self.split(word.lower())
         return keys
 
     def _learn(self, missing: set[str]) -> None:
-        parts = [k for k in missing if k[0] != "\0"]
+        parts = [k for k in missing if k[0] != " "]
         for k in range(0, len(parts), LINE):
             line = parts[k : k + LINE]
             ids = np.array(self.pieces.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, np.uint32)
@@ -92,7 +92,7 @@ class WordTokenizer:
                 self.known.update(zip(line, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:
                 self.known |= {part: self._exact(part) for part in line}
-        self.known |= {k: self._exact(k[1:]) for k in missing if k[0] == "\0"}
+        self.known |= {k: self._exact(k[1:]) for k in missing if k[0] == " "}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers, without special tokens added."""
