@@ -60,3 +60,15 @@ def test_nulls_and_repeats(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 kind", "2 start", "'z' base", "3 size")
     assert got(scan(docs)) == sorted(((d, plain(t)) for d, t in rows), key=repr)
     assert scan(docs.limit(0)).count() == 0
+
+
+def test_secrets_assigned_without_spaces(spark):
+    """Of a .env file: the value directly follows '='; places are counted by hand, not by a pattern."""
+    value = "aB3/" * 10
+    head = "AWS_ACCESS_KEY_ID=AKIA" + "Z" * 16 + "\n"
+    rows = [(k, f"{head}{name}={value}\nURL=https://x.y/z\n") for k, name in enumerate(["AWS_SECRET_ACCESS_KEY", "aws_secret_access_key"])]
+    rows += [(2, f"{head}k={value}=\n"), (3, f"{head}k=a{value}\n"), (4, f"k={value}\n")]
+    got_spans = {r.doc_id: r.spans for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    start = len(head) + len("AWS_SECRET_ACCESS_KEY=")
+    whole = f"access:18:38,secret:{start}:{start + 40},endpoint:{start + 45}:{start + 58}"
+    assert got_spans == {0: whole, 1: whole, 2: "access:18:38", 3: "access:18:38", 4: ""}

@@ -29,7 +29,7 @@ PATTERNS = {
     "assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]{24,}",
-    "secret": r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])",
     "endpoint": r"""https?://[^\x00-\x20"'<>]+""",
     "break": r"\n[\x20\t\r]*\n",
 }
