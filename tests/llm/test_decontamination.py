@@ -70,3 +70,43 @@ def test_substitutions_short_items_and_both_joins(spark, limit):
     assert passages(a.limit(0), b).count() == 0 and passages(a, b.limit(0)).count() == 0
     left = remove_contaminated(a, b)
     assert left.columns == a.columns and {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in got}
+
+
+def aligned(docs, items):
+    """What holds a passage by the definition: items laid beside documents at every place, no seeds."""
+    out = set()
+    for item, text in items:
+        b = words(text)
+        for doc, t in docs:
+            h = words(t)
+            for shift in range(-len(b), len(h)):
+                lo, hi = max(0, -shift), min(len(b), len(h) - shift)
+                n = min(REGION, hi - lo)
+                same = [b[x] == h[x + shift] for x in range(lo, hi)]
+                if hi - lo >= min(len(b), SPAN) and any(sum(same[k : k + n]) >= 0.8 * n for k in range(len(same) - n + 1)):
+                    out.add((doc, item))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_every_placement_of_substitutions_is_found(spark, limit):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    sizes = [36, 60, 1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24]
+    items = [(n, " ".join(rng.choices(vocabulary, k=n))) for n in sizes]
+    docs = []
+    for n, text in items:
+        for _ in range(12):
+            part = text.split()
+            begin = rng.randint(0, max(0, n - 24))  # of the 24 words that must be found; those outside are others
+            part = [w if begin <= k < begin + 24 else "outside" for k, w in enumerate(part)]
+            for k in rng.sample(range(begin, begin + min(n, 24)), min(n, 24) // 5):
+                part[k] = "other"
+            docs.append((len(docs), " ".join([*rng.choices(vocabulary, k=15), *part, *rng.choices(vocabulary, k=15)])))
+    for spots in [(8, 9, 10, 11), (2, 5, 8, 11), (3, 7, 11, 15), (3, 7, 11, 14)]:
+        part = ["other" if k in spots else w for k, w in enumerate(items[-5][1].split())]
+        docs.append((len(docs), " ".join(["x", *part, "y"])))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in passages(a, b, broadcast_words=limit).collect()}
+    want = aligned(docs, items)
+    assert len(want) >= len(docs) and got == want

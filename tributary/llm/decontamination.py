@@ -1,10 +1,16 @@
-"""Benchmark passages in training documents, by spaced seeds (native: DataFrame functions only).
+"""Benchmark passages in training documents, by runs of equal words (native: DataFrame functions only).
 
-A seed is a mask over ``SPAN`` consecutive words that ignores some of them, so a substituted word under
-a gap doesn't hide a passage. The words under a mask are hashed at every place of every benchmark
-item and of every document; equal hashes are hits. Around a hit the words of both sides are compared
-place by place: the document holds the item's passage if at least ``SIMILARITY`` of up to ``REGION`` words
-are equal. Items shorter than a seed are sought as a whole.
+A seed is a run of ``BLOCK`` words, hashed at every place of every benchmark item and of every document; equal
+hashes are hits. The document holds the item's passage if at least ``SIMILARITY`` of ``REGION`` consecutive words
+of the item are equal to the words beside them; where fewer words lie side by side (a shorter item, or a document
+that begins or ends within it), all of those count, ``SPAN`` at least or the whole item. Every region that can
+hold the hit is judged, at every other place: 20 equal words of 24 leave a run of four or more, which has seeds
+at both of two neighbouring places, so no region is missed, wherever its substituted words are. Regions of 12
+to 23 words leave a run of three or more. Items shorter than ``SPAN`` are sought as a whole, by the longest
+run that a fifth of substituted words must leave.
+
+What is not found: a fragment from the inside of an item of over 24 words with fewer than 20 equal words of
+any 24, such as 12 to 19 words in the middle of a document.
 
 The benchmark's hashes are broadcast only if its words are counted to be few (``BROADCAST_WORDS``); then a
 document never moves. A larger benchmark is joined by shuffling hashes, and documents with hits are read
@@ -17,13 +23,17 @@ reported; extra columns are left alone; an empty side gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The seeds; 1 is a word that counts, 0 one that doesn't.
-MASKS = ("110110010111", "101101110011")
+# The words of the least stretch and of a region, the similarity, and the words of a seed.
 SPAN, REGION, SIMILARITY = 12, 24, 0.8
-#: Words of a benchmark whose hashes are broadcast (some 40 bytes for each word and mask).
+BLOCK = 3
+#: The seeds at their places in a stretch of ``SPAN`` words; 1 is a word that counts, 0 one that doesn't.
+MASKS = tuple("0" * o + "1" * BLOCK + "0" * (SPAN - BLOCK - o) for o in range(SPAN - BLOCK + 1))
+#: Words of a benchmark whose hashes are broadcast (some 40 bytes for each word).
 BROADCAST_WORDS = 1_000_000
 KEY = ["doc_id", "text_hash", "size"]
 
@@ -33,34 +43,43 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(short: list[int]) -> list[tuple[int, list[int], bool]]:
-    """(span, offsets of words that count, whole item only): the masks, and a full one for each short length."""
-    out = [(SPAN, [i for i, c in enumerate(m) if c == "1"], False) for m in MASKS]
-    return out + [(n, list(range(n)), True) for n in short]
+def gram_words(n: int) -> int:
+    """Consecutive words of an item of ``n`` that stay equal, wherever up to a fifth of its words are substituted."""
+    if n >= SPAN:
+        return BLOCK
+    others = n - math.ceil(SIMILARITY * n)
+    return -(-(n - others) // (others + 1))
+
 
+def grams(rows: DataFrame, words: str, width: int, keep: list[str], place: str) -> DataFrame:
+    """``keep`` columns, the place of each run of ``width`` words in the array ``words``, and its hash ``key``."""
+    fits = rows.filter(F.size(words) >= width)
+    spread = fits.select(*keep, words, F.explode(F.sequence(F.lit(0), F.size(words) - width)).alias(place))
+    return spread.select(*keep, place, _key_at(words, place, width).alias("key"))
 
-def seeded(rows: DataFrame, words: str, seed: tuple[int, list[int], bool], number: int, keep: list[str], place: str) -> DataFrame:
-    """``keep`` columns, the place of each seed in the array ``words``, and its hash ``key``."""
-    span, offsets, _ = seed
-    fits = rows.filter(F.size(words) >= span)
-    spread = fits.select(*keep, words, F.explode(F.sequence(F.lit(0), F.size(words) - span)).alias(place))
-    at = [F.get(F.col(words), F.col(place) + o) for o in offsets]
-    return spread.select(*keep, place, F.xxhash64(F.lit(number), *at).alias("key"))
+
+def _key_at(words: str, place: str, width: int) -> Column:
+    """The hash of a run of words, null where it doesn't fit."""
+    at = [F.get(F.col(words), F.col(place) + o) for o in range(width)]
+    return F.when(F.col(place) + width <= F.size(words), F.xxhash64(F.lit(width), *at))
 
 
 def _compared(hits: DataFrame, similarity: float) -> DataFrame:
-    """Hits whose surroundings agree; ``h`` and ``b`` are the word hashes of document and item."""
+    """Regions around hits that agree; ``h`` and ``b`` are the word hashes of document and item."""
+    shift = F.col("p") - F.col("g")
     lo = F.greatest(F.lit(0), -F.col("shift"))
     hi = F.least(F.size("b"), F.size("h") - F.col("shift"))
-    rows = hits.withColumn("shift", F.col("i") - F.col("j")).withColumn("lo", lo).withColumn("hi", hi)
-    begin = F.greatest(F.col("lo"), F.least(F.col("j") - (REGION - SPAN) // 2, F.col("hi") - REGION))
-    rows = rows.withColumn("begin", begin).withColumn("region", F.least(F.lit(REGION), F.col("hi") - F.col("begin")))
+    rows = hits.withColumn("shift", shift).withColumn("lo", lo).withColumn("hi", hi).withColumn("overlap", F.col("hi") - F.col("lo"))
+    rows = rows.filter(F.col("overlap") >= F.least(F.size("b"), F.lit(SPAN))).withColumn("region", F.least(F.lit(REGION), F.col("overlap")))
     equal = lambda x: F.get(F.col("b"), x) == F.get(F.col("h"), x + F.col("shift"))
     count = lambda a, n: F.size(F.filter(F.sequence(a, a + n - 1), equal))
-    rows = rows.withColumn("agree", count(F.col("begin"), F.col("region")))
+    # all words that a region with the hit can have; few hits get past this
+    first, end = F.greatest("lo", F.col("g") + 1 - REGION), F.least("hi", F.col("g") + REGION)
+    rows = rows.filter(count(first, end - first) >= similarity * F.col("region"))
+    begins = F.array(*[F.greatest("lo", F.least(F.col("g") - o, F.col("hi") - F.col("region"))) for o in range(0, REGION - BLOCK + 1, 2)])
+    rows = rows.withColumn("begin", F.explode(F.array_distinct(begins))).withColumn("agree", count(F.col("begin"), F.col("region")))
     rows = rows.filter(F.col("agree") >= similarity * F.col("region"))
-    overlap = F.col("hi") - F.col("lo")
-    return rows.select(*KEY, "item", F.col("shift").alias("offset"), (F.col("agree") / F.col("region")).alias("similarity"), overlap.alias("overlap"), count(F.col("lo"), overlap).alias("equal_words"))
+    return rows.select(*KEY, "item", F.col("shift").alias("offset"), (F.col("agree") / F.col("region")).alias("similarity"), "overlap", count(F.col("lo"), F.col("overlap")).alias("equal_words"))
 
 
 def passages(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -72,39 +91,31 @@ def passages(documents: DataFrame, benchmark: DataFrame, similarity: float = SIM
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("b")).filter(F.size("b") > 0).distinct()
     texts = items.select("b", F.xxhash64("b").alias("item")).distinct()
     total = texts.agg(F.sum(F.size("b"))).first()[0] or 0
-    short = [r[0] for r in texts.filter(F.size("b") < SPAN).select(F.size("b").alias("n")).distinct().collect()]
+    lengths = [r[0] for r in texts.select(F.least(F.size("b"), F.lit(SPAN)).alias("n")).distinct().collect()]
     small = total <= broadcast_words
     held = F.broadcast if small else lambda df: df
     text = F.coalesce("text", F.lit(""))
     docs = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("size"), word_hashes(F.col("text")).alias("h"))
-    keys = None
-    for k, seed in enumerate(seeds(short)):
-        mine = texts.filter(F.size("b") == seed[0]) if seed[2] else texts
-        one = seeded(mine, "b", seed, k, ["item"], "j")
-        keys = one if keys is None else keys.unionByName(one)
+    widths = sorted({gram_words(n) for n in lengths}) or [BLOCK]
     keep = [*KEY, "h"] if small else KEY
-    hashes = [_key_at(seed, k) for k, seed in enumerate(seeds(short))]
-    spread = docs.filter(F.size("h") >= min([SPAN, *short])).select(*KEY, "h", F.explode(F.sequence(F.lit(0), F.size("h") - min([SPAN, *short]))).alias("i"))
+    spread = docs.filter(F.size("h") >= widths[0]).select(*KEY, "h", F.explode(F.sequence(F.lit(0), F.size("h") - widths[0])).alias("p"))
     placed = None
-    for key in hashes:
-        one = spread.select(*keep, "i", key.alias("key")).filter("key is not null").join(held(keys), "key").drop("key")
+    for width in widths:
+        which = [n for n in lengths if gram_words(n) == width]
+        mine = texts.filter(F.least(F.size("b"), F.lit(SPAN)).isin(which))
+        keys = grams(mine, "b", width, ["item"], "g")
+        one = spread.select(*keep, "p", _key_at("h", "p", width).alias("key")).filter("key is not null").join(held(keys), "key").drop("key")
         placed = one if placed is None else placed.unionByName(one)
     if not small:
-        placed = placed.distinct().select(*[F.col(c).alias(f"p_{c}") for c in KEY], "i", "j", "item")
+        placed = placed.distinct().select(*[F.col(c).alias(f"p_{c}") for c in KEY], "p", "g", "item")
         same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in KEY]
-        placed = docs.distinct().join(placed, same).select(*KEY, "h", "i", "j", "item")
+        placed = docs.distinct().join(placed, same).select(*KEY, "h", "p", "g", "item")
     found = _compared(placed.join(held(texts), "item"), similarity)
     best = found.groupBy(*KEY, "item").agg(F.max_by(F.struct("offset", "overlap", "equal_words"), F.struct("similarity", "equal_words", -F.col("offset"))).alias("x"), F.max("similarity").alias("similarity"))
     named = items.select("item_id", F.xxhash64("b").alias("item"))
     return best.join(held(named), "item").select(*KEY, "item_id", "x.offset", "similarity", "x.overlap", "x.equal_words")
 
 
-def _key_at(seed: tuple[int, list[int], bool], number: int) -> Column:
-    """The hash of a seed at place ``i`` of the words ``h``, null where it doesn't fit."""
-    span, offsets, _ = seed
-    return F.when(F.col("i") + span <= F.size("h"), F.xxhash64(F.lit(number), *[F.get(F.col("h"), F.col("i") + o) for o in offsets]))
-
-
 def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and benchmark item that it holds a passage of."""
     return passages(documents, benchmark, similarity).groupBy("doc_id", "item_id").agg(
