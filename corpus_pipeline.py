@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import exact_dedup, simhash
+from tributary.llm import exact_dedup, near_dedup
 from tributary.llm.common import shared_folder, table
 from tributary.llm.decontamination import remove_contaminated
 from tributary.llm.packing import pack_documents
@@ -29,8 +29,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates: five-word shingles of similarity 0.8 or more."""
+    return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

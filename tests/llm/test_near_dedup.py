@@ -1,0 +1,61 @@
+"""Near duplicates of the pipeline against a plain comparison of all pairs of shingle sets."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+import pytest
+from test_exact_dedup import low
+
+from tributary.llm.near_dedup import keep_one
+
+SF = "/root/testdata/sf0.01"
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", low(text))
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def plain_kept(texts: dict[int, str]) -> set[int]:
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    holders, common = defaultdict(list), Counter()
+    for d in sorted(sets):
+        for s in sets[d]:
+            holders[s].append(d)
+    for ids in holders.values():
+        common.update((a, b) for i, a in enumerate(ids) for b in ids[i + 1 :])
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in common.items():
+        if 9 * n >= 4 * (len(sets[a]) + len(sets[b])):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d for d in texts if find(d) == d}
+
+
+def test_the_stage_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == plain_kept({r.doc_id: r.text for r in docs.collect()})
+
+
+@pytest.mark.parametrize("bucket", [20, 3])
+def test_near_copies_nulls_and_repeated_ids(spark, bucket):
+    body = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*body[:-1], f"x{k}"])) for k in range(10, 50)]
+    rows += [(1, None), (2, ""), (3, " \t"), (None, "a b"), (5, "a b"), (5, "c d"), (6, "C  d"), (7, "e f"), (7, "e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 cls", "2 n", "'x' size")
+    left = keep_one(docs, bucket)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert got == sorted([rows[0], (1, None), (None, "a b"), (5, "a b"), (5, "c d"), (7, "e f"), (7, "e f")], key=repr)
+    assert keep_one(docs.limit(0)).count() == 0

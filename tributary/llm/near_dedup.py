@@ -1,0 +1,122 @@
+"""Near duplicates by five-word shingles of Jaccard similarity 0.8 or more.
+
+1. The set of shingles of a text (words as in ``simhash``; a text of fewer words is one shingle). Equal
+   sets become one class.
+2. Candidates share one of ``BANDS`` bands of ``ROWS`` minima (MinHash). Two texts of similarity 0.8 share
+   none with a probability of 0.00005, more similar ones with less. The classes of a bucket of
+   at most ``BUCKET`` are paired; those of a larger one are paired with its first and last.
+3. Each candidate pair is verified on its whole sets, so nothing below 0.8 is linked. Components of
+   the links are found, and the row of the smallest doc_id of each stays.
+
+Defined cases: null text counts as empty; texts without words are equal; rows with a null doc_id
+always stay; rows that repeat a doc_id and text share their fate; extra columns are left alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, small_batches
+from .components import connected_components
+
+# Words of a shingle; similarity as 4 / 5 in ``near_pairs``; bands, minima of a band, classes of a bucket.
+SHINGLE, BANDS, ROWS, BUCKET = 5, 25, 5, 20
+MIX = np.uint64(0x9E3779B97F4A7C15)
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+KEY = ["doc_id", "text_hash", "size"]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The hashes of the different shingles of a UTF-8 text, sorted."""
+    import xxhash
+
+    words = text.lower().split()
+    n = len(words)
+    if n < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    out = np.zeros(n - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        out = _mixed(out * MIX + hashes[k : n - SHINGLE + 1 + k])
+    return np.unique(out)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sets = [shingles(t) for t in b.column(3).to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        all_of, starts = np.concatenate(sets), np.r_[0, np.cumsum(sizes)[:-1]]
+        bands = np.zeros((len(sets), BANDS), np.uint64)
+        for k in range(BANDS * ROWS):
+            least = np.minimum.reduceat(all_of * FACTORS[0, k] + FACTORS[1, k], starts)
+            bands[:, k // ROWS] = _mixed(bands[:, k // ROWS] * MIX + least)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
+        cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cls), pa.array(sizes, pa.int64()), lists], [*KEY, "cls", "n", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = pa.array([shingles(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), sets], ["cls", "s"])
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return documents.filter("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("size"), text.cast("binary").alias("text")
+    )
+
+
+def candidates(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): different classes that share a band, a < b."""
+    rows = classes.select("cls", "n", F.posexplode("bands").alias("band", "v")).select("cls", "n", F.xxhash64("band", "v").alias("g"))
+    groups = rows.groupBy("g").agg(F.count("*").alias("of"), F.min("cls").alias("first"), F.max("cls").alias("last")).filter("of > 1")
+    rows = cut(rows.join(groups, "g"))
+    small = rows.filter(F.col("of") <= bucket)
+    left = small.select("g", F.col("cls").alias("a"), F.col("n").alias("na"))
+    right = small.select("g", F.col("cls").alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, "g").filter("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
+    ends = rows.filter(F.col("of") > bucket).select("cls", F.explode(F.array("first", "last")).alias("end")).filter("cls != end")
+    return pairs.union(ends.select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b"))).distinct()
+
+
+def near_pairs(signed: DataFrame, docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): classes that share a band and have a similarity of at least 0.8."""
+    pairs = cut(candidates(signed.select("cls", "n", "bands").dropDuplicates(["cls"]), bucket))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    one = signed.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(*KEY)).alias("k")).select("cls", "k.*")
+    texts = docs.join(one, KEY).select("cls", "text")
+    sets = cut(texts.mapInArrow(_sets, "cls long, s array<long>").dropDuplicates(["cls"]))
+    a, b = (sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(9 * F.col("common") >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def keep_one(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``documents`` of the smallest doc_id in each component, with all their columns."""
+    small_batches(documents.sparkSession)
+    docs = keyed(documents)
+    signed = cut(docs.mapInArrow(_signed, "doc_id long, text_hash long, size int, cls long, n long, bands array<long>"))
+    component = connected_components(near_pairs(signed, docs, bucket))
+    named = signed.join(component, signed["cls"] == component["node"], "left").select(*KEY, F.coalesce("component", "cls").alias("c"))
+    kept = named.groupBy("c").agg(F.min(F.struct(*KEY)).alias("k"))
+    dropped = named.join(kept, "c").filter(F.struct(*KEY) != F.col("k")).select(*KEY).distinct()
+    text = F.coalesce(documents["text"], F.lit(""))
+    same = [documents["doc_id"] == dropped["doc_id"], F.xxhash64(text) == dropped["text_hash"], F.octet_length(text) == dropped["size"]]
+    return documents.join(dropped, same, "left_anti")
