@@ -45,3 +45,9 @@ def test_the_kept_rows(spark):
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == [(2, "A"), (2, "A"), (3, "b"), (None, "a")]
     assert exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_a_repeated_id_loses_only_its_copies(spark):
+    rows = [(1, "unique"), (1, "copy"), (2, "Copy"), (3, None), (3, "x"), (4, "")]
+    left = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == [(1, "unique"), (2, "Copy"), (3, "x"), (4, "")]

@@ -99,5 +99,7 @@ def exact_dedup(documents: DataFrame, id_bits: int = 64) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that ``exact_dedup`` keeps, with all their columns."""
-    dropped = exact_dedup(documents).filter(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(dropped, "doc_id", "left_anti").select(documents.columns)
+    dropped = exact_dedup(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("hash")).distinct()
+    norm = ascii_lower(F.coalesce(documents["text"], F.lit("")))
+    same = [documents["doc_id"] == dropped["id"], F.sha2(norm, 256) == dropped["hash"]]
+    return documents.join(dropped, same, "left_anti")
