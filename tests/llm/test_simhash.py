@@ -92,6 +92,14 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_a_repeated_id_loses_only_its_near_copies(spark):
+    rows = [(5, "one two three four five six"), (2, "x y z w v"), (5, "x y z w v"), (7, None), (7, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text or "") for r in keep_one(docs).collect())
+    assert got == [(2, "x y z w v"), (5, "one two three four five six"), (7, "")]
+    assert {r.component_id for r in near_duplicates(docs).filter("doc_id = 5").collect()} == {2, 5}
+
+
 def test_nulls_empty_texts_and_repeats(spark):
     long = "word " * 30_000
     rows = [(5, None), (6, ""), (7, "  "), (8, long), (8, long), (9, long), (None, long), (10, "one two three four five")]

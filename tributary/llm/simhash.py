@@ -1,8 +1,7 @@
 """Near duplicates by SimHash and a Gray-order hierarchical index.
 
 1. A fingerprint per text (4-word shingles, XXH64 with seed 42, majority of each bit). Equal
-   fingerprints become one class, named by its smallest doc_id, so thousands of copies are one
-   entry of the index.
+   fingerprints become one class, so thousands of copies are one entry of the index.
 2. Two fingerprints with at most four differing bits agree on one of five blocks of bits. Each
    class goes to five groups, by block and the block's value. A group of over ``GROUP_LIMIT``
    classes is dealt again by five blocks of its remaining bits, and one that is still larger is
@@ -16,7 +15,8 @@
 
 Defined cases: null text counts as empty; texts without words get fingerprint zero, and link like
 any other; documents with a null doc_id get a fingerprint but link to nothing (null component) and
-always stay; repeated rows share their document's component; extra columns are left alone.
+always stay; repeated rows share their document's component, and a doc_id that repeats with another text has
+a fingerprint and component for each; extra columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,14 +68,15 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), b.column(2), b.column(3)], ["doc_id", "fp", "hash", "size"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, fp, hash, size) of every row; fp holds the 64 bits as a signed long, hash and size tell texts apart."""
     small_batches(documents.sparkSession)
-    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_fingerprints, "doc_id long, fp long")
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("hash"), F.octet_length(text).alias("size"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, hash long, size int")
 
 
 def gray_rank(code: Column) -> Column:
@@ -241,20 +242,32 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT
     return sorted_groups.mapInArrow(_linked(max_bits), "a long, b long")
 
 
+def _components(documents: DataFrame, max_bits: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and the component of each fingerprint: (fp, component_id)."""
+    prints = cut(fingerprints(documents))
+    classes = cut(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")))
+    component = connected_components(links(classes.select("fp", F.col("fp").alias("rep")), max_bits, limit))
+    tied = classes.join(component, classes["fp"] == component["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    least = tied.groupBy("c").agg(F.min("first").alias("component_id"))
+    return prints, tied.join(least, "c").select("fp", "component_id")
+
+
 def near_duplicates(documents: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per row of ``documents``: doc_id, fingerprint (16 hex digits), component_id."""
-    prints = cut(fingerprints(documents))
-    classes = cut(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    component = connected_components(links(classes, max_bits, limit))
-    named = classes.join(component, classes["rep"] == component["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
+    prints, named = _components(documents, max_bits, limit)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     found = prints.join(named, "fp", "left")
     return found.select("doc_id", hexed, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` of the smallest doc_id in each component, with all their columns."""
-    dropped = near_duplicates(documents).filter("doc_id != component_id").select("doc_id").distinct()
-    return documents.join(dropped, "doc_id", "left_anti").select(documents.columns)
+def keep_one(documents: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT) -> DataFrame:
+    """The rows of ``documents`` of the smallest doc_id in each component, with all their columns.
+
+    Rows are told apart by doc_id and fingerprint, so a doc_id that repeats with another text loses only the
+    rows that are near copies.
+    """
+    prints, component = _components(documents, max_bits, limit)
+    dropped = prints.join(component, "fp").filter("doc_id != component_id").select(F.col("doc_id").alias("id"), F.col("size").alias("of"), F.col("hash").alias("h")).distinct()
+    text = F.coalesce(documents["text"], F.lit(""))
+    same = [documents["doc_id"] == dropped["id"], F.octet_length(text) == dropped["of"], F.xxhash64(text) == dropped["h"]]
+    return documents.join(dropped, same, "left_anti")
