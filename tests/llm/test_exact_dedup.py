@@ -38,6 +38,13 @@ def test_cases_with_and_without_colliding_identifiers(spark, bits):
     assert got(exact_dedup(docs, bits)) == plain(rows)
 
 
+def test_only_ascii_capitals_are_lowered(spark):
+    """Capitals of any Unicode version, some of whose lower cases are ASCII or of another length."""
+    pairs = [("\ua7c0", "\ua7c1"), ("\U00010570", "\U00010597"), ("\u2c2f", "\u2c5f"), ("\u212a", "k"), ("\u0130", "i\u0307"), ("\u1e9e", "\u00df"), ("\u00c9A", "\u00e9a"), ("\u03a3", "\u03c2"), ("\u24b6", "\u24d0")]
+    rows = [(2 * i + k, f"Q {t} {i}") for i, p in enumerate(pairs) for k, t in enumerate(p)] + [(100, "q \ua7c0 0")]
+    assert got(exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
 def test_the_kept_rows(spark):
     rows = [(1, "a"), (2, "A"), (3, "b"), (None, "a"), (2, "A")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 kept", "2 recipe")

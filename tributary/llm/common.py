@@ -22,12 +22,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, or a local one where none is configured."""
+    """The folder that driver and executors share; a local one only where driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -43,9 +45,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only. The full-Unicode lower() gives the same, faster, where no other capital occurs."""
-    other_capitals = text.rlike(r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]")
-    return F.when(other_capitals, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    """Lower-case A-Z only. The full-Unicode lower() gives the same, faster, where it leaves all other characters alone.
+
+    That is told by its own result, not by a list of capitals, as libraries differ in the Unicode that they know.
+    """
+    low, others = F.lower(text), lambda x: F.regexp_replace(x, r"[\x00-\x7F]+", "")
+    same = (F.octet_length(text) == F.char_length(text)) | (others(text) == others(low))
+    return F.when(same, low).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
