@@ -53,7 +53,7 @@ def test_random_texts_of_few_words(spark, seed):
 
 def test_nulls_repeats_and_long_texts(spark):
     p = " ".join(f"w{i}" for i in range(25))
-    rows = [(9, p), (3, "x " + p), (3, "x " + p), (3, p), (None, p), (None, "é " + p), (4, None), (5, ""), (6, "a\x0bb\x1cc\xa0d"), (7, "same " * 3000), (8, "one")]
+    rows = [(9223372036854775807, p), (9223372036854775807, "z " + p), (9, p), (3, "x " + p), (3, "x " + p), (3, p), (None, p), (None, "é " + p), (4, None), (5, ""), (6, "a\x0bb\x1cc\xa0d"), (7, "same " * 3000), (8, "one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 p", "2 run", "3 row", "4 start")
     for size in (1 << 20, 100):
         assert got(remove_repeats(docs, bucket_bytes=size)) == plain(rows)

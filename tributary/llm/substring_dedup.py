@@ -39,7 +39,8 @@ WINDOW = 20
 BUCKET_BYTES = 12 << 20
 #: A slice's share of windows, its cells in each row (a power of two), and rows.
 SLICE_WINDOWS, CELL_BITS, ROWS = 4 << 20, 24, 2
-LAST = np.iinfo(np.int64).max
+#: The address of a row without doc_id: the last doc_id, at places beyond all that a text can have.
+LAST, BEYOND = np.iinfo(np.int64).max, 1 << 30
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -107,14 +108,13 @@ def _table(columns: dict[str, tuple[object, pa.DataType]]) -> pa.Table:
     return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
 
-def _in_order(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+def _in_order(t: pa.Table) -> tuple[list[int | None], list[bytes]]:
     """doc_ids and texts of a bucket, in an order that depends on the rows alone."""
     import xxhash
 
-    doc = t["doc_id"].fill_null(LAST).to_numpy()
-    texts = t["text"].to_pylist()
-    order = sorted(range(len(texts)), key=lambda i: (doc[i], xxhash.xxh3_64_intdigest(texts[i])))
-    return doc[order], [texts[i] for i in order]
+    ids, texts = t["doc_id"].to_pylist(), t["text"].to_pylist()
+    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, xxhash.xxh3_64_intdigest(texts[i])))
+    return [ids[i] for i in order], [texts[i] for i in order]
 
 
 def _sketch(slices: int, bits: int, width: int):
@@ -195,7 +195,9 @@ def _forward(slices: int, bits: int, width: int):
 
         if t.num_rows:
             p = t["p"][0].as_py()
-            doc, texts = _in_order(t)
+            ids, texts = _in_order(t)
+            doc = np.array([LAST if d is None else d for d in ids], np.int64)
+            beyond = np.array([BEYOND * (d is None) for d in ids], np.int64)
             k1, k2, row, start = keys_of(texts, width)
             left = np.arange(len(k1))
             for line, cells in enumerate(cells_of(k1, k2, slices, bits)):
@@ -205,10 +207,10 @@ def _forward(slices: int, bits: int, width: int):
                 asked = cells[left]
                 place = np.minimum(np.searchsorted(repeated, asked), max(0, len(repeated) - 1))
                 left = left[repeated[place] == asked] if len(repeated) else left[:0]
-            k1, k2, row, start = k1[left], k2[left], row[left], start[left].astype(np.int32)
-            at = doc[row] if len(doc) else doc
+            k1, k2, row = k1[left], k2[left], row[left]
+            at, start = doc[row], (start[left] + beyond[row]).astype(np.int32)
             order, later = _first(k1, k2, at, start)
-            own_row, own_start, own_run = spans(row[order[later]], start[order[later]])
+            own_row, own_start, own_run = spans(row[order[later]], start[order[later]] % BEYOND)
             if len(own_row):
                 put(p % slices, p, True, NONE, NONE, planes(own_row.astype(np.int32)), planes(own_start.astype(np.int32)), planes(own_run.astype(np.int32)))
             # windows at the address of the first go along, as another bucket may have an earlier one
@@ -241,7 +243,7 @@ def _settle(t: pa.Table) -> pa.Table:
             mine = x[lo:hi]
             ps.append(int(bucket[mine[0]]))
             rows.append(planes(row[mine]))
-            starts.append(planes(start[mine]))
+            starts.append(planes(start[mine] % BEYOND))
             runs.append(NONE)
     return _table({"p": (ps, pa.int32()), "rows": (rows, pa.binary()), "starts": (starts, pa.binary()), "runs": (runs, pa.binary())})
 
@@ -261,7 +263,7 @@ def _remove(width: int):
     def run(t: pa.Table, repeats: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _table({"doc_id": ([], pa.int64()), "text": ([], pa.string()), "n_words": ([], pa.int64()), "n_removed": ([], pa.int64())})
-        doc, texts = _in_order(t)
+        ids, texts = _in_order(t)
         none = np.zeros(0, np.int32)
         row, start, many = none, none, none
         if repeats.num_rows:
@@ -285,7 +287,6 @@ def _remove(width: int):
             kept.append(b" ".join(words).decode())
             words_in.append(len(words) + gone)
             removed.append(gone)
-        ids = [None if d == LAST else int(d) for d in doc]
         return _table({"doc_id": (ids, pa.int64()), "text": (kept, pa.string()), "n_words": (words_in, pa.int64()), "n_removed": (removed, pa.int64())})
 
     return run
