@@ -1,13 +1,16 @@
-"""Decontamination against a plain search of seeds and comparison of words."""
+"""Decontamination against a comparison of all words at all places, without seeds."""
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 import regex
 
-from tributary.llm.decontamination import MASKS, REGION, SPAN, contaminated, passages, remove_contaminated
+from tributary.llm.decontamination import REGION, SPAN, contaminated, masks_of, passages, remove_contaminated
 
 SF = "/root/testdata/sf0.01"
 
@@ -17,28 +20,46 @@ def words(t):
 
 
 def plain(docs, items):
-    out = set()
-    index = {}
-    for item, text in items:
-        b = words(text)
-        masks = [(SPAN, m) for m in MASKS] if len(b) >= SPAN else [(len(b), "1" * len(b))] if b else []
-        for span, m in masks:
-            for j in range(len(b) - span + 1):
-                index.setdefault((m, tuple(b[j + o] for o, c in enumerate(m) if c == "1")), []).append((item, b, j))
-    masks = {m for m, _ in index}
-    for doc, text in docs:
-        h = words(text)
-        for m in masks:
-            for i in range(len(h) - len(m) + 1):
-                for item, b, j in index.get((m, tuple(h[i + o] for o, c in enumerate(m) if c == "1")), ()):
-                    lo, hi = max(0, j - i), min(len(b), len(h) - i + j)
-                    a = max(lo, min(j - (REGION - SPAN) // 2, hi - REGION))
-                    n = min(REGION, hi - a)
-                    if sum(b[x] == h[x + i - j] for x in range(a, a + n)) >= 0.8 * n:
-                        out.add((doc, item))
+    """What holds a passage by the definition: items laid beside documents at every place, no seeds."""
+    return {(d, i) for d, i, *_ in aligned(docs, items)}
+
+
+def aligned(docs, items):
+    """(doc, item, similarity, equal words, overlap) of the best place."""
+    out = []
+    coded: dict[str, int] = {}
+    code = lambda t: np.array([coded.setdefault(w, len(coded)) for w in words(t)], np.int64)
+    docs, items = [(d, code(t)) for d, t in docs], [(i, code(t)) for i, t in items]
+    for item, b in items:
+        if not len(b):
+            continue
+        for doc, h in {(d, tuple(h)): (d, h) for d, h in docs}.values():
+            best = None
+            j, i = np.nonzero(b[:, None] == h[None])
+            shifts, equal = np.unique(i - j, return_counts=True)
+            for shift in shifts[5 * equal >= 4 * min(len(b), SPAN)].tolist():  # others have too few equal words in all
+                lo, hi = max(0, -shift), min(len(b), len(h) - shift)
+                if hi - lo < min(len(b), SPAN):
+                    continue
+                same = np.r_[0, np.cumsum(b[lo:hi] == h[lo + shift : hi + shift])]
+                n = min(REGION, hi - lo)
+                agree = (same[n:] - same[:-n]).max()
+                if 5 * agree >= 4 * n:
+                    best = max(best or (0,), (agree / n, int(same[-1]), -shift, hi - lo))
+            if best:
+                out.append((doc, item, best[0], best[1], best[3]))
     return out
 
 
+@pytest.mark.parametrize("n", range(1, REGION + 1))
+def test_no_placement_of_substitutions_escapes_all_masks(n):
+    """Every way to substitute as many of ``n`` words as the similarity allows leaves a place for one of the masks."""
+    allowed = n - math.ceil(0.8 * n - 1e-9)
+    for spots in itertools.combinations(range(n), allowed):
+        left = set(range(n)) - set(spots)
+        assert any({o + k for k, c in enumerate(m) if c == "1"} <= left for m in masks_of(n) for o in range(n - len(m) + 1)), spots
+
+
 def test_all_documents(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = plain([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
@@ -72,22 +93,6 @@ def test_substitutions_short_items_and_both_joins(spark, limit):
     assert left.columns == a.columns and {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
-def aligned(docs, items):
-    """What holds a passage by the definition: items laid beside documents at every place, no seeds."""
-    out = set()
-    for item, text in items:
-        b = words(text)
-        for doc, t in docs:
-            h = words(t)
-            for shift in range(-len(b), len(h)):
-                lo, hi = max(0, -shift), min(len(b), len(h) - shift)
-                n = min(REGION, hi - lo)
-                same = [b[x] == h[x + shift] for x in range(lo, hi)]
-                if hi - lo >= min(len(b), SPAN) and any(sum(same[k : k + n]) >= 0.8 * n for k in range(len(same) - n + 1)):
-                    out.add((doc, item))
-    return out
-
-
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_every_placement_of_substitutions_is_found(spark, limit):
     rng = random.Random(11)
@@ -109,4 +114,35 @@ def test_every_placement_of_substitutions_is_found(spark, limit):
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in passages(a, b, broadcast_words=limit).collect()}
     want = aligned(docs, items)
-    assert len(want) >= len(docs) and got == want
+    assert len(want) >= len(docs) and got == {x[:2] for x in want}
+    best = {(r.doc_id, r.item_id, r.similarity, r.equal_words, r.overlap_words) for r in contaminated(a, b).collect()}
+    assert best == set(want)
+
+
+def test_random_substitutions_are_all_found(spark):
+    """Recall by length of the item and number of substituted words, at the stated similarity: 1."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [(n, " ".join(rng.choices(vocabulary, k=n))) for n in (5, 8, 11, 12, 15, 16, 20, 24, 40)]
+    docs = []
+    for n, text in items:
+        for changed in range(min(n, REGION) // 5 + 1):
+            for _ in range(30):
+                part = text.split()
+                for k in rng.sample(range(min(n, REGION)), changed):
+                    part[k] = "other"
+                docs.append((len(docs), n, " ".join([*rng.choices(vocabulary, k=20), *part, *rng.choices(vocabulary, k=20)])))
+    a, b = spark.createDataFrame(docs, "doc_id long, of long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(a, b).collect()}
+    assert {(d, n) for d, n, _ in docs} <= got
+
+
+def test_one_word_repeated_very_often(spark):
+    """Equal words side by side make one comparison for each diagonal, not one for each pair of places."""
+    docs = [(1, "na " * 50_000), (2, "na nu " * 2_000), (3, "nu " + "na " * 30 + "nu")]
+    items = [(1, "na " * 400), (2, "nu na " * 100), (3, "na " * 24), (4, "hey " + "na " * 11)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.equal_words, r.overlap_words) for r in contaminated(a, b).collect()}
+    assert got[1, 1] == (1.0, 400, 400) and got[2, 2] == (1.0, 200, 200) and got[3, 3] == (1.0, 24, 24)
+    assert got[1, 4] == (11 / 12, 11, 12)
+    assert set(got) == {(1, 1), (1, 3), (1, 4), (2, 2), (3, 1), (3, 3), (3, 4)}

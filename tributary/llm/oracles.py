@@ -53,21 +53,21 @@ FROM e GROUP BY conv_id
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')"
 
+#: Seeds of another kind than the operator's: the longest run of words that substitutions must leave somewhere.
 DECONTAMINATION = f"""
-WITH b AS (SELECT DISTINCT item_id, {_WORDS} AS b FROM benchmark),
+WITH b AS (SELECT item_id, b, len(b) AS n, CASE WHEN len(b) >= 12 THEN 3 ELSE ceil((len(b) - others) / (others + 1))::INT END AS run
+           FROM (SELECT *, len(b) - ceil(len(b) * 4 / 5)::INT AS others FROM (SELECT DISTINCT item_id, {_WORDS} AS b FROM benchmark)) WHERE len(b) > 0),
 d AS (SELECT DISTINCT doc_id, {_WORDS} AS h FROM documents),
-seed AS (SELECT * FROM (VALUES (0, 12, [0, 1, 3, 4, 7, 9, 10, 11]), (1, 12, [0, 2, 3, 5, 6, 7, 10, 11])) v(k, span, o)
-         UNION ALL SELECT DISTINCT 100 + len(b), len(b), range(len(b)) FROM b WHERE len(b) BETWEEN 1 AND 11),
-bs AS (SELECT item_id, b, j, k, array_to_string(list_transform(o, lambda x: b[j + x + 1]), ' ') AS key
-       FROM (SELECT item_id, b, k, o, unnest(range(len(b) - span + 1)) AS j FROM b, seed WHERE k < 2 AND len(b) >= 12 OR k = 100 + len(b))),
-ds AS (SELECT doc_id, h, i, k, array_to_string(list_transform(o, lambda x: h[i + x + 1]), ' ') AS key
-       FROM (SELECT doc_id, h, k, o, unnest(range(len(h) - span + 1)) AS i FROM d, seed WHERE len(h) >= span)),
-hit AS (SELECT doc_id, item_id, b, h, j, i - j AS s, greatest(0, j - i) AS lo, least(len(b), len(h) - i + j) AS hi FROM bs JOIN ds USING (k, key)),
-reg AS (SELECT *, greatest(lo, least(j - 6, hi - 24)) AS a FROM hit),
-cmp AS (SELECT doc_id, item_id, s, least(24, hi - a) AS n, hi - lo AS ov, len(list_filter(range(a, a + least(24, hi - a)), lambda x: b[x + 1] = h[x + s + 1])) AS agree,
-               len(list_filter(range(lo, hi), lambda x: b[x + 1] = h[x + s + 1])) AS eq FROM reg),
-best AS (SELECT *, agree / n::DOUBLE AS sim, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agree / n::DOUBLE DESC, eq DESC, s) AS r FROM cmp WHERE agree >= 0.8::DOUBLE * n)
-SELECT doc_id, item_id, sim AS similarity, eq::INT AS equal_words, ov::INT AS overlap_words FROM best WHERE r = 1
+bs AS (SELECT item_id, run, j, array_to_string(b[j + 1:j + run], ' ') AS key FROM (SELECT *, unnest(range(n - run + 1)) AS j FROM b)),
+ds AS (SELECT doc_id, run, i, array_to_string(h[i + 1:i + run], ' ') AS key
+       FROM (SELECT *, unnest(range(len(h) - run + 1)) AS i FROM d, (SELECT DISTINCT run FROM b) WHERE len(h) >= run)),
+lay AS (SELECT DISTINCT doc_id, item_id, i - j AS s FROM bs JOIN ds USING (run, key)),
+eq AS (SELECT doc_id, item_id, s, list_transform(range(greatest(0, -s), least(n, len(h) - s)), lambda x: (b[x + 1] = h[x + s + 1])::INT) AS e
+       FROM lay JOIN b USING (item_id) JOIN d USING (doc_id) WHERE least(n, len(h) - s) - greatest(0, -s) >= least(n, 12)),
+reg AS (SELECT *, least(24, len(e)) AS r FROM eq WHERE list_sum(e) * 5 >= 4 * least(24, len(e))),
+cmp AS (SELECT *, list_max(list_transform(range(len(e) - r + 1), lambda a: list_sum(e[a + 1:a + r]))) AS agree FROM reg),
+best AS (SELECT *, agree / r::DOUBLE AS sim, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agree / r::DOUBLE DESC, list_sum(e) DESC, s) AS k FROM cmp WHERE agree * 5 >= r * 4)
+SELECT doc_id, item_id, sim AS similarity, list_sum(e)::INT AS equal_words, len(e)::INT AS overlap_words FROM best WHERE k = 1
 """
 
 ORACLES = {
