@@ -9,7 +9,9 @@ import hashlib
 import os
 import zlib
 
-from tributary.llm.warc import EMPTY_MEMBER, archive_round_trip, deflate, inflate, normalise, parse, read_records, record, split_records, with_origins, write_monolithic
+import pytest
+
+from tributary.llm.warc import EMPTY_MEMBER, archive_round_trip, deflate, fetch, inflate, normalise, parse, read_index, read_records, record, split_records, with_origins, write_monolithic
 
 
 def want(rows):
@@ -49,13 +51,29 @@ def test_files_are_gzip_and_the_index_finds_records(spark, tmp_path):
         z.decompress(data)
         assert z.eof and not z.unused_data  # one stream
     normalise(spark, raw, out)
-    shards = {int(os.path.basename(f).split("-")[1]): open(f, "rb").read() for f in glob.glob(out + "/warc/part-*")}
+    shards = {int(os.path.basename(f).split("-")[1]): open(f, "rb").read() for f in glob.glob(out + "/sidecar=0/part-*")}
     seen = set()
-    for r in spark.read.parquet(out + "/index").collect():
+    for r in read_index(spark, out).collect():
         rec = gzip.decompress(shards[r.shard][r.offset : r.offset + r.length])
         seen.add(parse(rec)[0])
         assert r.record_id == f"<urn:page:{parse(rec)[0]}>"
     assert seen == set(range(300)) and read_records(spark, out).count() == 300
+    wanted = spark.createDataFrame([("<urn:page:7>",), ("<urn:page:250>",), ("<urn:page:250>",), ("<urn:page:999>",)], "record_id string")
+    assert sorted(r.page_id for r in fetch(spark, out, wanted).collect()) == [7, 250]
+    os.remove(sorted(glob.glob(out + "/sidecar=1/part-*"))[0])
+    with pytest.raises(Exception, match="don't agree"):
+        read_records(spark, out).collect()
+
+
+def test_files_of_few_records_lose_nothing(spark):
+    """However the session splits files, a shard's members stay in one."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<b>{i % 40}</b>") for i in range(50)], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "10")
+    try:
+        got = archive_round_trip(pages).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted((tuple(r) for r in got), key=repr) == want([(r.page_id, r.html) for r in pages.collect()])
 
 
 def test_large_members_and_pieces():

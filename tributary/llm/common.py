@@ -54,6 +54,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(same, low).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate files, wherever it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
