@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -92,10 +93,38 @@ def test_all_visible_words_of_all_pages(spark):
 def test_any_markup_is_rendered(page):
     text = render_page(page)[1]
     assert text == text.strip("\n") and "\n\n\n" not in text or "<pre>" in page or "<br>" in page
-    if not {"hidden", "<a href='", '"'} & set(re.findall(r"hidden|<a href='|\"", page)) and "<<" not in page and not re.search(r"<(?![a-z/])", page):
+    if not re.search(r"hidden|<a href='|\"|<(?!/?(?:[a-z]+[^<>]*)>)", page):  # all words stand outside of tags
         assert text.count("word") == page.count("word")
 
 
+@pytest.mark.parametrize("depth", [10, 149, 150, 151, 200, 5000])
+def test_deep_elements_hide_and_end_like_others(depth):
+    deep = lambda page: render_page("<div>" * depth + page)[1]
+    assert deep("<script>var secret=1</script>vis") == "vis"
+    assert deep("<p hidden>hid</p>vis") == "vis"
+    assert deep("<div style='display:none'><p>a<b>b</b></div>vis<style>x{}</style>") == "vis"
+    assert deep("a<div>b</div>c<p>d</p></div></div>e").split() == ["a", "b", "c", "d", "e"]
+    assert deep("<details><summary>s</summary>no<p>no</p></details>vis").split() == ["s", "vis"]
+    assert deep("<pre>x\n  y</pre>").split("\n")[-1] == "  y"
+    assert deep("a <b>b</b> c<br>d") == "a b c\nd"
+    assert deep("<table><tr><td>1<td>2<tr><td>3</table>").split() == ["1", "2", "3"]
+    assert deep("<ul><li>x<li>y</ul>").replace("-", "").split() == ["x", "y"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a", "</a ", "<", "<div>", "<div>x", "<x></y>", "<!-", "<table><tr><td>", "<ul><li>x", "<p><b>", "<a '", "&", "<td colspan=1000 rowspan=65534>"])
+def test_a_megabyte_of_anything_takes_linear_time(part):
+    began = time.time()
+    render_page(part * (1_000_000 // len(part)))
+    assert time.time() - began < 60
+
+
+def test_text_of_drawings_formulas_and_wide_cells():
+    page = "<svg><title>t</title><desc>no</desc><defs><text>no</text></defs><text>seen</text></svg> <math><mi>x</mi><annotation>no</annotation></math>"
+    assert render_page(page) == ("", "seen x")
+    assert render_page("<table><tr><td colspan=1000>a<td>b<tr><td>c</table>")[1].split() == ["a", "b", "c"]
+    assert render_page("<table><tr><td rowspan=200>a<td>b" + "<tr><td>c" * 199 + "<tr><td>d</table>")[1].split("\n")[-2:] == ["   c", "d"]
+
+
 def test_nulls_and_repeats(spark):
     rows = [(1, None), (2, ""), (None, "<p>x"), (3, "<li>y"), (3, "<li>y"), (4, "word " * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "1 title", "2 text")

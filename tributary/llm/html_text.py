@@ -6,11 +6,13 @@ lines around paragraphs, a line for each other block, bullets and numbers of lis
 aligned columns, preformatted text as it stands. All visible text is emitted; nothing is guessed to be
 boilerplate.
 
-Not shown: head, script, style, template, noscript, media and form controls without text, comments; elements
+Not shown: head, script, style, template, noscript, media and form controls without text, comments; descriptions
+and definitions in svg, annotations in math (the other text of both is); elements
 with ``hidden``, ``display:none`` or ``visibility:hidden``; the body of a ``details`` that isn't open.
 
-Defined cases: null html gives empty text; broken markup is text or is closed where HTML closes it; elements
-nested deeper than ``MAX_DEPTH`` are laid out at that depth; a null page_id and repeated rows are rendered
+Defined cases: null html gives empty text; broken markup is text or is closed where HTML closes it; of elements
+nested deeper than ``MAX_DEPTH`` all visible text is given, in lines of its own for each block, but without further
+bullets, indents and columns, whose size would grow with the square of the depth; a null page_id and repeated rows are rendered
 like any other; extra columns are left alone; an empty table gives no rows.
 """
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
+#: Elements nested deeper are laid out at this depth.
 MAX_DEPTH = 150
-MAX_SPAN = 100
+# The most columns and rows that a cell spans in HTML.
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math map datalist".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas map datalist".split())
+UNSEEN_WITHIN = {"svg": frozenset("desc metadata defs".split()), "math": frozenset("annotation annotation-xml".split())}
+PRE = frozenset("pre textarea xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset menu".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer main nav address center details dialog dd dt figcaption form hr legend li optgroup option search summary caption thead tbody tfoot tr td th textarea xmp".split())
 ENDS_P = (BLOCK - frozenset("html body option optgroup caption thead tbody tfoot tr td th textarea".split())) | {"xmp"}
@@ -51,18 +57,91 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content an end tag outside doesn't close.
 SCOPE = frozenset("table td th caption button object template html".split())
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
+_TAG = re.compile(r"""<(?:/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "shown")
+    """An element. ``owner`` and ``leaf`` tell where the content of one beyond ``MAX_DEPTH`` goes."""
+
+    __slots__ = ("tag", "attributes", "children", "shown", "owner", "leaf")
 
     def __init__(self, tag: str, attributes: dict[str, str], shown: bool = True):
         self.tag, self.attributes, self.shown = tag, attributes, shown
         self.children: list[Node | str] = []
+        self.owner: Node | None = None
+        self.leaf = ""
+
+    def is_closed(self) -> bool:
+        return self.tag == "details" and "open" not in self.attributes
+
+
+class Path:
+    """The open elements from the root on, with the places of each kind, so that none is searched for.
+
+    Elements beyond ``MAX_DEPTH`` are open like others, so they hide what they hide and end where they end; but
+    what they show is put into blocks within the element at that depth, one for each of their stretches.
+    """
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {root.tag: [0]}
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of these kinds, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def cut(self, k: int) -> None:
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
+
+    def close(self, names: Iterable[str], stop: Iterable[str]) -> bool:
+        """End the innermost element of these kinds, unless one of ``stop`` is open within it."""
+        k = self.last(names)
+        if k < 1 or k < self.last(stop):
+            return False
+        self.cut(k)
+        return True
+
+    def put(self, child: Node | str) -> None:
+        top = self.top
+        if len(self.nodes) <= MAX_DEPTH:
+            top.children.append(child)
+        elif top.shown and not top.is_closed():
+            home = self.nodes[MAX_DEPTH - 1].children
+            if top.owner:
+                if not (home and isinstance(home[-1], Node) and home[-1].owner is top.owner):
+                    home.append(self._leaf(top.owner))
+                home[-1].children.append(child)
+            else:
+                home.append(child)
+
+    def open(self, node: Node) -> None:
+        if len(self.nodes) < MAX_DEPTH:
+            self.top.children.append(node)
+        else:
+            above = self.top
+            if len(self.nodes) > MAX_DEPTH:
+                node.shown &= above.shown and (not above.is_closed() or node.tag == "summary")
+                node.owner, node.leaf = above.owner, above.leaf
+            if node.tag in BLOCK:
+                node.owner = node
+                node.leaf = "pre" if node.tag in PRE or node.leaf == "pre" else "summary" if node.tag == "summary" else "div"
+                if node.shown:
+                    self.nodes[MAX_DEPTH - 1].children.append(self._leaf(node))
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(len(self.nodes) - 1)
+
+    @staticmethod
+    def _leaf(owner: Node) -> Node:
+        leaf = Node(owner.leaf, {})
+        leaf.owner = owner
+        return leaf
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -78,89 +157,90 @@ def is_shown(tag: str, attributes: dict[str, str]) -> bool:
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("start", tag, attributes), ("raw", text, tag) and ("end", tag, "") in order."""
-    at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            yield "text", page[at : m.start()], ""
-        at = m.end()
-        if m[1]:
+    at = seen = 0  # what is before ``at`` has been given, what is before ``seen`` holds no more tags
+    last = page.rfind(">")
+    while (i := page.find("<", seen)) >= 0:
+        m = None
+        if page.startswith(("<!", "<?"), i):
+            end = _after(page, "-->", i + 2) if page.startswith("<!--", i) else _after(page, ">", i)
+        elif i > last or not (m := _TAG.match(page, i)):
+            seen = i + 1
+            continue
+        else:
+            end = m.end()
+        if i > at:
+            yield "text", page[at:i], ""
+        at = seen = end
+        if m and m[1]:
             yield "end", m[1].lower(), ""
-        elif tag := (m[2] or m[4] or "").lower():
+        elif m:
+            tag = (m[2] or m[4]).lower()
             yield "start", tag, m[3] or m[5] or ""
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 end = close.start() if close else len(page)
                 if end > at:
                     yield "raw", page[at:end], tag
-                at = end
+                at = seen = end
     if at < len(page):
         yield "text", page[at:], ""
 
 
+def _after(page: str, mark: str, at: int) -> int:
+    """The place behind the next mark, or the end of the page."""
+    k = page.find(mark, at)
+    return k + len(mark) if k >= 0 else len(page)
+
+
 def tree(page: str) -> tuple[Node, str]:
     """The page's tree, and its title."""
     root = Node("html", {})
-    path, title = [root], ""
-
-    def close(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for k in range(len(path) - 1, 0, -1):
-            if path[k].tag in names:
-                del path[k:]
-                return
-            if path[k].tag in stop:
-                return
-
+    path, title = Path(root), ""
     for kind, value, more in tokens(page):
         if kind == "text":
-            if path[-1].tag == "head" and value.strip():
-                path.pop()  # text ends the head
-            path[-1].children.append(html.unescape(value))
+            if path.top.tag == "head" and value.strip():
+                path.close({"head"}, ())  # text ends the head
+            path.put(html.unescape(value))
         elif kind == "raw":
-            if more == "title" and not title:
+            if more == "title" and not title and not path.at.get("svg"):
                 title = _SPACE.sub(" ", html.unescape(value)).strip()
-            path[-1].children.append(html.unescape(value) if more in ("title", "textarea") else value)
+            path.put(html.unescape(value) if more in ("title", "textarea") else value)
         elif kind == "end":
             if value == "br":
-                path[-1].children.append(Node("br", {}))
+                path.put(Node("br", {}))
             elif value in HEADINGS:
-                close(HEADINGS, SCOPE)
+                path.close(HEADINGS, SCOPE)
             elif value not in ("html", "body"):
-                stop = {"table"} if value in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else SCOPE if value != "table" else frozenset()
-                close({value}, stop)
+                stop = {"table"} if value in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else SCOPE if value != "table" else ()
+                path.close({value}, stop)
         else:
             attributes = attributes_of(more) if more else {}
             if value in ("html", "body"):
-                close({"head"}, frozenset())
+                path.close({"head"}, ())
                 if not is_shown(value, attributes):
                     root.shown = False
                 continue
-            if path[-1].tag == "head" and value not in ("base", "link", "meta", "title", "style", "script", "template", "noscript"):
-                path.pop()
+            if path.top.tag == "head" and value not in ("base", "link", "meta", "title", "style", "script", "template", "noscript"):
+                path.close({"head"}, ())
             if value in ENDS_P:
-                close({"p"}, SCOPE)
-            if value in HEADINGS and path[-1].tag in HEADINGS:
-                path.pop()
+                path.close({"p"}, SCOPE)
+            if value in HEADINGS and path.top.tag in HEADINGS:
+                path.close(HEADINGS, ())
             if value in CLOSES:
                 names, stop = CLOSES[value]
-                while any(n.tag in names for n in path[_last(path, stop) + 1 :]):
-                    close(names, stop)
-            node = Node(value, attributes, is_shown(value, attributes))
-            path[-1].children.append(node)
-            if value not in VOID and len(path) < MAX_DEPTH:
-                path.append(node)
+                while path.last(names) > path.last(stop):
+                    path.close(names, stop)
+            shown = is_shown(value, attributes) and not any(value in inner and path.at.get(outer) for outer, inner in UNSEEN_WITHIN.items())
+            if value in VOID:
+                path.put(Node(value, attributes, shown))
+            else:
+                path.open(Node(value, attributes, shown))
     return root, title
 
 
-def _last(path: list[Node], names: set[str]) -> int:
-    for k in range(len(path) - 1, -1, -1):
-        if path[k].tag in names:
-            return k
-    return 0
-
-
 def inline(node: Node, pre: bool) -> Iterator[tuple[str | Node, bool]]:
     """The texts, line breaks and blocks in a node, with whether white space counts."""
-    closed = node.tag == "details" and "open" not in node.attributes
+    closed = node.is_closed()
     first = True
     for child in node.children:
         if isinstance(child, str):
@@ -223,7 +303,7 @@ def block(node: Node, pre: bool) -> list[str]:
         return items(node, pre)
     if node.tag == "table":
         return cells(node, pre)
-    if node.tag in ("pre", "textarea", "xmp"):
+    if node.tag in PRE:
         return render(node, True)
     lines = render(node, pre)
     if node.tag in ("blockquote", "dd"):
@@ -289,20 +369,24 @@ def cells(node: Node, pre: bool) -> list[str]:
     before = Node("div", {})
     before.children = list(_outside(node))
     grid: list[list[tuple[int, int, list[str]]]] = []
-    held: dict[int, int] = {}  # columns taken by cells of rows above, and for how many more rows
-    for tr in _rows(node):
-        row, column = [], 0
-        now, held = held, {c: n - 1 for c, n in held.items() if n > 1}
+    held: list[tuple[int, int, int]] = []  # columns from, to, taken by cells of rows above, and the last such row
+    for number, tr in enumerate(_rows(node)):
+        row, column, fresh = [], 0, False
+        below: list[tuple[int, int, int]] = []
         for cell in tr.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.shown:
-                while column in now:
-                    column += 1
-                span = min(MAX_SPAN, max(1, _int(cell.attributes.get("colspan"), 1)))
-                down = min(MAX_SPAN, max(1, _int(cell.attributes.get("rowspan"), 1)))
+                if not fresh:
+                    held, k, fresh = sorted(x for x in held if x[2] >= number), 0, True
+                while k < len(held) and held[k][0] <= column:
+                    column = max(column, held[k][1])
+                    k += 1
+                span = min(MAX_COLUMNS, max(1, _int(cell.attributes.get("colspan"), 1)))
+                down = min(MAX_ROWS, max(1, _int(cell.attributes.get("rowspan"), 1)))
                 row.append((column, span, render(cell, pre)))
                 if down > 1:
-                    held |= dict.fromkeys(range(column, column + span), down - 1)
+                    below.append((column, column + span, number + down - 1))
                 column += span
+        held += below
         grid.append(row)
     width: dict[int, int] = {}
     for column, span, lines in sorted((c for row in grid for c in row), key=lambda c: c[1]):
@@ -311,7 +395,7 @@ def cells(node: Node, pre: bool) -> list[str]:
         last = column + span - 1
         width[last] = width.get(last, 0) + max(0, most - have)
     start, at = {}, 0
-    for column in range(max(width, default=-1) + 1):
+    for column in sorted({*width, *(c[0] for row in grid for c in row)}):  # the others are empty
         start[column] = at
         at += width.get(column, 0) + (2 if width.get(column, 0) else 0)
     out = render(before, pre)
