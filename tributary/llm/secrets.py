@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 RADIUS = 400
 # The kinds and their forms, in the order in which spans of one start are told apart.
 NAMES = ("password", "passwd", "secret", "token", "api")
@@ -38,24 +40,31 @@ KINDS = (*BASE, "secret", "endpoint")
 KEY = ["doc_id", "text_hash", "size"]
 
 
-def places(docs: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, text_hash, size, kind, start, end) of the matches of a kind in ``docs``.
+def matches(kind: str, value: bool) -> Column:
+    """What lies before each match of a kind in ``text``, the match and its value, as lengths, in order."""
+    regex, text = F.lit(PATTERNS[kind]), F.col("text")
+    lengths = lambda column: F.transform(column, lambda x: F.length(x))
+    between = lengths(F.split(text, PATTERNS[kind], -1))
+    whole = lengths(F.regexp_extract_all(text, regex, F.lit(0)))
+    worth = lengths(F.regexp_extract_all(text, regex, F.lit(2))) if value else whole
+    return F.arrays_zip(between.alias("gap"), whole.alias("len"), worth.alias("val"))
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, size, kind, start, end) of the matches of all kinds in ``docs``, from one scan.
 
     Matches are leftmost and don't overlap. A match that fails on its length is dropped after it has
     taken its place. ``hex`` asks for the length in the pattern: a run of hex digits is one match either way.
+    A text is searched for a weak kind only if it can hold an access identifier, which all links need.
     """
-    regex, text = F.lit(PATTERNS[kind]), F.col("text")
-    group = 2 if kind == "assign" else 0
-    lengths = lambda column: F.transform(column, lambda x: F.length(x))
-    between = lengths(F.split(text, PATTERNS[kind], -1)).alias("gap")
-    whole = lengths(F.regexp_extract_all(text, regex, F.lit(0))).alias("len")
-    value = lengths(F.regexp_extract_all(text, regex, F.lit(group))).alias("val")
-    rows = docs.select(*KEY, F.posexplode(F.arrays_zip(between, whole, value)).alias("k", "m")).select(*KEY, "k", "m.*").distinct()
-    along = Window.partitionBy(*KEY).orderBy("k")
-    end = F.sum(F.col("gap") + F.coalesce("len", F.lit(0))).over(along)
-    least = {"assign": 6, "access": 20}.get(kind, 1)
+    wanted = {k: likely(k) for k in BASE} | {k: F.col("linking") & F.col("text").rlike(PATTERNS[k]) for k in PATTERNS if k not in BASE}
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(wanted[k], matches(k, k == "assign")).alias("m")) for k in PATTERNS])
+    each = docs.withColumn("linking", likely("access")).select(*KEY, F.explode(found).alias("x"))
+    rows = each.filter("x.m is not null").select(*KEY, "x.kind", F.posexplode("x.m").alias("k", "m")).select(*KEY, "kind", "k", "m.*").distinct()
+    end = F.sum(F.col("gap") + F.coalesce("len", F.lit(0))).over(Window.partitionBy(*KEY, "kind").orderBy("k"))
+    least = F.when(F.col("kind") == "assign", 6).when(F.col("kind") == "access", 20).otherwise(1)
     spans = rows.withColumn("end", end).filter(F.col("val") >= least)
-    return spans.select(*KEY, F.lit(kind).alias("kind"), (F.col("end") - F.col("len")).alias("start"), "end")
+    return spans.select(*KEY, "kind", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
 def likely(kind: str) -> Column:
@@ -77,20 +86,18 @@ def _near(parts: DataFrame, others: DataFrame, radius: int) -> DataFrame:
     scope = [*KEY, "scope"]
     interval = F.floor(F.col("start") / radius)
     ends = others.groupBy(*scope, interval.alias("interval")).agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    ends = ends.select(*[F.col(c).alias(f"e_{c}") for c in ends.columns])
     around = parts.withColumn("interval", F.explode(F.array(*[interval + d for d in (-1, 0, 1)])))
     # in the same interval any is near; in the one before, the last; in the one after, the first
-    same = [around[c].eqNullSafe(ends[c]) for c in [*scope, "interval"]]
-    near = F.least(F.abs(around["start"] - ends["lo"]), F.abs(around["start"] - ends["hi"])) <= radius
-    together = (F.floor(around["start"] / radius) == ends["interval"]) | near
+    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in [*scope, "interval"]]
+    near = F.least(F.abs(F.col("start") - F.col("e_lo")), F.abs(F.col("start") - F.col("e_hi"))) <= radius
+    together = (F.floor(F.col("start") / radius) == F.col("e_interval")) | near
     return around.join(ends, [*same, together], "left_semi").drop("interval").distinct()
 
 
-def linked(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The weak spans of ``docs`` that stand near their complement, as ``places`` gives them."""
-    some = docs.filter(likely("access"))
-    parts = places(some, "access")
-    for kind in ("secret", "endpoint", "break"):
-        parts = parts.unionByName(places(some.filter(F.col("text").rlike(PATTERNS[kind])), kind))
+def linked(spans: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The weak spans that stand near their complement, as ``places`` gives them."""
+    parts = spans.filter(F.col("kind").isin("access", "secret", "endpoint", "break"))
     order = Window.partitionBy(*KEY).orderBy("start", F.col("kind") != "break")
     parts = parts.withColumn("scope", F.count(F.when(F.col("kind") == "break", 1)).over(order))
     secrets = _near(parts.filter("kind = 'secret'"), parts.filter("kind = 'access'"), radius)
@@ -100,11 +107,8 @@ def linked(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def secret_spans(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text_hash, size, kind, start, end): every span of every document, each once."""
-    docs = keyed(documents)
-    spans = linked(docs, radius)
-    for kind in BASE:
-        spans = spans.unionByName(places(docs.filter(likely(kind)), kind))
-    return spans
+    spans = cut(places(keyed(documents)))  # numbers only; base, weak and linked spans all come from them
+    return spans.filter(F.col("kind").isin(*BASE)).unionByName(linked(spans, radius))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -123,10 +127,10 @@ def scan(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
         joined(F.collect_list(F.when(F.col("kind").isin(*BASE), item))).alias("base"),
         joined(F.collect_list(item)).alias("all"),
     )
-    docs = keyed(documents).drop("text")
-    rows = docs.join(found, [docs[c].eqNullSafe(found[c]) for c in KEY], "left")
+    found = found.select(*[F.col(c).alias(f"f_{c}" if c in KEY else c) for c in found.columns])
+    rows = keyed(documents).drop("text").join(found, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in KEY], "left")
     return rows.select(
-        docs["doc_id"],
+        "doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("all", F.lit("")).alias("spans"),
