@@ -50,6 +50,9 @@ def test_tokens(spark):
     assert one(spark, t.address_parts(x)["city"], v="alone") == ""
     assert [one(spark, t.count_matches(x), v=v) for v in ("", " ", "a", "a,b", "a,,b")] == [0, 0, 1, 2, 3]
     assert one(spark, t.country_key(x), v=" US ") == "us"
+    assert one(spark, t.country_key(x), v="\u00a0US\t\u2003\n") == "us"
+    assert one(spark, t.count_matches(x), v="\t") == 0
+    assert [one(spark, tsv.source_of(x), v=v) for v in ("S1-4", "S2-4", "S3-4", "T-4")] == ["S1", "S2", "S3", None]
     assert one(spark, t.scripts(x), v="abc дом") == ["CYRILLIC", "LATIN"] and one(spark, t.scripts(x), v="12 ª") == []
     assert one(spark, t.cross_script(t.scripts(F.col("a")), t.scripts(F.col("b"))), a="dom", b="дом")
     assert not one(spark, t.cross_script(t.scripts(F.col("a")), t.scripts(F.col("b"))), a="dom", b="12")
@@ -211,6 +214,22 @@ def test_tsv(spark, tmp_path):
     assert tsv.unresolved(cands, spark.createDataFrame([("S1-1", "", "", "")], tsv.RECORD), records).count() == 1
 
 
+def test_a_pair_needs_one_record_on_each_side(spark):
+    records = spark.createDataFrame([("S1-1", "a", "b", "c"), ("S2-1", "a", "b", "c"), ("S2-2", "a", "b", "c"), ("S2-2", "x", "b", "c")], tsv.RECORD)
+    prepared = blocking.prepare(records)
+    pairs = lambda *ids: spark.createDataFrame([("S1-1", i) for i in ids], "s1_id string, candidate_id string")
+    assert joined(pairs("S2-1", "S2-1"), prepared, prepared).count() == 2
+    for wrong in ("S2-2", "S2-9"):
+        with pytest.raises(Exception, match="no single record has the id " + wrong):
+            joined(pairs("S2-1", wrong), prepared, prepared).collect()
+
+
+def test_limits_tell_the_rules_apart(spark):
+    x = document_linkage(spark, SF, True)
+    sizes = {r.rule: r.candidates for r in rules.rule_sizes(x.s1, x.targets, x.candidates, x.truth, x.frequency, {"C": 1, "D": 2, "E": 4, "F": 8, "B": None}).collect()}
+    assert sizes["A"] < sizes["C"] <= sizes["D"] <= sizes["E"] <= sizes["F"] <= sizes["B"] and sizes["C"] < sizes["B"]
+
+
 def test_classifications(spark):
     rows = [
         ("S1-1", "Acme Tools", "5 Main Street, Oldtown, TX", "US"),

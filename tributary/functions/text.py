@@ -81,8 +81,13 @@ def normalize_text(x: Column) -> Column:
 normalize_name = normalize_address = normalize_text
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at both ends; ``trim`` takes spaces only."""
+    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def country_key(x: Column) -> Column:
-    return F.lower(F.trim(text_of(x)))
+    return F.lower(stripped(text_of(x)))
 
 
 def _words(normal: Column) -> Column:
@@ -154,7 +159,7 @@ def address_words(address: Column, with_tokens: bool) -> Column:
 
 def count_matches(x: Column) -> Column:
     """Comma-separated entries of a truth cell, blank ones included; 0 for an empty cell."""
-    return F.when(F.trim(text_of(x)) == "", 0).otherwise(F.size(F.split(text_of(x), ",")))
+    return F.when(stripped(text_of(x)) == "", 0).otherwise(F.size(F.split(text_of(x), ",")))
 
 
 def scripts(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import similarity as s
+from tributary.storage import settled
 
 FEATURES = (
     "exact_name", "name_character_similarity", "name_edit_similarity", "name_token_overlap_count", "name_token_jaccard", "name_length_difference", "name_contains",
@@ -17,10 +18,18 @@ _FIELDS = ("name", "address", "country_key", "name_set", "address_set", "number_
 
 
 def joined(pairs: DataFrame, s1: DataFrame, targets: DataFrame, fields: tuple[str, ...] = _FIELDS) -> DataFrame:
-    """Pairs with the prepared fields of both records, as s1_... and target_..."""
-    left = s1.select(F.col("entity_id").alias("s1_id"), *[F.col(f).alias(f"s1_{f}") for f in fields])
-    right = targets.select(F.col("entity_id").alias("candidate_id"), *[F.col(f).alias(f"target_{f}") for f in fields])
-    return pairs.join(left, "s1_id").join(right, "candidate_id")
+    """Pairs with the prepared fields of both records, as s1_... and target_...
+
+    Many pairs to one record: an id that no record has, or that several have, is an error when the rows are read,
+    so no pair is lost or doubled silently.
+    """
+    for records, key, side in ((s1, "s1_id", "s1"), (targets, "candidate_id", "target")):
+        one = records.groupBy(F.col("entity_id").alias(key)).agg(F.count("*").alias("_n"), F.first(F.struct(*fields)).alias("_r"))
+        wrong = F.concat(F.lit("no single record has the id "), F.coalesce(key, F.lit("null")))
+        found = F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(wrong))
+        pairs = pairs.join(one, key, "left").withColumn("_r", found)
+        pairs = pairs.select(*[c for c in pairs.columns if c not in ("_n", "_r")], *[F.col("_r")[f].alias(f"{side}_{f}") for f in fields])
+    return pairs
 
 
 def _similar(rows: DataFrame, field: str) -> DataFrame:
@@ -60,7 +69,7 @@ def set_features(rows: DataFrame) -> dict[str, Column]:
 
 def pair_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     """The columns of ``pairs`` and the twenty features as doubles; cast to float only where they are stored."""
-    rows = joined(pairs, s1, targets)
+    rows = settled(joined(pairs, s1, targets))  # read for the pairs of strings, and to bring their similarities back
     for field in ("name", "address"):
         rows = _similar(rows, field)
     name, address = F.col("name_similarity"), F.col("address_similarity")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import blocking
 from tributary.operators.blocking import PAIR
+from tributary.storage import settled
 
 
 @dataclass
@@ -22,7 +23,8 @@ class Linkage:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return blocking.candidate_pairs(self.s1, self.targets)
+        """Computed once, as nearly every report reads them several times."""
+        return settled(blocking.candidate_pairs(self.s1, self.targets))
 
     @cached_property
     def frequency(self) -> DataFrame:

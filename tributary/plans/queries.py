@@ -16,12 +16,10 @@ from tributary.operators.features import joined, pair_features, set_features, st
 from tributary.plans import reports
 from tributary.plans.fixtures import Linkage, document_linkage, document_records, part_linkage, truth_cells
 from tributary.sources.tsv import required_records, source_of
+from tributary.storage import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Limits on the frequency of a token that tell rules C to F apart on the test tables.
-LIMITS = {"C": 2, "D": 4, "E": 8, "F": 16, "B": None}
-RARE = (1, 2, 5, 10, 50)
 
 
 def query(sql: str | None = None):
@@ -201,10 +199,10 @@ def three_letter_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.three_letter_frequency(document_linkage(spark, sf_dir, True).targets)
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency FROM single WHERE f <= 16")
+@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency FROM single WHERE f <= 5000")
 def single_token_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = document_linkage(spark, sf_dir, True)
-    return blocking.single_token_pairs(x.s1, x.targets, x.frequency, 16)
+    return blocking.single_token_pairs(x.s1, x.targets, x.frequency, rules.RULE_F_LIMIT)
 
 
 @query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency FROM single")
@@ -213,22 +211,22 @@ def single_token_block_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.single_token_pairs(x.s1, x.targets, x.frequency)
 
 
-@query(
-    E3
-    + """, lim AS (SELECT * FROM (VALUES ('A', -1), ('C', 2), ('D', 4), ('E', 8), ('F', 16), ('B', 1000000000)) v(rule, n)),
+_SIZES = """, lim AS (SELECT * FROM (VALUES ('A', -1), ('C', 100), ('D', 500), ('E', 1000), ('F', 5000), ('B', 1000000000)) v(rule, n)),
 base AS (SELECT s, count(*) AS k, count(*) FILTER ((s, c) IN (SELECT (s, c) FROM truth)) AS h FROM cand GROUP BY s),
 plus AS (SELECT rule, s, count(*) AS k, count(*) FILTER (is_true) AS h FROM extra, lim WHERE f <= n GROUP BY rule, s),
 one AS (SELECT lim.rule, coalesce(base.k, 0) + coalesce(plus.k, 0) AS size, coalesce(plus.k, 0) AS added, coalesce(base.h, 0) + coalesce(plus.h, 0) AS hit
         FROM lim CROSS JOIN s1 LEFT JOIN base ON base.s = s1.id LEFT JOIN plus ON plus.s = s1.id AND plus.rule = lim.rule)
 SELECT rule, sum(hit)::BIGINT AS recovered, count(*) FILTER (added > 0) AS affected, sum(size)::BIGINT AS candidates, min(size) AS min_size, quantile_cont(size, 0.5) AS median_size,
        quantile_cont(size, 0.9) AS p90_size, quantile_cont(size, 0.95) AS p95_size, max(size) AS max_size, ((SELECT count(*) FROM truth) - sum(hit))::BIGINT AS missed FROM one GROUP BY rule"""
-)
+
+
+@query(E3 + _SIZES)
 def rules_a_to_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = document_linkage(spark, sf_dir, True)
-    return rules.rule_sizes(x.s1, x.targets, x.candidates, x.truth, x.frequency, LIMITS)
+    return rules.rule_sizes(x.s1, x.targets, x.candidates, x.truth, x.frequency)
 
 
-@query()
+@query(E3 + _SIZES + " ORDER BY recovered DESC, median_size, max_size, rule LIMIT 1")
 def best_single_token_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.best_rule(rules_a_to_f(spark, sf_dir))
 
@@ -266,41 +264,41 @@ def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 rarest AS (SELECT s, c, min(f) AS f FROM (SELECT s, c, unnest(list_intersect(a.n3, b.n3)) AS t FROM gone JOIN s1 a ON a.id = s JOIN tg b ON b.id = c) JOIN f3 USING (t) GROUP BY s, c),
 tot AS (SELECT count(*) AS n, count(*) FILTER ((s, c) IN (SELECT (s, c) FROM cand)) AS r FROM truth)
 SELECT threshold, (SELECT count(*) FROM rarest WHERE f <= threshold) AS recovered, round((r + (SELECT count(*) FROM rarest WHERE f <= threshold)) / greatest(n, 1)::DOUBLE, 6) AS estimated_recall,
-       n - r - (SELECT count(*) FROM rarest WHERE f <= threshold) AS remaining FROM (SELECT unnest([1, 2, 5, 10, 50])::INT AS threshold), tot"""
+       n - r - (SELECT count(*) FROM rarest WHERE f <= threshold) AS remaining FROM (SELECT unnest([10, 50, 100, 500, 1000, 5000])::INT AS threshold), tot"""
 )
 def rare_token_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = document_linkage(spark, sf_dir, True)
-    return _rounded(rules.rare_token_what_if(x.truth, x.candidates, x.s1, x.targets, blocking.three_letter_frequency(x.targets), RARE), "estimated_recall")
+    return _rounded(rules.rare_token_what_if(x.truth, x.candidates, x.s1, x.targets, blocking.three_letter_frequency(x.targets)), "estimated_recall")
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, is_true, source FROM extra WHERE f <= 16")
+@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, is_true, source FROM extra WHERE f <= 5000")
 def rule_f_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rule_f(document_linkage(spark, sf_dir, True), 16)
+    return reports.rule_f(document_linkage(spark, sf_dir, True))
 
 
-@query(E3 + "SELECT source, count(*) AS added, count(*) FILTER (is_true) AS true, count(*) FILTER (NOT is_true) AS false FROM extra WHERE f <= 16 GROUP BY source")
+@query(E3 + "SELECT source, count(*) AS added, count(*) FILTER (is_true) AS true, count(*) FILTER (NOT is_true) AS false FROM extra WHERE f <= 5000 GROUP BY source")
 def rule_f_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.by_source(rule_f_additions(spark, sf_dir))
 
 
 @query(
     E3
-    + """, per AS (SELECT s, count(*) FILTER (is_true) AS t, count(*) FILTER (NOT is_true) AS n FROM extra WHERE f <= 16 GROUP BY s)
+    + """, per AS (SELECT s, count(*) FILTER (is_true) AS t, count(*) FILTER (NOT is_true) AS n FROM extra WHERE f <= 5000 GROUP BY s)
 SELECT count(*) AS any_new, count(*) FILTER (t > 0) AS any_true, count(*) FILTER (n > 0 AND t = 0) AS only_false, count(*) FILTER (n > 0 AND t > 0) AS both FROM per"""
 )
 def rule_f_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = document_linkage(spark, sf_dir, True)
-    return rules.impact(x.s1, reports.rule_f(x, 16))
+    return rules.impact(x.s1, reports.rule_f(x))
 
 
 @query(
     E3
-    + """, k AS (SELECT s1.id, (SELECT count(*) FROM cand WHERE s = s1.id) AS a, (SELECT count(*) FROM extra WHERE s = s1.id AND f <= 16) AS b FROM s1),
+    + """, k AS (SELECT s1.id, (SELECT count(*) FROM cand WHERE s = s1.id) AS a, (SELECT count(*) FROM extra WHERE s = s1.id AND f <= 5000) AS b FROM s1),
 w AS (SELECT 'current' AS which, a AS n FROM k UNION ALL SELECT 'with_rule_f', a + b FROM k UNION ALL SELECT 'additional', b FROM k)
 SELECT which, sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, max(n) AS max FROM w GROUP BY which"""
 )
 def rule_f_candidate_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(reports.candidate_cost(document_linkage(spark, sf_dir, True), 16), "mean", "p90", "p95", "p99")
+    return _rounded(reports.candidate_cost(document_linkage(spark, sf_dir, True)), "mean", "p90", "p95", "p99")
 
 
 @query(
@@ -457,25 +455,40 @@ def all_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = document_linkage(spark, sf_dir, True)
-    return matcher.score(pair_features(x.candidates, x.s1, x.targets), reports.trained(x))
+    features = reports.candidate_features(x)
+    return matcher.score(features, reports.trained(x, features))
 
 
 @query()
 def matched_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = document_linkage(spark, sf_dir, True)
-    scores = matcher.score(pair_features(x.candidates, x.s1, x.targets), reports.trained(x)).persist()
-    return reports.matched(x, scores)
+    features = reports.candidate_features(x)
+    return reports.matched(x, settled(matcher.score(features, reports.trained(x, features))))
 
 
-@query()
+@query(E3 + "SELECT DISTINCT s AS s1_id FROM cand")
 def sampled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matcher.sample_entities(document_linkage(spark, sf_dir, True).candidates, 100)
+    """Up to 20,000 entities; the SQL holds for tables with fewer."""
+    return matcher.sample_entities(document_linkage(spark, sf_dir, True).candidates, 20_000)
 
 
-@query()
+@query(E3 + "SELECT s AS s1_id, c AS candidate_id, CASE WHEN (s, c) IN (SELECT (s, c) FROM truth) THEN 1.0 ELSE 0.0 END::DOUBLE AS label, 1.0::DOUBLE AS weight FROM cand")
 def training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All true pairs and up to 600,000 others; the SQL holds for tables with fewer, whose weights are 1."""
     x = document_linkage(spark, sf_dir, True)
-    return matcher.training_pairs(x.candidates, x.truth, negatives=500)
+    return matcher.training_pairs(x.candidates, x.truth)
+
+
+@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, source FROM extra WHERE is_true ORDER BY s, c LIMIT 30")
+def rule_f_recovery_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.rule_f(document_linkage(spark, sf_dir, True), None).filter("is_true")
+    return reports.first_examples(found.select(*PAIR, "token", "frequency", "source"))
+
+
+@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, source FROM extra WHERE NOT is_true AND f <= 5000 ORDER BY s, c LIMIT 20")
+def rule_f_false_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.rule_f(document_linkage(spark, sf_dir, True)).filter("not is_true")
+    return reports.first_examples(found.select(*PAIR, "token", "frequency", "source"), 20)
 
 
 @query()
@@ -493,14 +506,14 @@ def rule_f_recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rule_f_recoveries(document_linkage(spark, sf_dir, True), None)
 
 
-@query()
+@query(E3 + "SELECT t AS token, count(*) AS n, max(f) AS frequency FROM extra WHERE is_true GROUP BY t ORDER BY n DESC, t LIMIT 30")
 def rule_f_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_tokens(rule_f_recoveries(spark, sf_dir))
 
 
 @query()
 def rule_f_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.collisions(document_linkage(spark, sf_dir, True), 16)
+    return reports.collisions(document_linkage(spark, sf_dir, True))
 
 
 @query()

@@ -11,6 +11,7 @@ from tributary.operators import blocking, classify, evaluate, matcher, rules, st
 from tributary.operators.blocking import PAIR
 from tributary.operators.features import joined, pair_features
 from tributary.plans.fixtures import Linkage
+from tributary.storage import settled
 
 
 def truth_cardinality(cells: DataFrame) -> DataFrame:
@@ -93,6 +94,11 @@ def collisions(linkage: Linkage, limit: int | None = rules.RULE_F_LIMIT) -> Data
     return rows.select(*PAIR, "source", "token", "frequency", classify.collision_pattern(F.col("token")).alias("pattern"))
 
 
+def first_examples(rows: DataFrame, n: int = 30) -> DataFrame:
+    """The first ``n`` pairs by their ids."""
+    return rows.orderBy(*PAIR).limit(n)
+
+
 def collision_examples(found: DataFrame, n: int = 30) -> DataFrame:
     return found.orderBy("pattern", "frequency", *PAIR).limit(n)
 
@@ -151,10 +157,15 @@ def export_candidates(linkage: Linkage, sample: int | None = None, universe: str
     return blocking.candidate_pairs(s1, targets).withColumn("source", source_of(F.col("candidate_id")))
 
 
-def trained(linkage: Linkage, negatives: int = matcher.NEGATIVES):
-    """The model fitted on the linkage's candidates and truth."""
+def candidate_features(linkage: Linkage) -> DataFrame:
+    """The features of all candidates, computed once: for training and for scores."""
+    return settled(pair_features(linkage.candidates, linkage.s1, linkage.targets))
+
+
+def trained(linkage: Linkage, features: DataFrame, negatives: int = matcher.NEGATIVES):
+    """The model fitted on a sample of the candidates and the truth."""
     pairs = matcher.training_pairs(linkage.candidates, linkage.truth, negatives)
-    return matcher.fit(pair_features(pairs, linkage.s1, linkage.targets).persist())
+    return matcher.fit(settled(features.join(pairs, PAIR)))
 
 
 def matched(linkage: Linkage, scores: DataFrame, threshold: float | None = None) -> DataFrame:

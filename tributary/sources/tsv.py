@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.functions.text import text_of
+from tributary.functions.text import stripped, text_of
 
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
@@ -41,12 +41,13 @@ def write_tsv(rows: DataFrame, path: str) -> None:
 
 
 def source_of(entity_id):
-    return F.when(F.startswith(entity_id, F.lit("S2-")), "S2").otherwise("S3")
+    """The source that an id's prefix names; null for an id of none."""
+    return F.coalesce(*[F.when(F.startswith(entity_id, F.lit(f"{s}-")), s) for s in ("S1", "S2", "S3")])
 
 
 def truth_pairs(truth: DataFrame) -> DataFrame:
     """(s1_id, candidate_id), one row per true pair, from truth cells with comma-separated ids."""
-    ids = F.filter(F.transform(F.split(text_of(F.col("matched_entity_ids")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(text_of(F.col("matched_entity_ids")), ","), stripped), lambda x: x != "")
     return truth.select(F.col("source1_entity_id").alias("s1_id"), F.explode(ids).alias("candidate_id")).distinct()
 
 
