@@ -35,9 +35,12 @@ def aligned(docs, items):
             continue
         for doc, h in {(d, tuple(h)): (d, h) for d, h in docs}.values():
             best = None
-            j, i = np.nonzero(b[:, None] == h[None])
-            shifts, equal = np.unique(i - j, return_counts=True)
-            for shift in shifts[5 * equal >= 4 * min(len(b), SPAN)].tolist():  # others have too few equal words in all
+            i = np.flatnonzero(np.isin(h, b))
+            j, k = np.nonzero(b[:, None] == h[i][None])
+            equal = np.bincount(i[k] - j + len(b))  # words by shift; where they are too few in all, no region has enough
+            shifts = np.arange(len(equal)) - len(b)
+            beside = np.minimum(len(b), len(h) - shifts) - np.maximum(0, -shifts)
+            for shift in shifts[(5 * equal >= 4 * np.minimum(beside, REGION)) & (beside >= min(len(b), SPAN))].tolist():
                 lo, hi = max(0, -shift), min(len(b), len(h) - shift)
                 if hi - lo < min(len(b), SPAN):
                     continue
