@@ -17,7 +17,7 @@ from tributary.functions import text as t
 from tributary.operators import blocking, classify, evaluate, matcher, rules, stats
 from tributary.operators.features import FEATURES, joined, pair_features
 from tributary.plans import queries, reports
-from tributary.plans.fixtures import document_linkage
+from tributary.plans.fixtures import document_linkage, part_linkage
 from tributary.sources import tsv
 
 SF = "/root/testdata/sf0.001"
@@ -225,7 +225,7 @@ def test_a_pair_needs_one_record_on_each_side(spark):
 
 
 def test_limits_tell_the_rules_apart(spark):
-    x = document_linkage(spark, SF, True)
+    x = part_linkage(spark, SF)
     sizes = {r.rule: r.candidates for r in rules.rule_sizes(x.s1, x.targets, x.candidates, x.truth, x.frequency, {"C": 1, "D": 2, "E": 4, "F": 8, "B": None}).collect()}
     assert sizes["A"] < sizes["C"] <= sizes["D"] <= sizes["E"] <= sizes["F"] <= sizes["B"] and sizes["C"] < sizes["B"]
 
@@ -266,7 +266,7 @@ def test_other_queries_run(spark):
 
 
 def test_sampled_universe(spark):
-    x = document_linkage(spark, SF, True)
+    x = part_linkage(spark, SF)
     every = {tuple(r) for r in reports.export_candidates(x).collect()}
     friendly = {tuple(r) for r in reports.export_candidates(x, 30, "truth").collect()}
     assert friendly <= every

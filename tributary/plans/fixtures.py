@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators import blocking
@@ -31,53 +31,46 @@ class Linkage:
         return blocking.token_frequency(self.targets)
 
 
-def _line(k: int):
-    return F.get(F.split(F.col("text"), "\n"), k - 1)
-
-
 def _source(key: str):
     return F.concat(F.element_at(F.array(F.lit("S1-"), F.lit("S2-"), F.lit("S3-")), (F.col(key) % 3 + 1).cast("int")), F.col(key).cast("string"))
 
 
-def document_records(documents: DataFrame, shifted: bool = False) -> DataFrame:
-    """Records from the lines of documents; ``shifted`` takes other lines for S3, so true pairs can be missed."""
-    cut = lambda x, n: F.coalesce(F.substring(x, 1, n), F.lit(""))
-    name, address = cut(_line(1), 60), cut(_line(2), 60)
-    if shifted:
-        third = F.col("doc_id") % 3 == 2
-        word = lambda k: F.coalesce(F.get(F.split(_line(2), " "), k - 1), F.lit(""))
-        name = F.when(third, cut(_line(2), 40)).otherwise(cut(_line(1), 40))
-        address = F.when(third, F.concat(word(2), F.lit(" "), word(5), F.lit(" "), cut(_line(3), 40))).otherwise(address)
-    return documents.select(
-        _source("doc_id").alias("entity_id"), name.alias("business_name"), address.alias("business_address"), F.col("lang").alias("country"), F.col("text").alias("_text")
-    )
+def document_records(documents: DataFrame) -> DataFrame:
+    """A record per document: its first line is the name, all of the rest the address."""
+    text = F.coalesce("text", F.lit(""))
+    name, address = F.substring_index(text, "\n", 1), F.regexp_extract(text, r"(?s)^[^\n]*\n(.*)\z", 1)
+    return documents.select(_source("doc_id").alias("entity_id"), name.alias("business_name"), address.alias("business_address"), F.col("lang").alias("country"), F.col("text").alias("_text"))
 
 
 def part_records(part: DataFrame) -> DataFrame:
-    address = F.concat_ws(" ", F.col("p_size").cast("string"), "p_type", "p_brand")
-    return part.select(_source("p_partkey").alias("entity_id"), F.col("p_name").alias("business_name"), address.alias("business_address"), F.col("p_brand").alias("country"))
+    """A record per part: few words make the names, so that many records share some, and an address has two tokens and a place."""
+    name = F.concat("p_name", F.lit(" Company Limited"))
+    place = [F.lit(", q"), (F.col("p_size") % 5).cast("string"), F.lit(", z"), (F.length("p_name") % 3).cast("string")]
+    address = F.concat(F.col("p_size").cast("string"), F.lit(" "), "p_type", *place)
+    return part.select(_source("p_partkey").alias("entity_id"), name.alias("business_name"), address.alias("business_address"), F.col("p_brand").alias("country"), F.col("p_size").alias("_size"))
 
 
 def is_s1():
     return F.startswith("entity_id", F.lit("S1-"))
 
 
-def document_linkage(spark: SparkSession, sf_dir: str, shifted: bool = False) -> Linkage:
-    """True pairs are documents of equal text and language."""
-    records = document_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), shifted)
-    key = records.select("entity_id", F.sha2("_text", 256).alias("h"), "country")
-    left = key.filter(is_s1()).select(F.col("entity_id").alias("s1_id"), "h", "country")
-    right = key.filter(~is_s1()).select(F.col("entity_id").alias("candidate_id"), "h", "country")
-    truth = left.join(right, ["h", "country"]).select(*PAIR)
+def _linkage(records: DataFrame, key: Column) -> Linkage:
+    """True pairs are records of equal key and country."""
+    keys = records.select("entity_id", key.alias("k"), "country")
+    left = keys.filter(is_s1()).select(F.col("entity_id").alias("s1_id"), "k", "country")
+    right = keys.filter(~is_s1()).select(F.col("entity_id").alias("candidate_id"), "k", "country")
     prepared = blocking.prepare(records)
-    return Linkage(prepared.filter(is_s1()), prepared.filter(~is_s1()), truth)
+    return Linkage(prepared.filter(is_s1()), prepared.filter(~is_s1()), left.join(right, ["k", "country"]).select(*PAIR))
+
+
+def document_linkage(spark: SparkSession, sf_dir: str) -> Linkage:
+    """True pairs are documents of equal text and language."""
+    return _linkage(document_records(spark.read.parquet(f"{sf_dir}/documents.parquet")), F.sha2("_text", 256))
 
 
 def part_linkage(spark: SparkSession, sf_dir: str) -> Linkage:
-    """Parts, whose addresses hold numbers; parts of equal name and brand are true pairs."""
-    prepared = blocking.prepare(part_records(spark.read.parquet(f"{sf_dir}/part.parquet")))
-    s1, targets = prepared.filter(is_s1()), prepared.filter(~is_s1())
-    return Linkage(s1, targets, blocking.exact_name_pairs(s1, targets))
+    """True pairs are parts of equal brand and size; blocks miss those that share no name token and no type."""
+    return _linkage(part_records(spark.read.parquet(f"{sf_dir}/part.parquet")), F.col("_size"))
 
 
 def truth_cells(linkage: Linkage) -> DataFrame:

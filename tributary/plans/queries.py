@@ -40,16 +40,10 @@ def _normal(x: str) -> str:
     return rf"trim(regexp_replace(replace(lower(trim({x})), '&', ' and '), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
 
 
-def _linkage_sql(shifted: bool = False) -> str:
-    line = lambda k: f"split_part(text, chr(10), {k})"
-    name, address = f"substr({line(1)}, 1, 60)", f"substr({line(2)}, 1, 60)"
-    if shifted:
-        name = f"CASE WHEN doc_id % 3 = 2 THEN substr({line(2)}, 1, 40) ELSE substr({line(1)}, 1, 40) END"
-        third = f"concat(split_part({line(2)}, ' ', 2), ' ', split_part({line(2)}, ' ', 5), ' ', substr({line(3)}, 1, 40))"
-        address = f"CASE WHEN doc_id % 3 = 2 THEN {third} ELSE {address} END"
+def _linkage_sql(table: str, key: str, name: str, address: str, country: str, truth: str) -> str:
     return f"""
-WITH rec AS (SELECT concat(CASE doc_id % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END, CAST(doc_id AS VARCHAR)) AS id, doc_id % 3 AS src,
-                    {name} AS bn, {address} AS ba, lang AS country, text FROM documents),
+WITH rec AS (SELECT concat(CASE {key} % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END, CAST({key} AS VARCHAR)) AS id, {key} % 3 AS src,
+                    {name} AS bn, {address} AS ba, {country} AS country, {truth} AS k FROM {table}),
 norm AS (SELECT *, {_normal("bn")} AS nn, {_normal("ba")} AS na FROM rec),
 tok AS (SELECT *, list_filter(string_split(nn, ' '), lambda t: length(t) >= 4 AND NOT list_contains({_list(COMMON_NAME_TOKENS)}, t)) AS nt,
                list_distinct(list_filter(string_split(nn, ' '), lambda t: length(t) = 3 AND NOT list_contains({_list(COMMON_NAME_TOKENS)}, t))) AS n3,
@@ -62,7 +56,7 @@ ntok AS (SELECT DISTINCT a.id AS s, b.id AS c FROM (SELECT id, country, unnest(n
 addr AS (SELECT a.id AS s, b.id AS c, count(*) AS shared FROM (SELECT id, country, unnest(aset) AS t FROM s1 WHERE len(aset) >= 2) a
          JOIN (SELECT id, country, unnest(atok) AS t FROM tg) b USING (country, t) GROUP BY a.id, b.id HAVING count(*) >= 2),
 cand AS (SELECT s, c FROM exact UNION SELECT s, c FROM ntok UNION SELECT s, c FROM addr),
-truth AS (SELECT a.id AS s, b.id AS c FROM rec a JOIN rec b ON a.text = b.text AND a.country = b.country WHERE a.src = 0 AND b.src <> 0),
+truth AS (SELECT a.id AS s, b.id AS c FROM rec a JOIN rec b ON a.k = b.k AND a.country = b.country WHERE a.src = 0 AND b.src <> 0),
 freq AS (SELECT t, count(*) AS f FROM (SELECT unnest(aset) AS t FROM tg) GROUP BY t),
 single AS (SELECT x.s, x.c, x.t, freq.f FROM (SELECT a.id AS s, b.id AS c, min(t) AS t FROM (SELECT id, country, unnest(aset) AS t FROM s1) a
            JOIN (SELECT id, country, unnest(aset) AS t FROM tg) b USING (country, t) GROUP BY a.id, b.id HAVING count(*) = 1) x JOIN freq USING (t)),
@@ -72,7 +66,10 @@ scores AS (SELECT s, c, CASE WHEN len(list_distinct(list_concat(a.ns, b.ns))) =
 """
 
 
-E1, E3 = _linkage_sql(), _linkage_sql(True)
+_LINES = "string_split(coalesce(text, ''), chr(10))"
+DOCS = _linkage_sql("documents", "doc_id", f"{_LINES}[1]", f"array_to_string({_LINES}[2:], chr(10))", "lang", "text")
+_PLACE = "', q', CAST(p_size % 5 AS VARCHAR), ', z', CAST(length(p_name) % 3 AS VARCHAR)"
+PARTS = _linkage_sql("part", "p_partkey", "concat(p_name, ' Company Limited')", f"concat(CAST(p_size AS VARCHAR), ' ', p_type, {_PLACE})", "p_brand", "p_size")
 _SWEEP = """, th AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold),
 ent AS (SELECT threshold, s1.id, (SELECT count(*) FROM truth WHERE s = s1.id) AS actual FROM th, s1),
 prd AS (SELECT threshold, s, count(*) AS predicted, count(*) FILTER ((s, c) IN (SELECT (s, c) FROM truth)) AS tp FROM scores, th WHERE score >= threshold GROUP BY threshold, s),
@@ -100,26 +97,26 @@ def _scores(x: Linkage) -> DataFrame:
     return joined(x.candidates, x.s1, x.targets, ("name_set",)).select(*PAIR, s.jaccard(F.col("s1_name_set"), F.col("target_name_set")).alias("score"))
 
 
-@query(E1 + "SELECT DISTINCT s AS s1_id, c AS candidate_id FROM exact")
+@query(DOCS + "SELECT DISTINCT s AS s1_id, c AS candidate_id FROM exact")
 def exact_name_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = document_linkage(spark, sf_dir)
     return blocking.exact_name_pairs(x.s1, x.targets)
 
 
-@query(E1 + "SELECT s AS s1_id, c AS candidate_id FROM ntok")
+@query(DOCS + "SELECT s AS s1_id, c AS candidate_id FROM ntok")
 def name_token_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = document_linkage(spark, sf_dir)
     return blocking.name_token_pairs(x.s1, x.targets)
 
 
-@query(E1 + "SELECT s AS s1_id, c AS candidate_id, shared FROM addr")
+@query(DOCS + "SELECT s AS s1_id, c AS candidate_id, shared FROM addr")
 def address_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = document_linkage(spark, sf_dir)
     return blocking.address_pairs(x.s1, x.targets)
 
 
 @query(
-    E1
+    DOCS
     + """SELECT a.id AS s1_id, b.id AS candidate_id, count(*) AS shared FROM (SELECT id, country, unnest(aset) AS t FROM s1) a
 JOIN (SELECT id, country, unnest(aset) AS t FROM tg) b USING (country, t) GROUP BY a.id, b.id HAVING count(*) >= 2"""
 )
@@ -128,30 +125,30 @@ def address_block_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.address_pairs(x.s1, x.targets, mode="distinct")
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id, CASE WHEN c LIKE 'S2-%' THEN 'S2' ELSE 'S3' END AS source FROM cand")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id, CASE WHEN c LIKE 'S2-%' THEN 'S2' ELSE 'S3' END AS source FROM cand")
 def candidate_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.export_candidates(document_linkage(spark, sf_dir, True))
+    return reports.export_candidates(part_linkage(spark, sf_dir))
 
 
 @query(
-    E3
+    DOCS
     + """SELECT a.kind, a.country AS country_key, a.t AS token, a.id AS entity_id FROM (SELECT 'exact' AS kind, country, nn AS t, id FROM tg WHERE nn <> ''
 UNION ALL SELECT 'name', country, unnest(ns), id FROM tg UNION ALL SELECT 'address', country, unnest(atok), id FROM tg) a"""
 )
 def block_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = zip(("exact", "name", "address"), blocking.block_indexes(document_linkage(spark, sf_dir, True).targets), strict=True)
+    parts = zip(("exact", "name", "address"), blocking.block_indexes(document_linkage(spark, sf_dir).targets), strict=True)
     a, b, c = (df.select(F.lit(k).alias("kind"), "country_key", "token", "entity_id") for k, df in parts)
     return a.union(b).union(c)
 
 
-@query(E3 + "SELECT s1.id AS s1_id, count(c) AS candidates FROM s1 LEFT JOIN cand ON s = s1.id GROUP BY s1.id")
+@query(PARTS + "SELECT s1.id AS s1_id, count(c) AS candidates FROM s1 LEFT JOIN cand ON s = s1.id GROUP BY s1.id")
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return blocking.candidate_counts(x.s1, x.candidates)
 
 
 @query(
-    E3
+    PARTS
     + """, n AS (SELECT s1.id, count(c) AS k FROM s1 LEFT JOIN cand ON s = s1.id GROUP BY s1.id)
 SELECT min(k) AS min, quantile_cont(k, 0.25) AS p25, quantile_cont(k, 0.5) AS median, quantile_cont(k, 0.75) AS p75, max(k) AS max FROM n"""
 )
@@ -159,55 +156,55 @@ def candidate_five_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.five_numbers(candidate_counts(spark, sf_dir), "candidates")
 
 
-@query(E3 + "SELECT id AS entity_id, nn AS name, na AS address, array_to_string(nt, ' ') AS name_tokens, array_to_string(atok, ' ') AS address_tokens, len(ns) AS distinct_name_tokens FROM recs")
+@query(DOCS + "SELECT id AS entity_id, nn AS name, na AS address, array_to_string(nt, ' ') AS name_tokens, array_to_string(atok, ' ') AS address_tokens, len(ns) AS distinct_name_tokens FROM recs")
 def record_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = document_linkage(spark, sf_dir)
     tokens = [F.array_join(c, " ").alias(c) for c in ("name_tokens", "address_tokens")]
     return x.s1.unionByName(x.targets).select("entity_id", "name", "address", *tokens, F.size("name_set").cast("long").alias("distinct_name_tokens"))
 
 
 @query(
-    E3
+    DOCS
     + r""", parts AS (SELECT id, list_filter(list_transform(string_split(ba, ','), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM rec)
 SELECT id AS entity_id, CASE WHEN len(p) > 1 THEN p[-2] ELSE '' END AS city, CASE WHEN len(p) > 1 THEN p[-1] ELSE '' END AS state FROM parts"""
 )
 def record_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = document_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), True)
+    records = document_records(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return records.withColumn("p", text.address_parts(F.col("business_address"))).select("entity_id", "p.city", "p.state")
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id FROM cand WHERE s = (SELECT min(id) FROM s1)")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id FROM cand WHERE s = (SELECT min(id) FROM s1)")
 def one_record_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     first = x.s1.agg(F.min("entity_id")).first()[0]
     return blocking.candidate_pairs(x.s1.filter(F.col("entity_id") == first), x.targets)
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id FROM cand WHERE s IN (SELECT s FROM truth)")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id FROM cand WHERE s IN (SELECT s FROM truth)")
 def fast_validation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return evaluate.for_entities(x.candidates, x.truth.select("s1_id"))
 
 
-@query(E3 + "SELECT t AS token, f AS frequency FROM freq")
+@query(DOCS + "SELECT t AS token, f AS frequency FROM freq")
 def address_token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_linkage(spark, sf_dir, True).frequency
+    return document_linkage(spark, sf_dir).frequency
 
 
-@query(E3 + "SELECT t AS token, count(*) AS frequency FROM (SELECT unnest(n3) AS t FROM tg) GROUP BY t")
+@query(DOCS + "SELECT t AS token, count(*) AS frequency FROM (SELECT unnest(n3) AS t FROM tg) GROUP BY t")
 def three_letter_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.three_letter_frequency(document_linkage(spark, sf_dir, True).targets)
+    return blocking.three_letter_frequency(document_linkage(spark, sf_dir).targets)
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency FROM single WHERE f <= 5000")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency FROM single WHERE f <= 5000")
 def single_token_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return blocking.single_token_pairs(x.s1, x.targets, x.frequency, rules.RULE_F_LIMIT)
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency FROM single")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency FROM single")
 def single_token_block_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return blocking.single_token_pairs(x.s1, x.targets, x.frequency)
 
 
@@ -220,46 +217,46 @@ SELECT rule, sum(hit)::BIGINT AS recovered, count(*) FILTER (added > 0) AS affec
        quantile_cont(size, 0.9) AS p90_size, quantile_cont(size, 0.95) AS p95_size, max(size) AS max_size, ((SELECT count(*) FROM truth) - sum(hit))::BIGINT AS missed FROM one GROUP BY rule"""
 
 
-@query(E3 + _SIZES)
+@query(PARTS + _SIZES)
 def rules_a_to_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return rules.rule_sizes(x.s1, x.targets, x.candidates, x.truth, x.frequency)
 
 
-@query(E3 + _SIZES + " ORDER BY recovered DESC, median_size, max_size, rule LIMIT 1")
+@query(PARTS + _SIZES + " ORDER BY recovered DESC, median_size, max_size, rule LIMIT 1")
 def best_single_token_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.best_rule(rules_a_to_f(spark, sf_dir))
 
 
-@query(E3 + _TRUTH_CELLS + "SELECT n::INT AS n_matches, count(*) AS n FROM cells GROUP BY 1")
+@query(PARTS + _TRUTH_CELLS + "SELECT n::INT AS n_matches, count(*) AS n FROM cells GROUP BY 1")
 def truth_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.truth_cardinality(truth_cells(document_linkage(spark, sf_dir, True)))
+    return reports.truth_cardinality(truth_cells(part_linkage(spark, sf_dir)))
 
 
 @query(
-    E3
+    PARTS
     + _TRUTH_CELLS
     + """SELECT count(n) AS "count", round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n)::INT AS min, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50,
 quantile_cont(n, 0.75) AS p75, max(n)::INT AS max, count(*) FILTER (n = 0) AS none, count(*) FILTER (n = 1) AS one, count(*) FILTER (n >= 2) AS several FROM cells"""
 )
 def truth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(reports.truth_summary(truth_cells(document_linkage(spark, sf_dir, True))), "mean", "std")
+    return _rounded(reports.truth_summary(truth_cells(part_linkage(spark, sf_dir))), "mean", "std")
 
 
-@query(E3 + "SELECT count(*) AS true_pairs, count(*) FILTER ((s, c) IN (SELECT (s, c) FROM cand)) AS recovered, round(count(*) FILTER ((s, c) IN (SELECT (s, c) FROM cand)) / greatest(count(*), 1)::DOUBLE, 6) AS recall FROM truth")
+@query(PARTS + "SELECT count(*) AS true_pairs, count(*) FILTER ((s, c) IN (SELECT (s, c) FROM cand)) AS recovered, round(count(*) FILTER ((s, c) IN (SELECT (s, c) FROM cand)) / greatest(count(*), 1)::DOUBLE, 6) AS recall FROM truth")
 def blocker_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return _rounded(blocking.recall(x.truth, x.candidates), "recall")
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id FROM truth WHERE (s, c) NOT IN (SELECT (s, c) FROM cand)")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id FROM truth WHERE (s, c) NOT IN (SELECT (s, c) FROM cand)")
 def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return blocking.missed(x.truth, x.candidates)
 
 
 @query(
-    E3
+    PARTS
     + """, f3 AS (SELECT t, count(*) AS f FROM (SELECT unnest(n3) AS t FROM tg) GROUP BY t), gone AS (SELECT s, c FROM truth WHERE (s, c) NOT IN (SELECT (s, c) FROM cand)),
 rarest AS (SELECT s, c, min(f) AS f FROM (SELECT s, c, unnest(list_intersect(a.n3, b.n3)) AS t FROM gone JOIN s1 a ON a.id = s JOIN tg b ON b.id = c) JOIN f3 USING (t) GROUP BY s, c),
 tot AS (SELECT count(*) AS n, count(*) FILTER ((s, c) IN (SELECT (s, c) FROM cand)) AS r FROM truth)
@@ -267,42 +264,42 @@ SELECT threshold, (SELECT count(*) FROM rarest WHERE f <= threshold) AS recovere
        n - r - (SELECT count(*) FROM rarest WHERE f <= threshold) AS remaining FROM (SELECT unnest([10, 50, 100, 500, 1000, 5000])::INT AS threshold), tot"""
 )
 def rare_token_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return _rounded(rules.rare_token_what_if(x.truth, x.candidates, x.s1, x.targets, blocking.three_letter_frequency(x.targets)), "estimated_recall")
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, is_true, source FROM extra WHERE f <= 5000")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, is_true, source FROM extra WHERE f <= 5000")
 def rule_f_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rule_f(document_linkage(spark, sf_dir, True))
+    return reports.rule_f(part_linkage(spark, sf_dir))
 
 
-@query(E3 + "SELECT source, count(*) AS added, count(*) FILTER (is_true) AS true, count(*) FILTER (NOT is_true) AS false FROM extra WHERE f <= 5000 GROUP BY source")
+@query(PARTS + "SELECT source, count(*) AS added, count(*) FILTER (is_true) AS true, count(*) FILTER (NOT is_true) AS false FROM extra WHERE f <= 5000 GROUP BY source")
 def rule_f_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.by_source(rule_f_additions(spark, sf_dir))
 
 
 @query(
-    E3
+    PARTS
     + """, per AS (SELECT s, count(*) FILTER (is_true) AS t, count(*) FILTER (NOT is_true) AS n FROM extra WHERE f <= 5000 GROUP BY s)
 SELECT count(*) AS any_new, count(*) FILTER (t > 0) AS any_true, count(*) FILTER (n > 0 AND t = 0) AS only_false, count(*) FILTER (n > 0 AND t > 0) AS both FROM per"""
 )
 def rule_f_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return rules.impact(x.s1, reports.rule_f(x))
 
 
 @query(
-    E3
+    PARTS
     + """, k AS (SELECT s1.id, (SELECT count(*) FROM cand WHERE s = s1.id) AS a, (SELECT count(*) FROM extra WHERE s = s1.id AND f <= 5000) AS b FROM s1),
 w AS (SELECT 'current' AS which, a AS n FROM k UNION ALL SELECT 'with_rule_f', a + b FROM k UNION ALL SELECT 'additional', b FROM k)
 SELECT which, sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, max(n) AS max FROM w GROUP BY which"""
 )
 def rule_f_candidate_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(reports.candidate_cost(document_linkage(spark, sf_dir, True)), "mean", "p90", "p95", "p99")
+    return _rounded(reports.candidate_cost(part_linkage(spark, sf_dir)), "mean", "p90", "p95", "p99")
 
 
 @query(
-    E3
+    PARTS
     + """SELECT s AS s1_id, c AS candidate_id, (a.nn = b.nn)::DOUBLE AS exact_name, len(list_intersect(a.ns, b.ns))::DOUBLE AS name_token_overlap_count, round(score, 6) AS name_token_jaccard,
 abs(length(a.nn) - length(b.nn))::DOUBLE AS name_length_difference, (a.nn <> '' AND b.nn <> '' AND (contains(a.nn, b.nn) OR contains(b.nn, a.nn)))::DOUBLE AS name_contains,
 (a.na = b.na)::DOUBLE AS exact_address, len(list_intersect(a.aset, b.aset))::DOUBLE AS address_token_overlap_count,
@@ -311,7 +308,7 @@ round(CASE WHEN len(a.ns) = 0 OR len(b.ns) = 0 THEN 0 ELSE len(list_intersect(a.
 FROM scores JOIN s1 a ON a.id = s JOIN tg b ON b.id = c"""
 )
 def set_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     rows = joined(x.candidates, x.s1, x.targets)
     f = set_features(rows)
     names = ["exact_name", "name_token_overlap_count", "name_token_jaccard", "name_length_difference", "name_contains", "exact_address", "address_token_overlap_count", "address_contains", "same_country"]
@@ -319,56 +316,50 @@ def set_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.select(*PAIR, *[f[n].alias(n) for n in names], overlap), "name_token_jaccard", "name_token_overlap")
 
 
-_PART = rf"""
-WITH rec AS (SELECT concat(CASE p_partkey % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END, CAST(p_partkey AS VARCHAR)) AS id, p_partkey % 3 AS src, {_normal("p_name")} AS nn,
-             {_normal("concat(CAST(p_size AS VARCHAR), ' ', p_type, ' ', p_brand)")} AS na, p_brand AS country FROM part),
-recs AS (SELECT *, list_distinct(list_filter(string_split(na, ' '), lambda t: regexp_full_match(t, '[0-9]+'))) AS num FROM rec),
-pairs AS (SELECT a.id AS s, b.id AS c, a.na AS x, b.na AS y, a.num AS m, b.num AS n FROM recs a JOIN recs b ON a.country = b.country AND a.nn = b.nn WHERE a.src = 0 AND b.src <> 0 AND a.nn <> '')
-"""
-
-
 @query(
-    _PART
-    + """SELECT s AS s1_id, c AS candidate_id, levenshtein(x, y)::INT AS distance, round(1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE, 6) AS edit_similarity,
+    PARTS
+    + """, pairs AS (SELECT s, c, a.na AS x, b.na AS y, list_filter(a.aset, lambda t: regexp_full_match(t, '[0-9]+')) AS m, list_filter(b.aset, lambda t: regexp_full_match(t, '[0-9]+')) AS n
+FROM cand JOIN s1 a ON a.id = s JOIN tg b ON b.id = c)
+SELECT s AS s1_id, c AS candidate_id, levenshtein(x, y)::INT AS distance, round(1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE, 6) AS edit_similarity,
 len(list_intersect(m, n))::DOUBLE AS numeric_token_overlap_count, round(CASE WHEN len(list_distinct(list_concat(m, n))) = 0 THEN 1 ELSE len(list_intersect(m, n)) / len(list_distinct(list_concat(m, n)))::DOUBLE END, 6) AS numeric_token_jaccard FROM pairs"""
 )
 def edit_and_number_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = part_linkage(spark, sf_dir)
-    rows = joined(x.truth, x.s1, x.targets)
+    rows = joined(x.candidates, x.s1, x.targets)
     f, a, b = set_features(rows), F.col("s1_address"), F.col("target_address")
     numbers = [f[n].alias(n) for n in ("numeric_token_overlap_count", "numeric_token_jaccard")]
     return _rounded(rows.select(*PAIR, s.edit_distance(a, b).alias("distance"), s.edit_similarity(a, b).alias("edit_similarity"), *numbers), "edit_similarity", "numeric_token_jaccard")
 
 
 def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     swept = evaluate.sweep(_scores(x), x.truth, evaluate.spine_of("s1", x.s1, x.truth, x.candidates))
     return _rounded(swept, "macro_f05", "average", "micro_precision", "micro_recall")
 
 
-@query(E3 + _SWEEP + "SELECT * FROM swept")
+@query(PARTS + _SWEEP + "SELECT * FROM swept")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _swept(spark, sf_dir)
 
 
-@query(E3 + _SWEEP + "SELECT * FROM swept ORDER BY macro_f05 DESC, threshold LIMIT 1")
+@query(PARTS + _SWEEP + "SELECT * FROM swept ORDER BY macro_f05 DESC, threshold LIMIT 1")
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.best_threshold(_swept(spark, sf_dir))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> tuple[Linkage, DataFrame, DataFrame]:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     spine = evaluate.spine_of("s1", x.s1, x.truth, x.candidates)
     return x, spine, evaluate.predictions(_scores(x), spine, 0.7)
 
 
-@query(E3 + _PREDICTED + "SELECT * FROM pred")
+@query(PARTS + _PREDICTED + "SELECT * FROM pred")
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(spark, sf_dir)[2]
 
 
 @query(
-    E3
+    PARTS
     + _PREDICTED
     + """SELECT count(*) AS "rows", count(*) - count(DISTINCT s1_entity_id) AS duplicate_ids, 0::BIGINT AS null_values, (SELECT count(*) FROM s1) AS expected_rows,
 0::BIGINT AS outside_candidates, true AS columns_ok, count(*) = (SELECT count(*) FROM s1) AS all_ok FROM pred"""
@@ -379,7 +370,7 @@ def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    E3
+    PARTS
     + _PREDICTED
     + """, k AS (SELECT CASE WHEN matched_entity_ids = '' THEN 0 ELSE len(string_split(matched_entity_ids, ',')) END AS n FROM pred)
 SELECT sum(n)::BIGINT AS total, count(*) FILTER (n > 0) AS with_predictions, count(*) FILTER (n = 0) AS without_predictions, round(avg(n), 6) AS average FROM k"""
@@ -398,102 +389,102 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.profile(docs.join(labels.select("doc_id", "toxic"), "doc_id", "left"))
 
 
-@query(E3 + "SELECT country, count(*) AS n FROM rec GROUP BY country")
+@query(DOCS + "SELECT country, count(*) AS n FROM rec GROUP BY country")
 def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.value_counts(document_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), True), "country")
+    return stats.value_counts(document_records(spark.read.parquet(f"{sf_dir}/documents.parquet")), "country")
 
 
-@query(E3 + "SELECT count(*) - count(DISTINCT bn) AS duplicates FROM rec")
+@query(DOCS + "SELECT count(*) - count(DISTINCT bn) AS duplicates FROM rec")
 def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.duplicate_keys(document_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), True), "business_name")
+    return stats.duplicate_keys(document_records(spark.read.parquet(f"{sf_dir}/documents.parquet")), "business_name")
 
 
-@query(E3 + "SELECT id AS entity_id, bn AS business_name, ba AS business_address, country FROM rec WHERE id IN (SELECT c FROM truth)")
+@query(PARTS + "SELECT id AS entity_id, bn AS business_name, ba AS business_address, country FROM rec WHERE id IN (SELECT c FROM truth)")
 def required_target_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     found = required_records(x.targets, x.truth.select(F.col("candidate_id").alias("entity_id")), strict=True)
     return found.select("entity_id", "business_name", "business_address", "country")
 
 
 @query(
-    E3
+    PARTS
     + """SELECT truth.s AS s1_id, c AS candidate_id, a.bn AS s1_business_name, a.ba AS s1_business_address, a.country AS s1_country, b.bn AS target_business_name, b.ba AS target_business_address, b.country AS target_country
 FROM truth JOIN (SELECT DISTINCT s FROM truth ORDER BY s LIMIT 5) f ON f.s = truth.s JOIN rec a ON a.id = truth.s JOIN rec b ON b.id = c"""
 )
 def truth_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.truth_lookup(document_linkage(spark, sf_dir, True))
+    return reports.truth_lookup(part_linkage(spark, sf_dir))
 
 
 @query(
-    E3
+    PARTS
     + """, two AS (SELECT (SELECT min(id) FROM s1) AS l, (SELECT min(id) FROM tg) AS r), v AS (SELECT id, unnest(['business_name', 'business_address', 'country']) AS field, unnest([bn, ba, country]) AS v FROM rec)
 SELECT a.field, a.v AS left_value, b.v AS right_value FROM two JOIN v a ON a.id = l JOIN v b ON b.id = r AND b.field = a.field"""
 )
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     left, right = (df.agg(F.min("entity_id")).first()[0] for df in (x.s1, x.targets))
     return reports.side_by_side(x.s1.unionByName(x.targets), left, right)
 
 
 @query(
-    E3
+    DOCS
     + """, l AS (SELECT country, t, count(*) AS n FROM (SELECT country, unnest(ns) AS t FROM s1) GROUP BY ALL), r AS (SELECT country, t, count(*) AS m FROM (SELECT country, unnest(ns) AS t FROM tg) GROUP BY ALL),
 b AS (SELECT t, n * m AS k FROM l JOIN r USING (country, t))
 SELECT coalesce(sum(k), 0)::BIGINT AS "rows", (SELECT t FROM b ORDER BY k DESC, t DESC LIMIT 1) AS largest_token, max(k) AS largest_rows FROM b"""
 )
 def token_join_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = document_linkage(spark, sf_dir)
     return blocking.join_size(x.s1, x.targets, "name_set")
 
 
 @query()
 def all_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return stored(pair_features(x.candidates.withColumn("source", source_of(F.col("candidate_id"))), x.s1, x.targets))
 
 
 @query()
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     features = reports.candidate_features(x)
     return matcher.score(features, reports.trained(x, features))
 
 
 @query()
 def matched_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     features = reports.candidate_features(x)
     return reports.matched(x, settled(matcher.score(features, reports.trained(x, features))))
 
 
-@query(E3 + "SELECT DISTINCT s AS s1_id FROM cand")
+@query(PARTS + "SELECT DISTINCT s AS s1_id FROM cand")
 def sampled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 20,000 entities; the SQL holds for tables with fewer."""
-    return matcher.sample_entities(document_linkage(spark, sf_dir, True).candidates, 20_000)
+    return matcher.sample_entities(part_linkage(spark, sf_dir).candidates, 20_000)
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id, CASE WHEN (s, c) IN (SELECT (s, c) FROM truth) THEN 1.0 ELSE 0.0 END::DOUBLE AS label, 1.0::DOUBLE AS weight FROM cand")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id, CASE WHEN (s, c) IN (SELECT (s, c) FROM truth) THEN 1.0 ELSE 0.0 END::DOUBLE AS label, 1.0::DOUBLE AS weight FROM cand")
 def training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All true pairs and up to 600,000 others; the SQL holds for tables with fewer, whose weights are 1."""
-    x = document_linkage(spark, sf_dir, True)
+    x = part_linkage(spark, sf_dir)
     return matcher.training_pairs(x.candidates, x.truth)
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, source FROM extra WHERE is_true ORDER BY s, c LIMIT 30")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, source FROM extra WHERE is_true ORDER BY s, c LIMIT 30")
 def rule_f_recovery_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.rule_f(document_linkage(spark, sf_dir, True), None).filter("is_true")
+    found = reports.rule_f(part_linkage(spark, sf_dir), None).filter("is_true")
     return reports.first_examples(found.select(*PAIR, "token", "frequency", "source"))
 
 
-@query(E3 + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, source FROM extra WHERE NOT is_true AND f <= 5000 ORDER BY s, c LIMIT 20")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, source FROM extra WHERE NOT is_true AND f <= 5000 ORDER BY s, c LIMIT 20")
 def rule_f_false_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.rule_f(document_linkage(spark, sf_dir, True)).filter("not is_true")
+    found = reports.rule_f(part_linkage(spark, sf_dir)).filter("not is_true")
     return reports.first_examples(found.select(*PAIR, "token", "frequency", "source"), 20)
 
 
 @query()
 def missed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.missed_patterns(document_linkage(spark, sf_dir, True))
+    return reports.missed_patterns(part_linkage(spark, sf_dir))
 
 
 @query()
@@ -503,17 +494,17 @@ def missed_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rule_f_recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rule_f_recoveries(document_linkage(spark, sf_dir, True), None)
+    return reports.rule_f_recoveries(part_linkage(spark, sf_dir), None)
 
 
-@query(E3 + "SELECT t AS token, count(*) AS n, max(f) AS frequency FROM extra WHERE is_true GROUP BY t ORDER BY n DESC, t LIMIT 30")
+@query(PARTS + "SELECT t AS token, count(*) AS n, max(f) AS frequency FROM extra WHERE is_true GROUP BY t ORDER BY n DESC, t LIMIT 30")
 def rule_f_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_tokens(rule_f_recoveries(spark, sf_dir))
 
 
 @query()
 def rule_f_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.collisions(document_linkage(spark, sf_dir, True))
+    return reports.collisions(part_linkage(spark, sf_dir))
 
 
 @query()
@@ -523,22 +514,22 @@ def rule_f_collision_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rule_f_true_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.true_pair_patterns(document_linkage(spark, sf_dir, True), None)
+    found = reports.true_pair_patterns(part_linkage(spark, sf_dir), None)
     return stats.value_counts(found, "pattern", "combined")
 
 
 @query()
 def rule_f_true_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.true_pair_signals(reports.true_pair_patterns(document_linkage(spark, sf_dir, True), None))
+    return reports.true_pair_signals(reports.true_pair_patterns(part_linkage(spark, sf_dir), None))
 
 
 @query()
 def selective_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.selective(document_linkage(spark, sf_dir, True), None)
+    return reports.selective(part_linkage(spark, sf_dir), None)
 
 
 def _rule3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rule3(document_linkage(spark, sf_dir, True), None)
+    return reports.rule3(part_linkage(spark, sf_dir), None)
 
 
 @query()
