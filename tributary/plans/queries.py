@@ -470,9 +470,9 @@ def training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matcher.training_pairs(x.candidates, x.truth)
 
 
-@query(PARTS + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, source FROM extra WHERE is_true ORDER BY s, c LIMIT 30")
+@query(PARTS + "SELECT s AS s1_id, c AS candidate_id, t AS token, f AS frequency, source FROM extra WHERE is_true AND f <= 5000 ORDER BY s, c LIMIT 30")
 def rule_f_recovery_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.rule_f(part_linkage(spark, sf_dir), None).filter("is_true")
+    found = reports.rule_f(part_linkage(spark, sf_dir)).filter("is_true")
     return reports.first_examples(found.select(*PAIR, "token", "frequency", "source"))
 
 
@@ -494,10 +494,10 @@ def missed_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rule_f_recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rule_f_recoveries(part_linkage(spark, sf_dir), None)
+    return reports.rule_f_recoveries(part_linkage(spark, sf_dir))
 
 
-@query(PARTS + "SELECT t AS token, count(*) AS n, max(f) AS frequency FROM extra WHERE is_true GROUP BY t ORDER BY n DESC, t LIMIT 30")
+@query(PARTS + "SELECT t AS token, count(*) AS n, max(f) AS frequency FROM extra WHERE is_true AND f <= 5000 GROUP BY t ORDER BY n DESC, t LIMIT 30")
 def rule_f_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_tokens(rule_f_recoveries(spark, sf_dir))
 
@@ -514,22 +514,22 @@ def rule_f_collision_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rule_f_true_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.true_pair_patterns(part_linkage(spark, sf_dir), None)
+    found = reports.true_pair_patterns(part_linkage(spark, sf_dir))
     return stats.value_counts(found, "pattern", "combined")
 
 
 @query()
 def rule_f_true_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.true_pair_signals(reports.true_pair_patterns(part_linkage(spark, sf_dir), None))
+    return reports.true_pair_signals(reports.true_pair_patterns(part_linkage(spark, sf_dir)))
 
 
 @query()
 def selective_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.selective(part_linkage(spark, sf_dir), None)
+    return reports.selective(part_linkage(spark, sf_dir))
 
 
 def _rule3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rule3(part_linkage(spark, sf_dir), None)
+    return reports.rule3(part_linkage(spark, sf_dir))
 
 
 @query()
