@@ -130,6 +130,7 @@ ORACLES = {
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op7_exact_dedup": EXACT_DEDUP,
     "op10_chat_formatting": CHAT,
+    "op11_ngram_join": NGRAM_JOIN,
     "op12_prefix_trie": PREFIX_TRIE,
     "op13_spelling_variants": SPELLING,
 }

@@ -12,6 +12,7 @@ from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .html_text import page_texts
+from .ngram_join import similar_documents
 from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
 from .prefix_trie import prefix_trie
@@ -94,6 +95,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of similar documents, over all documents."""
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of all rebuilt conversations' shared beginnings."""
