@@ -8,18 +8,23 @@ boilerplate.
 
 Not shown: head, script, style, template, noscript, media and form controls without text, comments; descriptions
 and definitions in svg, annotations in math (the other text of both is); elements
-with ``hidden``, ``display:none`` or ``visibility:hidden``; the body of a ``details`` that isn't open.
+with ``hidden`` or ``display:none``; the text of elements with ``visibility:hidden``, but for what lies in elements within
+that are ``visible`` again; the body of a ``details`` that isn't open.
 
 Defined cases: null html gives empty text; broken markup is text or is closed where HTML closes it; of elements
 nested deeper than ``MAX_DEPTH`` all visible text is given, in lines of its own for each block, but without further
-bullets, indents and columns, whose size would grow with the square of the depth; a null page_id and repeated rows are rendered
+bullets, indents and columns, whose size would grow with the square of the depth; where two cells of a table claim one
+place, it is held as long as the first one says; a table whose columns would take over ``MAX_PADDING`` times its text (each
+row in columns of its own) has cells two spaces apart, not aligned; a null page_id and repeated rows are rendered
 like any other; extra columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,6 +37,8 @@ from .common import small_batches
 MAX_DEPTH = 150
 # The most columns and rows that a cell spans in HTML.
 MAX_COLUMNS, MAX_ROWS = 1000, 65534
+#: Spaces for alignment that a table may have for each of its characters.
+MAX_PADDING = 500
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -60,17 +67,23 @@ SCOPE = frozenset("table td th caption button object template html".split())
 _TAG = re.compile(r"""<(?:/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+_UNSEEN = re.compile(r"display\s*:\s*none\b")
+_VISIBILITY = re.compile(r".*visibility\s*:\s*(visible|hidden|collapse)\b", re.S)
 
 
 class Node:
-    """An element. ``owner`` and ``leaf`` tell where the content of one beyond ``MAX_DEPTH`` goes."""
+    """An element. ``owner`` and ``leaf`` tell where the content of one beyond ``MAX_DEPTH`` goes.
 
-    __slots__ = ("tag", "attributes", "children", "shown", "owner", "leaf")
+    One that isn't ``shown`` hides all within; one that isn't ``visible`` hides its text, and passes that on to elements
+    that don't say otherwise.
+    """
+
+    __slots__ = ("tag", "attributes", "children", "shown", "visible", "owner", "leaf")
 
     def __init__(self, tag: str, attributes: dict[str, str], shown: bool = True):
         self.tag, self.attributes, self.shown = tag, attributes, shown
         self.children: list[Node | str] = []
+        self.visible = True
         self.owner: Node | None = None
         self.leaf = ""
 
@@ -110,6 +123,8 @@ class Path:
 
     def put(self, child: Node | str) -> None:
         top = self.top
+        if isinstance(child, str) and not top.visible:
+            return
         if len(self.nodes) <= MAX_DEPTH:
             top.children.append(child)
         elif top.shown and not top.is_closed():
@@ -122,6 +137,8 @@ class Path:
                 home.append(child)
 
     def open(self, node: Node) -> None:
+        own = visibility(node.attributes)
+        node.visible = self.top.visible if own is None else own
         if len(self.nodes) < MAX_DEPTH:
             self.top.children.append(node)
         else:
@@ -155,6 +172,12 @@ def is_shown(tag: str, attributes: dict[str, str]) -> bool:
     return not (tag in HIDDEN or "hidden" in attributes or _UNSEEN.search(attributes.get("style", "").lower()))
 
 
+def visibility(attributes: dict[str, str]) -> bool | None:
+    """What an element's style says of its visibility; None if nothing."""
+    m = _VISIBILITY.match(attributes.get("style", "").lower()) if "style" in attributes else None
+    return m[1] == "visible" if m else None
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("start", tag, attributes), ("raw", text, tag) and ("end", tag, "") in order."""
     at = seen = 0  # what is before ``at`` has been given, what is before ``seen`` holds no more tags
@@ -219,6 +242,8 @@ def tree(page: str) -> tuple[Node, str]:
                 path.close({"head"}, ())
                 if not is_shown(value, attributes):
                     root.shown = False
+                own = visibility(attributes)
+                root.visible = root.visible if own is None else own
                 continue
             if path.top.tag == "head" and value not in ("base", "link", "meta", "title", "style", "script", "template", "noscript"):
                 path.close({"head"}, ())
@@ -327,6 +352,7 @@ def items(node: Node, pre: bool) -> list[str]:
             if ordered:
                 number = _int(child.attributes.get("value"), number)
             mark = f"{number}. " if ordered else "- "
+            mark = mark if child.visible else " " * len(mark)
             number += 1
             for k, x in enumerate(render(child, pre)):
                 out.append(f"{mark}{x}" if not k else f"{' ' * len(mark)}{x}" if x else x)
@@ -364,49 +390,114 @@ def _outside(node: Node) -> Iterator[Node | str]:
             yield child
 
 
+class Columns:
+    """The free columns of a table's next row: stretches between those that cells of rows above still hold."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = [0]
+        self.ends: list[float] = [float("inf")]
+        self.held: list[tuple[int, int, int]] = []  # the last row, from, to
+
+    def free(self, column: int) -> int:
+        """The first free column from this one on."""
+        k = bisect_right(self.starts, column) - 1
+        return column if k >= 0 and column < self.ends[k] else self.starts[k + 1]
+
+    def hold(self, start: int, end: int, row: int) -> None:
+        """Take the free ones of these columns up to a row."""
+        k = bisect_right(self.ends, start)
+        while k < len(self.starts) and self.starts[k] < end:
+            a, b = self.starts.pop(k), self.ends.pop(k)
+            x, y = max(a, start), min(b, end)
+            heapq.heappush(self.held, (row, x, int(y)))
+            for lo, hi in ((y, b), (a, x)):
+                if lo < hi:
+                    self.starts.insert(k, int(lo))
+                    self.ends.insert(k, hi)
+            k = bisect_right(self.ends, y)
+
+    def release(self, row: int) -> None:
+        """Give back what is held up to a row before this one."""
+        while self.held and self.held[0][0] < row:
+            _, start, end = heapq.heappop(self.held)
+            k = bisect_left(self.starts, start)
+            if k < len(self.starts) and self.starts[k] == end:
+                self.starts.pop(k)
+                end = self.ends.pop(k)
+            if k and self.ends[k - 1] == start:
+                self.ends[k - 1] = end
+            else:
+                self.starts.insert(k, start)
+                self.ends.insert(k, end)
+
+
+def column_widths(cells: list[tuple[int, int, list[str]]]) -> dict[int, int]:
+    """The widths of the columns in which cells (column, span, lines) end, narrow spans first; other columns are empty."""
+    lasts = sorted({column + span - 1 for column, span, _ in cells})
+    sums = [0] * (len(lasts) + 1)  # of widths, as a tree of partial sums
+
+    def upto(k: int) -> int:
+        total = 0
+        while k:
+            total += sums[k]
+            k &= k - 1
+        return total
+
+    width: dict[int, int] = {}
+    for column, span, lines in sorted(cells, key=lambda c: c[1]):
+        last = column + span - 1
+        k = bisect_left(lasts, last) + 1
+        have = upto(k) - upto(bisect_left(lasts, column)) + 2 * (span - 1)
+        more = max(0, max(map(len, lines), default=0) - have)
+        width[last] = width.get(last, 0) + more
+        while more and k < len(sums):
+            sums[k] += more
+            k += k & -k
+    return width
+
+
 def cells(node: Node, pre: bool) -> list[str]:
     """A table: every column as wide as its widest cell, columns two spaces apart."""
     before = Node("div", {})
     before.children = list(_outside(node))
     grid: list[list[tuple[int, int, list[str]]]] = []
-    held: list[tuple[int, int, int]] = []  # columns from, to, taken by cells of rows above, and the last such row
+    columns = Columns()
     for number, tr in enumerate(_rows(node)):
-        row, column, fresh = [], 0, False
+        row, column = [], 0
         below: list[tuple[int, int, int]] = []
+        columns.release(number)
         for cell in tr.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.shown:
-                if not fresh:
-                    held, k, fresh = sorted(x for x in held if x[2] >= number), 0, True
-                while k < len(held) and held[k][0] <= column:
-                    column = max(column, held[k][1])
-                    k += 1
+                column = columns.free(column)
                 span = min(MAX_COLUMNS, max(1, _int(cell.attributes.get("colspan"), 1)))
                 down = min(MAX_ROWS, max(1, _int(cell.attributes.get("rowspan"), 1)))
                 row.append((column, span, render(cell, pre)))
                 if down > 1:
                     below.append((column, column + span, number + down - 1))
                 column += span
-        held += below
+        for held in below:
+            columns.hold(*held)
         grid.append(row)
-    width: dict[int, int] = {}
-    for column, span, lines in sorted((c for row in grid for c in row), key=lambda c: c[1]):
-        most = max(map(len, lines), default=0)
-        have = sum(width.get(column + k, 0) for k in range(span)) + 2 * (span - 1)
-        last = column + span - 1
-        width[last] = width.get(last, 0) + max(0, most - have)
+    width = column_widths([c for row in grid for c in row])
     start, at = {}, 0
     for column in sorted({*width, *(c[0] for row in grid for c in row)}):  # the others are empty
         start[column] = at
         at += width.get(column, 0) + (2 if width.get(column, 0) else 0)
+    size = sum(len(x) for row in grid for _, _, lines in row for x in lines)
+    padding = sum(max((start[column] for column, _, lines in row if k < len(lines) and lines[k]), default=0) for row in grid for k in range(max((len(lines) for _, _, lines in row), default=0)))
+    if padding > MAX_PADDING * size:
+        start = dict.fromkeys(start, 0)
     out = render(before, pre)
     for row in grid:
         for k in range(max((len(lines) for _, _, lines in row), default=0)):
-            text = ""
+            text: list[str] = []
+            length = 0
             for column, _, lines in row:
                 if k < len(lines) and lines[k]:
-                    text = text.ljust(start[column]) if len(text) <= start[column] else text + "  "
-                    text += lines[k]
-            out.append(text.rstrip())
+                    text.append(" " * (start[column] - length) if length <= start[column] else "  ")
+                    text.append(lines[k])
+                    length += len(text[-2]) + len(text[-1])
+            out.append("".join(text).rstrip())
     return out
 
 
