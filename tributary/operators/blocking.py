@@ -1,16 +1,32 @@
-"""Candidate pairs by shared keys, as equi-joins over exploded postings.
+"""Candidate pairs by shared keys. All rules key on the country too.
 
-``prepare`` computes what the rules need once per record. All rules key on the country too.
+``prepare`` computes what the rules need once per record. Equal names are an equi-join. Shared tokens go through
+packed postings: targets are numbered, and a token's targets are arrays of places in buckets of ``SPAN`` numbers. A
+record of S1 joins arrays, not targets, so a join has a row for each token and bucket; arrays that meet are counted
+by place, and every pair comes out once. A token that very many records have is dealt to a grid of sub-keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import text as t
+from tributary.storage import settled
 
 PAIR = ["s1_id", "candidate_id"]
+#: Targets of a bucket: as many places as an array may name.
+SPAN = 1 << 13
+#: Rows of S1, and arrays, that one key of the join may have; beyond that the key is dealt to sub-keys.
+KEY_ROWS, KEY_ARRAYS = 50_000, 64
+#: An S1 record's most frequent address token is looked up, not joined, if more targets than these have it.
+COMMON_POSTINGS = 20_000
 
 
 def prepare(records: DataFrame) -> DataFrame:
@@ -38,26 +54,157 @@ def block_indexes(prepared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return exact, postings(prepared, "name_set"), postings(prepared, "address_tokens")
 
 
+@dataclass
+class TokenIndex:
+    """The postings of a source, packed.
+
+    ``lists`` has (country_key, token, bucket, places), a place for each time that a target has the token; ``numbers`` has
+    (bucket, place, candidate_id); ``times`` has (country_key, token, candidate_id, times).
+    """
+
+    lists: DataFrame
+    numbers: DataFrame
+    times: DataFrame
+
+    @staticmethod
+    def of(targets: DataFrame, tokens: str) -> TokenIndex:
+        """Numbers run over ranges of countries and ids, so a country's targets fill few buckets."""
+        ordered = targets.select("country_key", "entity_id", F.col(tokens).alias("tokens")).repartitionByRange("country_key", "entity_id")
+        number = F.monotonically_increasing_id()
+        rows = settled(ordered.withColumn("number", number))
+        bucket, place = F.shiftright("number", SPAN.bit_length() - 1).alias("bucket"), F.col("number").bitwiseAND(F.lit(SPAN - 1)).cast("short").alias("place")
+        one = rows.select("country_key", F.explode("tokens").alias("token"), bucket, place)
+        lists = one.groupBy("country_key", "token", "bucket").agg(F.collect_list("place").alias("places"))  # a bucket bounds the array
+        times = rows.select("country_key", F.explode("tokens").alias("token"), F.col("entity_id").alias("candidate_id")).groupBy("country_key", "token", "candidate_id").agg(F.count("*").alias("times"))
+        return TokenIndex(lists, rows.select(bucket, place, F.col("entity_id").alias("candidate_id")), times)
+
+    def sizes(self) -> DataFrame:
+        """(country_key, token, size): how many postings a token has."""
+        return self.lists.groupBy("country_key", "token").agg(F.sum(F.size("places")).alias("size"))
+
+    def named(self, found: DataFrame) -> DataFrame:
+        return found.join(self.numbers, ["bucket", "place"])
+
+    def write(self, path: str, buckets: int = 64) -> None:
+        """Store the postings in folders by the hash of country and token, so that a look-up reads few of them."""
+        folder = _folder(buckets)
+        self.lists.withColumn("folder", folder).repartition(buckets, "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/lists")
+        self.numbers.write.mode("overwrite").parquet(f"{path}/numbers")
+        self.times.withColumn("folder", folder).repartition(buckets, "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/times")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str, probes: DataFrame | None = None, buckets: int = 64, most: int = 1000) -> TokenIndex:
+        """A stored index; for ``probes`` of at most ``most`` different tokens only the folders that have them."""
+        parts = [spark.read.parquet(f"{path}/{n}") for n in ("lists", "times")]
+        if probes is not None:
+            wanted = probes.select("country_key", "token").distinct().limit(most + 1).select(_folder(buckets).alias("f")).groupBy("f").count().collect()  # a row for each folder
+            if sum(r["count"] for r in wanted) <= most:
+                parts = [x.filter(F.col("folder").isin([r.f for r in wanted])) for x in parts]
+        return TokenIndex(parts[0].drop("folder"), spark.read.parquet(f"{path}/numbers"), parts[1].drop("folder"))
+
+
+def _folder(buckets: int):
+    return F.pmod(F.xxhash64("country_key", "token"), F.lit(buckets)).cast("int")
+
+
+def _counted(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def count(rows: pa.Table) -> pa.RecordBatch:
+            ids, places = rows["s1_id"].combine_chunks().dictionary_encode(), rows["places"].combine_chunks()
+            who, bucket = ids.indices.to_numpy(), rows["bucket"].to_numpy()
+            new = np.r_[True, (who[1:] != who[:-1]) | (bucket[1:] != bucket[:-1])]
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            code = np.repeat(group * SPAN, pc.list_value_length(places).to_numpy()) + places.flatten().to_numpy()
+            if 4 * len(code) > len(first) * SPAN:
+                times = np.bincount(code, minlength=1)
+                found = np.flatnonzero(times >= least)
+                times = times[found]
+            else:
+                found, times = np.unique(code, return_counts=True)
+                found, times = found[times >= least], times[times >= least]
+            at = first[found // SPAN]
+            columns = [ids.dictionary.take(pa.array(who[at])), pa.array(bucket[at]), pa.array((found % SPAN).astype(np.int16)), pa.array(times.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["s1_id", "bucket", "place", "shared"])
+
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not rows.num_rows:
+                continue
+            tail = pc.and_(pc.equal(rows["s1_id"], rows["s1_id"][-1]), pc.equal(rows["bucket"], rows["bucket"][-1]))
+            whole = rows.num_rows - pc.sum(tail).as_py()  # the last record and bucket may go on
+            if whole:
+                yield count(rows.slice(0, whole).combine_chunks())
+            held = rows.slice(whole)
+        if held is not None and held.num_rows:
+            yield count(held.combine_chunks())
+
+    return run
+
+
+def dealt(probes: DataFrame, index: TokenIndex, key_rows: int = KEY_ROWS, key_arrays: int = KEY_ARRAYS) -> DataFrame:
+    """(s1_id, bucket, places): the arrays that the tokens of ``probes(s1_id, country_key, token)`` meet.
+
+    A token of more rows than ``key_rows``, or more arrays than ``key_arrays``, is dealt to a grid: a row goes to its part of
+    the rows in every column, an array to its column in every part. So no key of the join is larger, and nothing is dropped.
+    """
+    key = ["country_key", "token"]
+    left, right = (x.groupBy(*key).agg(F.count("*").alias(n)) for x, n in ((probes, "l"), (index.lists, "r")))
+    grid = left.join(right, key).filter((F.col("l") > key_rows) | (F.col("r") > key_arrays))
+    grid = grid.select(*key, F.ceil(F.col("l") / key_rows).cast("int").alias("parts"), F.ceil(F.col("r") / key_arrays).cast("int").alias("columns"))
+    part = lambda x: F.pmod(F.xxhash64(x), F.coalesce("parts", F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    rows = probes.join(grid, key, "left").select("s1_id", *key, part("s1_id").alias("i"), every("columns").alias("j"))
+    column = F.pmod(F.xxhash64("bucket"), F.coalesce("columns", F.lit(1))).cast("int")
+    arrays = index.lists.join(grid, key, "left").select(*key, "bucket", "places", column.alias("j"), every("parts").alias("i"))
+    return rows.join(arrays, [*key, "i", "j"]).select("s1_id", "bucket", "places")
+
+
+def hits(probes: DataFrame, index: TokenIndex, least: int) -> DataFrame:
+    """(s1_id, bucket, place, shared) of every target that at least ``least`` of a record's tokens meet."""
+    met = dealt(probes, index).repartition("s1_id", "bucket").sortWithinPartitions("s1_id", "bucket")
+    return met.mapInArrow(_counted(least), "s1_id string, bucket long, place short, shared int")
+
+
 def exact_name_pairs(s1: DataFrame, targets: DataFrame) -> DataFrame:
     left = s1.filter("name != ''").select("country_key", "name", F.col("entity_id").alias("s1_id"))
     right = targets.filter("name != ''").select("country_key", "name", F.col("entity_id").alias("candidate_id"))
     return left.join(right, ["country_key", "name"]).select(*PAIR).distinct()
 
 
-def name_token_pairs(s1: DataFrame, targets: DataFrame) -> DataFrame:
-    left, right = postings(s1, "name_set", "s1_id"), postings(targets, "name_set", "candidate_id")
-    return left.join(right, ["country_key", "token"]).select(*PAIR).distinct()
+def name_token_pairs(s1: DataFrame, targets: DataFrame, index: TokenIndex | None = None) -> DataFrame:
+    """Pairs that share a name token."""
+    index = index or TokenIndex.of(targets, "name_set")
+    return index.named(hits(postings(s1, "name_set", "s1_id"), index, 1)).select(*PAIR)
 
 
-def address_pairs(s1: DataFrame, targets: DataFrame, least: int = 2, mode: str = "multiset") -> DataFrame:
+def address_pairs(s1: DataFrame, targets: DataFrame, least: int = 2, mode: str = "multiset", common: int = COMMON_POSTINGS) -> DataFrame:
     """Pairs that share at least ``least`` address tokens: (s1_id, candidate_id, shared).
 
     In mode "multiset" a token that a target repeats counts as often as the target has it; in mode "distinct", once.
+
+    Prefix filter: of ``least`` shared tokens, all but one are found without an S1 record's most frequent token. Where that
+    one has more than ``common`` postings, it isn't joined: pairs one short of ``least`` by the other tokens, and pairs
+    with targets that repeat it, look it up.
     """
+    index = TokenIndex.of(targets, "address_tokens" if mode == "multiset" else "address_set")
     left = postings(s1.filter(F.size("address_set") >= least), "address_set", "s1_id")
-    right = postings(targets, "address_tokens" if mode == "multiset" else "address_set", "candidate_id")
-    right = right.groupBy("country_key", "token", "candidate_id").agg(F.count("*").alias("times"))
-    return left.join(right, ["country_key", "token"]).groupBy(*PAIR).agg(F.sum("times").alias("shared")).filter(F.col("shared") >= least)
+    sizes = index.sizes().filter(F.col("size") > common)
+    if sizes.isEmpty():
+        return index.named(hits(left, index, least)).select(*PAIR, F.col("shared").cast("long").alias("shared"))
+    left = settled(left.join(sizes, ["country_key", "token"], "left"))
+    last = left.groupBy("s1_id").agg(F.max(F.struct("size", "token", "country_key")).alias("x")).filter("x.size is not null").select("s1_id", "x.token", "x.country_key")
+    rest = left.drop("size").join(last, ["s1_id", "token", "country_key"], "left_anti")
+    found = hits(rest, index, least - 1) if least > 1 else hits(left.drop("size"), index, 1)
+    if least < 2:
+        return index.named(found).select(*PAIR, F.col("shared").cast("long").alias("shared"))
+    found = index.named(found).select(*PAIR, F.col("shared").cast("long").alias("others"))
+    times = index.times.join(sizes.drop("size"), ["country_key", "token"], "left_semi")
+    again = last.join(times.filter("times > 1"), ["country_key", "token"]).select("s1_id", "candidate_id", F.lit(0).cast("long").alias("others"))
+    pairs = found.union(again).groupBy(*PAIR).agg(F.max("others").alias("others")).join(last, "s1_id", "left")
+    both = pairs.join(times, ["country_key", "token", "candidate_id"], "left").withColumn("shared", F.col("others") + F.coalesce("times", F.lit(0)))
+    return both.filter(F.col("shared") >= least).select(*PAIR, "shared")
 
 
 def candidate_pairs(s1: DataFrame, targets: DataFrame, mode: str = "multiset") -> DataFrame:
