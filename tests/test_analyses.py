@@ -230,7 +230,7 @@ def test_every_class_is_reached(spark, plain, linkage):
     """All classifications of all pairs of the small part, each by its definition."""
     some = {k: (p, min(p.places, default="granite")) for k, p in plain.pairs.items() if not k[0].startswith("S1-9")}
     rows = [(*k, w) for k, (_, w) in some.items()] + [("S1-900", "S3-quarry1", "quarry")]
-    x = rules.measured(spark.createDataFrame(rows, "s1_id string, candidate_id string, token string").withColumn("frequency", F.lit(1)), linkage.s1, linkage.targets).withColumn("reason", classify.collision_reason())
+    x = rules.addressed(rules.measured(spark.createDataFrame(rows, "s1_id string, candidate_id string, token string").withColumn("frequency", F.lit(1)), linkage.s1, linkage.targets)).withColumn("reason", classify.collision_reason())
     reasons = {(r.s1_id, r.candidate_id): r.reason for r in x.select("s1_id", "candidate_id", "reason").collect()}
     y = classify.with_name_signals(joined(spark.createDataFrame(rows, "s1_id string, candidate_id string, token string"), linkage.s1, linkage.targets, classify.RAW))
     word = F.col("token")
@@ -396,3 +396,20 @@ def test_scores_and_matches(spark, plain, linkage):
     got = {r.s1_entity_id: r.matched_entity_ids for r in reports.matched(linkage, scores).collect()}
     assert got == {s[0]: ",".join(sorted(c for i, c in chosen if i == s[0])) for s in plain.s1}
 
+
+
+def test_bounds_decide_as_the_similarity_does(spark):
+    """With a bound, the same pairs are at or above every threshold from it on, and few go to Python."""
+    from tributary.functions import similarity as s
+
+    r = random.Random(3)
+    texts = ["", "a", "aab", "acme tools", "acme tool", "𝒳yz", "ééa"] + ["".join(r.choices("abcdefgh  ", k=r.randrange(1, 25))) for _ in range(60)]
+    df = spark.createDataFrame([(x, y) for x in texts for y in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for least in (0.60, 0.80):
+        rows = df.select("a", "b", s.character_similarity(a, b, least).alias("got"), s.similarity_bound(a, b).alias("bound")).collect()
+        for x in rows:
+            want = ratio(x.a, x.b)
+            assert want <= x.bound + 1e-12
+            assert x.got == pytest.approx(want) if want >= least else want <= x.got < least or x.got == pytest.approx(want)
+        assert sum(x.bound >= least for x in rows) < 0.6 * len(rows)

@@ -26,13 +26,27 @@ def _character_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Ite
         yield pd.Series([None if a is None or b is None else _ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-def character_similarity(left: Column, right: Column) -> Column:
+def similarity_bound(left: Column, right: Column) -> Column:
+    """What the character similarity can't exceed: twice the characters that both have, repeats counted, over all of both."""
+    times = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    both = F.aggregate(F.array_distinct(F.split(left, "")), F.lit(0), lambda n, c: n + F.least(times(left, c), times(right, c)))
+    whole = F.length(left) + F.length(right)
+    return F.when(whole == 0, 1.0).otherwise(2.0 * both / whole)
+
+
+def character_similarity(left: Column, right: Column, least: float | None = None) -> Column:
     """Matching-block ratio of two strings; the order of the arguments matters.
 
-    Equal strings, and pairs with an empty side, are answered without Python.
+    Equal strings, and pairs with an empty side, are answered without Python. With ``least`` so are pairs whose lengths or
+    characters bound it below that; their value is the bound.
     """
     easy = F.when(left == right, 1.0).when((left == "") | (right == ""), 0.0)
     hard = (left != right) & (left != "") & (right != "")
+    if least is not None:
+        lengths = 2.0 * F.least(F.length(left), F.length(right)) / (F.length(left) + F.length(right))
+        bound = F.when(lengths < least, lengths).otherwise(similarity_bound(left, right))
+        easy = easy.when(bound < least, bound)
+        hard &= bound >= least
     return F.coalesce(easy, _character_similarity(F.when(hard, left), F.when(hard, right)))
 
 
@@ -95,18 +109,25 @@ def safe_ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(part / whole)
 
 
+@lru_cache(10_000)
+def _beside(either: str, token: str) -> re.Pattern[str]:
+    word = rf"\b{re.escape(token)}\b"
+    return re.compile(rf"\b(?:{either})\b[^,;]*{word}|{word}[^,;]*\b(?:{either})\b")
+
+
 def marked(markers: tuple[str, ...]):
-    """A column function: does a token stand with a marker in one part of a text, in either order?"""
+    """A column function: does a token stand with a marker in one part of a text, in either order?
+
+    Only texts that hold the token and a marker at all go to Python.
+    """
     either = "|".join(map(re.escape, markers))
 
     @F.pandas_udf(T.BooleanType())
     def near_marker(tokens: pd.Series, texts: pd.Series) -> pd.Series:
-        def hit(token: str | None, text: str | None) -> bool:
-            if not token or not text:
-                return False
-            word = rf"\b{re.escape(token)}\b"
-            return bool(re.search(rf"\b(?:{either})\b[^,;]*{word}|{word}[^,;]*\b(?:{either})\b", text))
+        return pd.Series([bool(a and b and _beside(either, a).search(b)) for a, b in zip(tokens, texts, strict=True)], dtype="boolean")
 
-        return pd.Series([hit(a, b) for a, b in zip(tokens, texts, strict=True)], dtype="boolean")
+    def column(token: Column, text: Column) -> Column:
+        can = F.coalesce((token != "") & F.contains(text, token) & text.rlike(either), F.lit(False))
+        return can & F.coalesce(near_marker(F.when(can, token), F.when(can, text)), F.lit(False))
 
-    return near_marker
+    return column

@@ -14,7 +14,8 @@ from tributary.operators.features import joined
 from tributary.operators.stats import distribution, percentile
 from tributary.sources.tsv import source_of
 
-RULE_F_LIMIT, RULE_3_SIMILARITY = 5_000, 0.80
+# The limits of the rules, their similarities, and the frequencies of the what-if report.
+RULE_F_LIMIT, RULE_3_SIMILARITY, LEAST_SIMILARITY = 5_000, 0.80, 0.60
 #: Rule name to the frequency limit of the shared token; no limit is None. Rule A adds nothing.
 LIMITS: dict[str, int | None] = {"C": 100, "D": 500, "E": 1_000, "F": 5_000, "B": None}
 RARITY = (10, 50, 100, 500, 1_000, 5_000)
@@ -90,14 +91,16 @@ def rare_token_what_if(truth: DataFrame, current: DataFrame, s1: DataFrame, targ
     )
 
 
-def measured(added: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
-    """Additions with what the selective rules and the reports ask of both records."""
+def measured(added: DataFrame, s1: DataFrame, targets: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """Additions with what the selective rules and the reports ask of both records.
+
+    A name similarity below ``least`` may be a bound on it, also below; ``addressed`` adds the addresses' similarity.
+    """
     rows = joined(added, s1, targets, c.RAW)
     name = lambda side: t.light_normal(side("business_name"))
     rows = rows.withColumns(
         {
-            "name_similarity": s.character_similarity(name(c.s1), name(c.target)),
-            "address_similarity": s.character_similarity(t.light_normal(c.s1("business_address")), t.light_normal(c.target("business_address"))),
+            "name_similarity": s.character_similarity(name(c.s1), name(c.target), least),
             "exact_name": name(c.s1) == name(c.target),
             "containment": s.contains_either(name(c.s1), name(c.target)),
             "shared_name_tokens": s.shared(c.s1("name_set"), c.target("name_set")),
@@ -112,6 +115,12 @@ def measured(added: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     return c.with_place(rows)
 
 
+def addressed(rows: DataFrame) -> DataFrame:
+    """Measured rows with the similarity of both addresses."""
+    address = lambda side: t.light_normal(side("business_address"))
+    return rows.withColumn("address_similarity", s.character_similarity(address(c.s1), address(c.target)))
+
+
 def selective_rules() -> dict[str, Column]:
     similar, textual = F.col("name_similarity"), ~F.col("numeric_token")
     return {
@@ -149,7 +158,7 @@ def selective_report(rows: DataFrame, rules: dict[str, Column] | None = None) ->
 
 def rule3_rows(rows: DataFrame) -> DataFrame:
     """Additions that Rule 3 keeps, with the reason of the false ones."""
-    return rows.filter(F.col("name_similarity") >= RULE_3_SIMILARITY).withColumn("reason", c.collision_reason())
+    return addressed(rows.filter(F.col("name_similarity") >= RULE_3_SIMILARITY)).withColumn("reason", c.collision_reason())
 
 
 def rule3_conditions() -> dict[str, Column]:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators import blocking
+from tributary.operators import blocking, rules
 from tributary.operators.blocking import PAIR
 from tributary.storage import settled
 
@@ -30,6 +30,11 @@ class Linkage:
     def frequency(self) -> DataFrame:
         return blocking.token_frequency(self.targets)
 
+    @cached_property
+    def additions(self) -> DataFrame:
+        """What Rule F adds at its limit; computed once, as the analyses of it ask in several ways."""
+        return settled(rules.additions(self.s1, self.targets, self.candidates, self.truth, self.frequency))
+
 
 def _source(key: str):
     return F.concat(F.element_at(F.array(F.lit("S1-"), F.lit("S2-"), F.lit("S3-")), (F.col(key) % 3 + 1).cast("int")), F.col(key).cast("string"))
@@ -54,12 +59,12 @@ def is_s1():
     return F.startswith("entity_id", F.lit("S1-"))
 
 
-def _linkage(records: DataFrame, key: Column) -> Linkage:
-    """True pairs are records of equal key and country."""
+def _linkage(records: DataFrame, key: Column, keep: bool = False) -> Linkage:
+    """True pairs are records of equal key and country. With ``keep`` the prepared records are computed once, for analyses that read them often."""
     keys = records.select("entity_id", key.alias("k"), "country")
     left = keys.filter(is_s1()).select(F.col("entity_id").alias("s1_id"), "k", "country")
     right = keys.filter(~is_s1()).select(F.col("entity_id").alias("candidate_id"), "k", "country")
-    prepared = blocking.prepare(records)
+    prepared = settled(blocking.prepare(records)) if keep else blocking.prepare(records)
     return Linkage(prepared.filter(is_s1()), prepared.filter(~is_s1()), left.join(right, ["k", "country"]).select(*PAIR))
 
 
@@ -70,7 +75,7 @@ def document_linkage(spark: SparkSession, sf_dir: str) -> Linkage:
 
 def part_linkage(spark: SparkSession, sf_dir: str) -> Linkage:
     """True pairs are parts of equal brand and size; blocks miss those that share no name token and no type."""
-    return _linkage(part_records(spark.read.parquet(f"{sf_dir}/part.parquet")), F.col("_size"))
+    return _linkage(part_records(spark.read.parquet(f"{sf_dir}/part.parquet")), F.col("_size"), keep=True)
 
 
 def truth_cells(linkage: Linkage) -> DataFrame:

@@ -62,6 +62,9 @@ def missed_pattern_counts(patterns: DataFrame) -> DataFrame:
 
 
 def rule_f(linkage: Linkage, limit: int | None = rules.RULE_F_LIMIT) -> DataFrame:
+    """What Rule F adds, with the limit of the reports or another."""
+    if limit == rules.RULE_F_LIMIT:
+        return linkage.additions
     return rules.additions(linkage.s1, linkage.targets, linkage.candidates, linkage.truth, linkage.frequency, limit)
 
 
@@ -138,7 +141,9 @@ def selective(linkage: Linkage, limit: int | None = rules.RULE_F_LIMIT) -> DataF
 
 
 def rule3(linkage: Linkage, limit: int | None = rules.RULE_F_LIMIT) -> DataFrame:
-    return rules.rule3_rows(rules.measured(rule_f(linkage, limit), linkage.s1, linkage.targets))
+    """Rule F's additions of a name similarity that Rule 3 asks for, in the order of their ids."""
+    rows = rules.measured(rule_f(linkage, limit), linkage.s1, linkage.targets, rules.RULE_3_SIMILARITY)
+    return rules.rule3_rows(rows).orderBy(*PAIR)
 
 
 def export_candidates(linkage: Linkage, sample: int | None = None, universe: str = "all") -> DataFrame:

@@ -169,16 +169,19 @@ def first_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(key).limit(n)
 
 
+_SINK = {"sep": "\t", "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_tsv(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
     """TSV parts with one header (also for no rows), written in parallel; put together in the order of their names they are one file.
 
     Rows come sorted by ``order``, all columns by default, through ranges; the header is the first row of the first range.
     """
     keys = order or rows.columns
-    line = F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in rows.columns]), {"sep": "\t", "escape": '"', "emptyValue": "", "nullValue": ""})
+    line = F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in rows.columns]), _SINK)
     lines = rows.select(F.lit(1).alias("_h"), line.alias("_l"), *[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
     names = rows.sparkSession.createDataFrame([tuple(rows.columns)], ", ".join(f"c{i} string" for i in range(len(rows.columns))))
-    head = names.select(F.lit(0), F.to_csv(F.struct("*"), {"sep": "\t", "escape": '"'}), *[F.lit(None).cast(f.dataType) for f in lines.schema.fields[2:]])
+    head = names.select(F.lit(0), F.to_csv(F.struct("*"), _SINK), *[F.lit(None).cast(f.dataType) for f in lines.schema.fields[2:]])
     order_by = ["_h", *[f"_{i}" for i in range(len(keys))]]
     lines.union(head).repartitionByRange(*order_by).sortWithinPartitions(*order_by).select("_l").write.mode("overwrite").text(path, lineSep="\n")
 
