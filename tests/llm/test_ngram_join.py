@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tributary.llm import ngram_join as j
+from tributary.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string"
 
@@ -75,16 +76,19 @@ def test_open_signatures_are_searched_completely(spark, monkeypatch):
         monkeypatch.setattr(j, "PAIR_GROUP", pair_group)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()}
         assert got == plain(docs, 3, 90)
-    rows, links = j.similarity_links(spark.createDataFrame(docs, SCHEMA), 3, 90)
-    everything = rows.selectExpr("1L sig", "key", "key component").withColumn("classes", j.F.lit(41))
-    sets = spark.createDataFrame([(j._class_key(*j.shingle_set(t.encode())), *j.shingle_set(t.encode())) for _, t in docs][:0], "key long, n long, set binary")
-    made = [(j._class_key(*s)[0], s[0], s[1].tobytes()) for s in (j.shingle_set(t.encode()) for _, t in docs)]
-    sets = spark.createDataFrame(made, "key long, n long, set binary")
-    for pair_group in (50, 1):
-        monkeypatch.setattr(j, "PAIR_GROUP", pair_group)
-        found = {frozenset((r.a, r.b)) for r in j.all_links(everything, sets, 90).collect()}
-        assert found and all(j.similar(n, m, len(a & b), 90) for n, m, a, b in ((sizes[x], sizes[y], elements[x], elements[y]) for sizes, elements in [({k: n for k, n, _ in made}, {k: set(np.frombuffer(s, np.uint64).tolist()) for k, _, s in made})] for x, y in map(tuple, found)))
+    _, links, classes = j.similarity_links(spark.createDataFrame(docs, SCHEMA), 3, 90)
     assert links.count() > 0
+    everything = classes.known.selectExpr("1L sig", "key", "key component", "41L classes")
+    want = sorted(c for _, c in plain(docs, 3, 90).values())
+    for pair_group, cell in ((50, 1000), (1, 1000), (1, 6)):
+        monkeypatch.setattr(j, "PAIR_GROUP", pair_group)
+        monkeypatch.setattr(j, "CELL_CLASSES", cell)
+        found = {r.node: r.component for r in connected_components(j.all_links(everything, classes)).collect()}
+        least = {}
+        for r in classes.known.collect():
+            c = found.get(r.key, r.key)
+            least[c] = min(r.first, least.get(c, r.first))
+        assert sorted(least[found.get(r.key, r.key)] for r in classes.known.collect()) == want
 
 
 @pytest.mark.parametrize("percent", [80, 90])
@@ -114,11 +118,15 @@ def test_bands_meet():
 
 def test_parity_sketches_never_say_too_much():
     r = np.random.default_rng(3)
-    sets = [np.unique(r.integers(0, 400, n).astype(np.uint64)) for n in (1, 5, 60, 200, 300)]
-    bits = j.parity_sketches(sets)
-    for a, x in zip(sets, bits, strict=True):
-        for b, y in zip(sets, bits, strict=True):
-            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    sets = [np.unique(r.integers(0, 400, n).astype(np.uint64)) for n in (1, 5, 60, 61, 200, 300)]
+    sets += [s[:-1] for s in sets if len(s) > 40]
+    for a in sets:
+        for b in sets:
+            x, y = (np.frombuffer(j.parity_sketch(s), np.uint64) for s in (a, b))
+            words = min(len(x), len(y))
+            assert np.bitwise_count(j.folded(x, words) ^ j.folded(y, words)).sum() <= len(np.setxor1d(a, b))
+            assert j.may_link(len(a), len(b), x, y, 90) or not j.similar(len(a), len(b), j.common(a, b), 90)
+    assert not j.may_link(300, 300, *(np.frombuffer(j.parity_sketch(r.integers(1, 1 << 62, 300).astype(np.uint64)), np.uint64) for _ in "ab"), 90)
 
 
 def test_odd_input(spark):

@@ -9,13 +9,14 @@
    the parts, so similar sets share one. Three ways to choose the two parts, for every partition, are enumerated.
 3. A map task ties the classes that it sees under one signature to the first of them and sends only that one on;
    the shuffle ties these together. So a signature that very many classes share reaches a task as a few rows.
-4. Ties are checked on the sets themselves: for each class its most frequent tie, then within signatures whose classes
-   are still apart the ties to their best connected class. Classes that get connected leave nothing more to find.
+4. Ties are checked: for each class its most frequent tie, then within signatures whose classes are still apart the
+   ties to their best connected class. Classes that get connected leave nothing more to find.
 5. Signatures whose classes are apart after that are searched completely. Few classes give pairs. Many are dealt in
-   parts to cells of bounded size, and a cell finds its links by parity sketches (bits of two sets never differ in
-   more places than the sets do), then by intersection, and gives a spanning forest of them.
+   parts to cells of bounded size; a cell says which of its classes may link, and of these gives a spanning forest.
 
-Whether two sets link is always decided by counting their common elements.
+A check begins with parity sketches, half a byte to one for each element: bits of two sets never differ in more places than
+the sets do. What passes is decided by counting common elements. Sets are made again from the texts, for classes that need
+them only: a bit map of one megabyte, whatever the input, tells the scan which documents to look at.
 
 Defined cases: null and empty texts and such of spaces only have an empty set and link with nothing; fewer words than a
 shingle are one shingle; rows with a null doc_id have a size, but no component; repeated rows share a component, and a
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ WIDTH, PERCENT, PARTS = 3, 90, 3
 BUFFER_ROWS = 1 << 20
 #: Groups of so many classes are searched as pairs, larger ones in cells of so many classes and elements a part.
 PAIR_GROUP, CELL_CLASSES, CELL_ELEMENTS = 8, 1000, 2 << 20
+#: Bits of the map of documents whose sets are wanted.
+MAP_BITS = 1 << 23
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -120,15 +124,30 @@ def _class_key(n: int, hashes: np.ndarray) -> tuple[int | None, int | None]:
     return int(key[0]), int(key[1])
 
 
-def _members(width: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(t, width, seed) for t in b.column(1).to_pylist()]
-            keys = [_class_key(n, s) for n, s in found]
-            columns = [b.column(0), pa.array([n for n, _ in found], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays([*columns, b.column(2)], ["doc_id", "n", "key", "other", "hash"])
+ROW = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("other", pa.int64()), ("hash", pa.int64()), ("sketch", pa.binary())])
+_SIGNED = "sig long, a long, b long, row struct<doc_id: long, n: long, other: long, hash: long, sketch: binary>"
+_NAMES = ["sig", "a", "b", "row"]
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Bits that say whether an odd number of a set's elements fell there; four to eight bits for each element."""
+    bits = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    odd = np.bincount((_mixed(hashes ^ _A) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer words: places that become one are added."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
-    return run
+
+def may_link(n: int, m: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """False only for sets of sizes n and m that sizes or sketches prove dissimilar."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    words = min(len(a), len(b))
+    apart = int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+    return apart * (100 + percent) <= (n + m) * (100 - percent)
 
 
 def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,6 +159,8 @@ def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _signed(width: int, seed: int, percent: int):
+    """A row for each document, and signature rows: (sig, class, class that it is tied to or null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -147,31 +168,40 @@ def _signed(width: int, seed: int, percent: int):
         def flush() -> pa.RecordBatch:
             sig, key, first, pivot = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), pa.array(pivot, mask=first)], ["sig", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), pa.array(pivot, mask=first), pa.nulls(len(sig), ROW)], _NAMES)
 
         for b in batches:
-            sizes, sets, keys = [], [], []
-            for text in b.column(1).to_pylist():
+            sizes, sets, keys, rows, classes = [], [], [], [], []
+            ids, hashes = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for doc_id, text, h in zip(ids, b.column(1).to_pylist(), hashes, strict=True):
                 n, s = shingle_set(text, width, seed)
-                key = _class_key(n, s)[0]
-                if n and key not in seen:
+                key, other = _class_key(n, s)
+                new = n > 0 and doc_id is not None and key not in seen
+                rows.append({"doc_id": doc_id, "n": n, "other": other, "hash": h, "sketch": parity_sketch(s) if new else None})
+                classes.append(key)
+                if new:
                     seen.add(key)
                     sizes.append(n), sets.append(s), keys.append(key)
+            nothing = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, pa.array(classes, pa.int64()), nothing, pa.array(rows, ROW)], _NAMES)
             if keys:
                 sig, row = signatures(np.array(sizes, np.int64), sets, percent)
                 held.append((sig.view(np.int64), np.array(keys, np.int64)[row]))
             if sum(len(s) for s, _ in held) >= BUFFER_ROWS:
                 yield flush()
-        if held:
+        if any(len(s) for s, _ in held):
             yield flush()
 
     return run
 
 
 def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature: ties as they are, and the others tied to the first one of their signature."""
+    """Of rows sorted by signature: documents and ties as they are, and the others tied to the first one of their signature."""
     last: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for b in batches:
+    for batch in batches:
+        document = batch.column(0).is_null()
+        yield batch.filter(document)
+        b = batch.filter(pc.invert(document))
         tie = b.column(2).is_valid().to_numpy(zero_copy_only=False)
         sig, a = b.column(0).to_numpy(), b.column(1).to_numpy()
         pivot = b.column(2).fill_null(0).to_numpy()
@@ -182,16 +212,17 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = one[-1:], head[-1:]
             more = ~first & (two != head)
             sig, a, pivot = np.r_[sig[tie], one[more]], np.r_[a[tie], two[more]], np.r_[pivot[tie], head[more]]
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(a), pa.array(pivot)], ["sig", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(a), pa.array(pivot), pa.nulls(len(sig), ROW)], _NAMES)
 
 
-def _sets(width: int, seed: int):
+def _sets(width: int, seed: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
-                n, s = shingle_set(text, width, seed)
+            place = b.column(2).to_numpy()
+            for i in np.flatnonzero(bits[place >> 3] >> (place & 7) & 1).tolist():
+                n, s = shingle_set(b.column(1)[i].as_py(), width, seed)
                 key = _class_key(n, s)[0]
                 if n and key not in seen:
                     seen.add(key)
@@ -202,55 +233,89 @@ def _sets(width: int, seed: int):
     return run
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many elements two ascending sets share."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+class Classes:
+    """The classes of a corpus: their sizes and sketches, and their sets on demand."""
 
+    def __init__(self, documents: DataFrame, known: DataFrame, width: int, seed: int, percent: int):
+        self.documents, self.known, self.width, self.seed, self.percent = documents, known, width, seed, percent
 
-def similar(n: int, m: int, shared: int, percent: int) -> bool:
-    return 100 * shared >= percent * (n + m - shared)
+    def sets(self, keys: DataFrame) -> DataFrame:
+        """(key, n, set) of the classes in ``keys(key)``."""
+        wanted = cut(keys.select("key").distinct().join(self.known.select("key", "first"), "key"))
+        place = F.pmod(F.xxhash64(F.col("first")), F.lit(MAP_BITS))
+        bits = np.zeros(MAP_BITS // 8, np.uint8)
+        maps = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+        for r in maps.collect():  # at most 256 maps of 4 KB
+            part = np.frombuffer(r.m, np.uint8)
+            bits[(r.b - 1) * len(part) : r.b * len(part)] = part
+        docs = self.documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("p"))
+        found = docs.mapInArrow(_sets(self.width, self.seed, bits), "key long, n long, set binary")
+        return written(found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("set").alias("set")))
 
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that are similar."""
+        rows = pairs
+        for side in ("a", "b"):
+            rows = rows.join(self.known.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        near = cut(rows.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_filtered(_may_link, self.percent), "a long, b long"))
+        if near.isEmpty():
+            return near
+        sets = self.sets(near.select(F.col("a").alias("key")).union(near.select("b")))
+        rows = near
+        for side in ("a", "b"):
+            rows = rows.join(sets.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"s_{side}")), side)
+        return cut(rows.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_filtered(_similar, self.percent), "a long, b long"))
 
-def _checked(percent: int):
+
+def _may_link(n: int, m: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    return may_link(n, m, a, b, percent)
+
+
+def _similar(n: int, m: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    return similar(n, m, common(a, b), percent)
+
+
+def _filtered(test, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
-            sets = zip(b.column(3), b.column(5), strict=True)
-            good = [similar(int(n[i]), int(m[i]), common(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)), percent) for i, pair in enumerate(sets)]
+            n, m = b.column(2).to_pylist(), b.column(4).to_pylist()
+            words = zip(b.column(3), b.column(5), strict=True)
+            good = [test(n[i], m[i], *(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), percent) for i, pair in enumerate(words)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar; pairs whose sizes are too far apart don't fetch their sets."""
-    sized = pairs
-    for side in ("a", "b"):
-        sized = sized.join(sets.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}")), side)
-    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    rows = sized.filter(near).select("a", "b")
-    for side in ("a", "b"):
-        rows = rows.join(sets.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"set_{side}")), side)
-    return cut(rows.select("a", "b", "n_a", "set_a", "n_b", "set_b").mapInArrow(_checked(percent), "a long, b long"))
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two ascending sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+
+
+def similar(n: int, m: int, shared: int, percent: int) -> bool:
+    return 100 * shared >= percent * (n + m - shared)
 
 
-def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of bits for each set: whether an odd number of its elements fell there. As wide as four times the largest set."""
-    bits = max(64, 1 << int(4 * max(map(len, sets)) - 1).bit_length())
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    place = (_mixed(np.concatenate(sets) ^ _A) & np.uint64(bits - 1)).astype(np.int64)
-    cells, times = np.unique(row * bits + place, return_counts=True)
-    odd = np.zeros(len(sets) * bits, bool)
-    odd[cells[times % 2 == 1]] = True
-    return np.packbits(odd.reshape(len(sets), bits), axis=1).view(np.uint64)
+def near_in_cell(comp: np.ndarray, part: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places) of the classes of a cell that may link, of different components; of two parts only those across."""
+    words = min(map(len, sketches))
+    bits = np.stack([folded(s, words) for s in sketches])
+    across = part.min() != part.max()
+    for i in range(len(n) - 1):
+        others = np.arange(i + 1, len(n))
+        others = others[(comp[others] != comp[i]) & ((part[others] != part[i]) | (not across))]
+        others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+        if len(others):
+            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            others = others[apart * (100 + percent) <= (n[others] + n[i]) * (100 - percent)]
+        if len(others):
+            yield i, others
 
 
-def cell_links(key: np.ndarray, comp: np.ndarray, part: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join all components of the cell that links join; of two parts only those across."""
-    bits = parity_sketches(sets)
+def cell_links(key: np.ndarray, comp: np.ndarray, part: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all components of the cell that links join."""
     label = {c: c for c in comp.tolist()}
 
     def top(c: int) -> int:
@@ -260,14 +325,7 @@ def cell_links(key: np.ndarray, comp: np.ndarray, part: np.ndarray, n: np.ndarra
         return c
 
     found = []
-    across = part.min() != part.max()
-    for i in range(len(key) - 1):
-        others = np.arange(i + 1, len(key))
-        others = others[(comp[others] != comp[i]) & ((part[others] != part[i]) | (not across))]
-        others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
-        if len(others):
-            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            others = others[apart * (100 + percent) <= (n[others] + n[i]) * (100 - percent)]
+    for i, others in near_in_cell(comp, part, n, sketches, percent):
         for j in others.tolist():
             a, b = top(int(comp[i])), top(int(comp[j]))
             if a != b and similar(int(n[i]), int(n[j]), common(sets[i], sets[j]), percent):
@@ -276,20 +334,27 @@ def cell_links(key: np.ndarray, comp: np.ndarray, part: np.ndarray, n: np.ndarra
     return found
 
 
-def _cells(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+def _cells(percent: int, with_sets: bool):
+    """Of rows sorted by cell: the classes that may link, as pairs with themselves; or, with their sets, links."""
 
-        def search(t: pa.Table) -> pa.RecordBatch:
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["set"]]
-            rows = cell_links(*(t[c].to_numpy() for c in ("key", "comp", "part", "n")), sets, percent)
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+    def search(t: pa.Table) -> pa.RecordBatch:
+        key, comp, part, n = (t[c].to_numpy() for c in ("key", "comp", "part", "n"))
+        words = lambda c: [np.frombuffer(x.as_buffer(), np.uint64) for x in t[c]]
+        if with_sets:
+            rows = cell_links(key, comp, part, n, words("sketch"), words("set"), percent)
+        else:
+            near = {k for i, others in near_in_cell(comp, part, n, words("sketch"), percent) for k in (i, *others.tolist())}
+            rows = [(int(key[k]), int(key[k])) for k in near]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cell = batch["cell"].to_numpy()
-            for lo, hi in zip(starts := np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist(), [*starts[1:], len(cell)], strict=True):
-                if hi == lo:
-                    continue
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist()
+            for lo, hi in zip(starts, [*starts[1:], len(cell)], strict=True):
                 if held and held[0]["cell"][0].as_py() != cell[lo]:
                     yield search(pa.Table.from_batches(held))
                     held = []
@@ -313,69 +378,71 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.join(apart.select("sig", "classes"), "sig"))
 
 
-def all_links(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def all_links(open_rows: DataFrame, classes: Classes) -> DataFrame:
     """Links that join all components that similar classes of one signature in ``open_rows`` join."""
     few = open_rows.filter(F.col("classes") <= PAIR_GROUP)
     left, right = (few.select("sig", F.col("key").alias(side), F.col("component").alias(f"c_{side}")) for side in ("a", "b"))
     pairs = left.join(right, "sig").filter("a < b and c_a != c_b").select("a", "b").distinct()
-    links = verified(pairs, sets, percent)
-    many = open_rows.filter(F.col("classes") > PAIR_GROUP).join(sets.select("key", "n"), "key")
+    links = classes.verified(pairs)
+    many = open_rows.filter(F.col("classes") > PAIR_GROUP).join(classes.known.select("key", "n"), "key")
     if many.isEmpty():
         return links
-    small_batches(open_rows.sparkSession)
     parts = many.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / CELL_CLASSES), F.ceil(F.sum("n") / CELL_ELEMENTS)).cast("int").alias("parts"))
     part, other = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.col("other")
     dealt = many.join(parts, "sig").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("cell", F.xxhash64("sig", F.least("part", other), F.greatest("part", other)))
-    filled = dealt.select("key", F.col("component").alias("comp"), "part", "cell").join(sets, "key")
-    cells = filled.repartition("cell").sortWithinPartitions("cell").select("cell", "key", "comp", "part", "n", "set")
-    return links.union(cut(cells.mapInArrow(_cells(percent), "a long, b long")))
+    dealt = dealt.withColumn("cell", F.xxhash64("sig", F.least("part", other), F.greatest("part", other))).select("key", F.col("component").alias("comp"), "part", "cell")
+
+    def searched(rows: DataFrame, columns: list[str]) -> DataFrame:
+        sorted_rows = rows.repartition("cell").sortWithinPartitions("cell").select("cell", "key", "comp", "part", "n", *columns)
+        return cut(sorted_rows.mapInArrow(_cells(classes.percent, "set" in columns), "a long, b long"))
+
+    filled = dealt.join(classes.known.select("key", "n", "sketch"), "key")
+    near = searched(filled, ["sketch"]).select(F.col("a").alias("key")).distinct()
+    sets = classes.sets(near).select("key", "set")
+    return links.union(searched(filled.join(sets, "key"), ["sketch", "set"]))
 
 
-def similarity_links(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Every row's class (doc_id, n, key, hash), and the links (a, b) between classes, enough to connect all that are similar."""
-    spark = documents.sparkSession
-    small_batches(spark)
+def similarity_links(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, Classes]:
+    """Every row's class (doc_id, n, key, hash); links (a, b) between classes, enough to connect all that are similar; the classes."""
+    small_batches(documents.sparkSession)
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("hash"))
+    home = F.when(F.col("sig").isNull(), F.xxhash64("row.doc_id", "row.hash")).when(F.col("b").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "a"))
     seed = 0
     while True:
-        rows = written(docs.mapInArrow(_members(width, seed), "doc_id long, n long, key long, other long, hash long"))
-        known = rows.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("other").alias("x"), F.max("other").alias("y"))
+        signed = docs.mapInArrow(_signed(width, seed, percent), _SIGNED)
+        both = written(signed.repartition(home).sortWithinPartitions("sig").mapInArrow(_tied, _SIGNED))
+        rows = both.filter("row is not null").select("row.*", F.col("a").alias("key"))
+        known = rows.filter("key is not null and doc_id is not null").groupBy("key")
+        known = written(known.agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min("other").alias("x"), F.max("other").alias("y")))
         if known.filter("x != y").isEmpty():
             break
         seed += 1
-    named = docs.filter("doc_id is not null").select("doc_id", "text")
-    signed = named.mapInArrow(_signed(width, seed, percent), "sig long, a long, b long")
-    dealt = signed.repartition(F.when(F.col("b").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "a"))).sortWithinPartitions("sig")
-    ties = written(dealt.mapInArrow(_tied, "sig long, a long, b long"))
+    classes = Classes(docs.filter("doc_id is not null"), known, width, seed, percent)
+    ties = both.filter("sig is not null").select("sig", "a", "b")
     members = written(ties.select("sig", F.col("a").alias("key")).union(ties.select("sig", "b")).distinct())
-    wanted = members.select("key").distinct().join(known.select("key", "first"), "key").select(F.col("first").alias("doc_id"), "key")
-    found = named.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width, seed), "key long, n long, set binary")
-    sets = written(found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("set").alias("set")))
-    best = ties.filter("a != b").groupBy("a", "b").agg(F.count("*").alias("times")).groupBy("a").agg(F.max(F.struct("times", "b")).alias("x")).select("a", "x.b")
-    links = verified(best, sets, percent)
+    best = ties.groupBy("a", "b").agg(F.count("*").alias("times")).groupBy("a").agg(F.max(F.struct("times", "b")).alias("x")).select("a", "x.b")
+    links = classes.verified(best)
     apart = _open(members, links)
     if not apart.isEmpty():
         degree = members.groupBy("key").agg(F.count("*").alias("degree"))
         pivots = apart.join(degree, "key").groupBy("sig").agg(F.max(F.struct("degree", "key", "component")).alias("p"))
         pairs = apart.join(pivots, "sig").filter("component != p.component").select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct()
-        links = cut(links.union(verified(pairs, sets, percent)))
+        links = cut(links.union(classes.verified(pairs)))
         apart = _open(apart.select("sig", "key"), links)
         if not apart.isEmpty():
-            links = cut(links.union(all_links(apart, sets, percent)))
-    return rows, links
+            links = cut(links.union(all_links(apart, classes)))
+    return rows.select("doc_id", "n", "key", "hash"), links, classes
 
 
 def _components(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, hash, component_id) of every row."""
-    rows, links = similarity_links(documents, width, percent)
-    known = rows.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    tied = cut(_named(known, links))
+    rows, links, classes = similarity_links(documents, width, percent)
+    tied = cut(_named(classes.known.select("key", "first"), links))
     least = tied.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = tied.join(least, "component").select("key", "component_id")
+    found = tied.join(least, "component").select("key", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.join(classes, "key", "left").select("doc_id", "n", "hash", component.alias("component_id"))
+    return rows.join(found, "key", "left").select("doc_id", "n", "hash", component.alias("component_id"))
 
 
 def similar_documents(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
