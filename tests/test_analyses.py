@@ -256,7 +256,7 @@ def test_missed_patterns(plain, linkage):
 
 
 def test_rules_are_told_apart(plain, linkage):
-    got = {r.rule: r for r in rules.rule_sizes(linkage.s1, linkage.targets, linkage.candidates, linkage.truth, linkage.frequency).collect()}
+    got = {r.rule: r for r in rules.rule_sizes(linkage.s1, linkage.targets, linkage.truth, linkage.frequency).collect()}
     base = Counter(i for i, _ in plain.current)
     for rule, limit in {"A": 0, "C": 100, "D": 500, "E": 1000, "F": 5000, "B": 10**9}.items():
         added = {k for k, (_, n) in plain.extra.items() if n <= limit}

@@ -228,7 +228,7 @@ def test_a_pair_needs_one_record_on_each_side(spark):
 
 def test_limits_tell_the_rules_apart(spark):
     x = part_linkage(spark, SF)
-    sizes = {r.rule: r.candidates for r in rules.rule_sizes(x.s1, x.targets, x.candidates, x.truth, x.frequency, {"C": 2, "D": 4, "E": 8, "F": 16, "B": None}).collect()}
+    sizes = {r.rule: r.candidates for r in rules.rule_sizes(x.s1, x.targets, x.truth, x.frequency, {"C": 2, "D": 4, "E": 8, "F": 16, "B": None}).collect()}
     assert sizes["A"] < sizes["C"] <= sizes["D"] <= sizes["E"] <= sizes["F"] <= sizes["B"] and sizes["C"] < sizes["B"]
 
 
@@ -255,6 +255,42 @@ def test_classifications(spark):
     assert reasons == {"S2-1": "same direct city component"}
 
 
+def test_rank_cut_is_the_rank(spark):
+    rng = random.Random(8)
+    values = [rng.randrange(-(2**63), 2**63) for _ in range(300)] + [-(2**63), 2**63 - 1, 0, 0, 0, -1, 5, 5]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for n in (1, 2, 150, 155, 157, 306, 307):
+        for bits in (14, 3):
+            assert matcher.rank_cut(df, "v", n, bits) == sorted(values)[n - 1]
+    assert matcher.rank_cut(df, "v", 308) is None and matcher.rank_cut(df.limit(0), "v", 1) is None
+
+
+def test_samples_are_those_of_a_sort(spark):
+    rows = spark.range(5_000).selectExpr("id % 4000 k", "id")
+    want = rows.withColumn("o", F.xxhash64(F.lit(42), "k")).orderBy("o", "k").limit(700)
+    for total in (None, 5_000):
+        got = matcher.sample_rows(rows, ["k"], 700, total=total)
+        assert got.count() == 700 and got.columns == ["k", "id"]
+        assert sorted(r.k for r in got.collect()) == sorted(r.k for r in want.collect())
+    assert matcher.sample_rows(rows, ["k"], 9_000).count() == 5_000 and matcher.sample_rows(rows, ["k"], 0).count() == 0
+
+
+def test_quantiles_of_ties_singles_and_nulls(spark):
+    rng = random.Random(5)
+    groups = {"ties": [2.0] * 40 + [3.0] * 7, "one": [4.5], "two": [1.0, 2.0], "all": [rng.random() for _ in range(500)], None: [0.1, 0.7, None, 0.3], "none": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(5)
+    fractions = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q90": 0.9, "q99": 0.99, "q100": 1.0}
+    got = {r.k: r for r in stats.quantiles(df, "v", fractions, ["k"]).collect()}
+    assert set(got) == set(groups) - {"none"}
+    for k, r in got.items():
+        values = [v for v in groups[k] if v is not None]
+        assert (r.n, r["min"], r["max"]) == (len(values), min(values), max(values))
+        assert [r[c] for c in fractions] == pytest.approx([np.percentile(values, 100 * q) for q in fractions.values()])
+    whole = [v for vs in groups.values() for v in vs if v is not None]
+    assert stats.quantiles(df, "v", {"m": 0.5}, []).first().m == pytest.approx(np.percentile(whole, 50))
+    assert stats.quantiles(df.limit(0), "v", {"m": 0.5}, ["k"]).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_are_their_sql(spark, name):
     same_rows(spark, name, SF)

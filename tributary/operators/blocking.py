@@ -8,7 +8,7 @@ by place, and every pair comes out once. A token that very many records have is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,58 +107,74 @@ def _folder(buckets: int):
     return F.pmod(F.xxhash64("country_key", "token"), F.lit(buckets)).cast("int")
 
 
-def _counted(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+def by_record(work: Callable[[pa.Table, np.ndarray, pa.DictionaryArray], pa.RecordBatch]):
+    """A map over rows sorted by s1_id and bucket: ``work`` gets whole groups, the first row of each, and the coded ids."""
 
-        def count(rows: pa.Table) -> pa.RecordBatch:
-            ids, places = rows["s1_id"].combine_chunks().dictionary_encode(), rows["places"].combine_chunks()
-            who, bucket = ids.indices.to_numpy(), rows["bucket"].to_numpy()
-            new = np.r_[True, (who[1:] != who[:-1]) | (bucket[1:] != bucket[:-1])]
-            first, group = np.flatnonzero(new), np.cumsum(new) - 1
-            code = np.repeat(group * SPAN, pc.list_value_length(places).to_numpy()) + places.flatten().to_numpy()
-            if 4 * len(code) > len(first) * SPAN:
-                times = np.bincount(code, minlength=1)
-                found = np.flatnonzero(times >= least)
-                times = times[found]
-            else:
-                found, times = np.unique(code, return_counts=True)
-                found, times = found[times >= least], times[times >= least]
-            at = first[found // SPAN]
-            columns = [ids.dictionary.take(pa.array(who[at])), pa.array(bucket[at]), pa.array((found % SPAN).astype(np.int16)), pa.array(times.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, ["s1_id", "bucket", "place", "shared"])
+    def whole(rows: pa.Table) -> pa.RecordBatch:
+        ids = rows["s1_id"].combine_chunks().dictionary_encode()
+        who, bucket = ids.indices.to_numpy(), rows["bucket"].to_numpy()
+        return work(rows, np.r_[True, (who[1:] != who[:-1]) | (bucket[1:] != bucket[:-1])], ids)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for b in batches:
             rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             if not rows.num_rows:
                 continue
             tail = pc.and_(pc.equal(rows["s1_id"], rows["s1_id"][-1]), pc.equal(rows["bucket"], rows["bucket"][-1]))
-            whole = rows.num_rows - pc.sum(tail).as_py()  # the last record and bucket may go on
-            if whole:
-                yield count(rows.slice(0, whole).combine_chunks())
-            held = rows.slice(whole)
+            done = rows.num_rows - pc.sum(tail).as_py()  # the last record and bucket may go on
+            if done:
+                yield whole(rows.slice(0, done).combine_chunks())
+            held = rows.slice(done)
         if held is not None and held.num_rows:
-            yield count(held.combine_chunks())
+            yield whole(held.combine_chunks())
 
     return run
 
 
+def codes(rows: pa.Table, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group * SPAN + place, row) of every place in the rows' arrays."""
+    places = rows["places"].combine_chunks()
+    size = pc.list_value_length(places).to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    return (np.cumsum(new) - 1)[row] * SPAN + places.flatten().to_numpy(), row
+
+
+def _counted(least: int):
+    def count(rows: pa.Table, new: np.ndarray, ids: pa.DictionaryArray) -> pa.RecordBatch:
+        first = np.flatnonzero(new)
+        code, _ = codes(rows, new)
+        if 4 * len(code) > len(first) * SPAN:
+            times = np.bincount(code, minlength=1)
+            found = np.flatnonzero(times >= least)
+            times = times[found]
+        else:
+            found, times = np.unique(code, return_counts=True)
+            found, times = found[times >= least], times[times >= least]
+        at = first[found // SPAN]
+        columns = [ids.dictionary.take(pa.array(ids.indices.to_numpy()[at])), pa.array(rows["bucket"].to_numpy()[at])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array((found % SPAN).astype(np.int16)), pa.array(times.astype(np.int32))], ["s1_id", "bucket", "place", "shared"])
+
+    return by_record(count)
+
+
 def dealt(probes: DataFrame, index: TokenIndex, key_rows: int = KEY_ROWS, key_arrays: int = KEY_ARRAYS) -> DataFrame:
-    """(s1_id, bucket, places): the arrays that the tokens of ``probes(s1_id, country_key, token)`` meet.
+    """(s1_id, bucket, places): the arrays that the tokens of ``probes(s1_id, country_key, token)`` meet, with further columns of it.
 
     A token of more rows than ``key_rows``, or more arrays than ``key_arrays``, is dealt to a grid: a row goes to its part of
     the rows in every column, an array to its column in every part. So no key of the join is larger, and nothing is dropped.
     """
     key = ["country_key", "token"]
+    more = [c for c in probes.columns if c not in (*key, "s1_id")]
     left, right = (x.groupBy(*key).agg(F.count("*").alias(n)) for x, n in ((probes, "l"), (index.lists, "r")))
     grid = left.join(right, key).filter((F.col("l") > key_rows) | (F.col("r") > key_arrays))
     grid = grid.select(*key, F.ceil(F.col("l") / key_rows).cast("int").alias("parts"), F.ceil(F.col("r") / key_arrays).cast("int").alias("columns"))
     part = lambda x: F.pmod(F.xxhash64(x), F.coalesce("parts", F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
-    rows = probes.join(grid, key, "left").select("s1_id", *key, part("s1_id").alias("i"), every("columns").alias("j"))
+    rows = probes.join(grid, key, "left").select("s1_id", *key, *more, part("s1_id").alias("i"), every("columns").alias("j"))
     column = F.pmod(F.xxhash64("bucket"), F.coalesce("columns", F.lit(1))).cast("int")
     arrays = index.lists.join(grid, key, "left").select(*key, "bucket", "places", column.alias("j"), every("parts").alias("i"))
-    return rows.join(arrays, [*key, "i", "j"]).select("s1_id", "bucket", "places")
+    return rows.join(arrays, [*key, "i", "j"]).select("s1_id", "bucket", "places", *more)
 
 
 def hits(probes: DataFrame, index: TokenIndex, least: int) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import similarity as s
 from tributary.functions import text as t
 from tributary.functions.similarity import safe_ratio
+from tributary.operators import blocking
 from tributary.operators import classify as c
-from tributary.operators.blocking import PAIR, single_token_pairs
+from tributary.operators.blocking import PAIR, SPAN, single_token_pairs
 from tributary.operators.features import joined
 from tributary.operators.stats import distribution, percentile
 from tributary.sources.tsv import source_of
@@ -21,21 +24,70 @@ LIMITS: dict[str, int | None] = {"C": 100, "D": 500, "E": 1_000, "F": 5_000, "B"
 RARITY = (10, 50, 100, 500, 1_000, 5_000)
 
 
-def rule_sizes(s1: DataFrame, targets: DataFrame, current: DataFrame, truth: DataFrame, frequency: DataFrame, limits: dict[str, int | None] = LIMITS) -> DataFrame:
+NAMED, NARROW, WIDE, TRUE = range(4)
+
+
+def _sized(classes: int):
+    """Per record and bucket: candidates now, and single-token pairs of each class that they lack; of each, how many are true."""
+
+    def count(rows: pa.Table, new: np.ndarray, ids: pa.DictionaryArray) -> pa.RecordBatch:
+        code, row = blocking.codes(rows, new)
+        kind, level = rows["kind"].to_numpy()[row], rows["level"].to_numpy()[row]
+        cell, at = np.unique(code, return_inverse=True)
+        n = len(cell)
+        has = lambda k: np.bincount(at[kind == k], minlength=n)
+        token = (kind == NARROW) | (kind == WIDE)
+        once = np.unique(row[token] * n + at[token])  # a token counts once, however often a target has it
+        shared = np.bincount(once % n, minlength=n) if n else np.zeros(0, np.int64)
+        level_of = np.zeros(n, np.int64)
+        level_of[at[token]] = level[token]
+        current = (has(NAMED) > 0) | (has(WIDE) >= 2)
+        which = np.where(current, 0, np.where(shared == 1, level_of, -1))
+        first = np.flatnonzero(new)
+        group, true, most = cell // SPAN, has(TRUE) > 0, len(first) * (classes + 1)
+        counts = [np.bincount((group * (classes + 1) + which)[keep], minlength=most).reshape(-1, classes + 1) for keep in (which >= 0, (which >= 0) & true)]
+        columns = [ids.dictionary.take(pa.array(ids.indices.to_numpy()[first]))]
+        columns += [pa.array(c[:, k].astype(np.int64)) for c in counts for k in range(classes + 1)]
+        return pa.RecordBatch.from_arrays(columns, ["s1_id", *(f"{x}{k}" for x in "nh" for k in range(classes + 1))])
+
+    return blocking.by_record(count)
+
+
+def class_counts(s1: DataFrame, targets: DataFrame, truth: DataFrame, frequency: DataFrame, limits: list[int | None]) -> DataFrame:
+    """(s1_id, n0.., h0..): of each S1 record, the candidates (0) and what each limit adds to the one before; and those that are true.
+
+    Names, names' tokens and addresses' tokens are one packed index; a record's arrays are put together place by place, so no pair
+    is ever a row.
+    """
+    named = F.when(F.col("name") != "", F.array(F.concat(F.lit("e:"), "name"))).otherwise(F.array().cast("array<string>"))
+    of = lambda mark, tokens: F.transform(tokens, lambda x: F.concat(F.lit(mark), x))
+    index = blocking.TokenIndex.of(targets.withColumn("_t", F.concat(named, of("n:", "name_set"), of("a:", "address_tokens"))), "_t")
+    level = F.lit(len(limits))
+    for k in reversed(range(len(limits))):
+        level = F.when(F.lit(True) if limits[k] is None else F.col("frequency") <= limits[k], F.lit(k + 1)).otherwise(level)
+    known = frequency.select(F.concat(F.lit("a:"), "token").alias("token"), level.cast("byte").alias("level"))
+    names = blocking.postings(s1.withColumn("_t", F.concat(named, of("n:", "name_set"))), "_t", "s1_id").withColumn("kind", F.lit(NAMED))
+    wide = F.when(F.size("address_set") >= 2, WIDE).otherwise(NARROW)
+    places = s1.select("country_key", F.explode(of("a:", "address_set")).alias("token"), F.col("entity_id").alias("s1_id"), wide.alias("kind"))
+    probes = names.union(places).join(known, "token", "left").select("s1_id", "country_key", "token", F.col("kind").cast("byte").alias("kind"), F.coalesce("level", F.lit(0)).cast("byte").alias("level"))
+    true = truth.select(*PAIR).distinct().join(index.numbers, "candidate_id").groupBy("s1_id", "bucket").agg(F.collect_list("place").alias("places"))
+    met = blocking.dealt(probes, index).unionByName(true.withColumns({"kind": F.lit(TRUE).cast("byte"), "level": F.lit(0).cast("byte")}))
+    columns = [f"{x}{k}" for x in "nh" for k in range(len(limits) + 1)]
+    counted = met.repartition("s1_id", "bucket").sortWithinPartitions("s1_id", "bucket").mapInArrow(_sized(len(limits)), "s1_id string, " + ", ".join(f"{c} long" for c in columns))
+    return counted.groupBy("s1_id").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def rule_sizes(s1: DataFrame, targets: DataFrame, truth: DataFrame, frequency: DataFrame, limits: dict[str, int | None] = LIMITS) -> DataFrame:
     """One row per rule A-F: true pairs recovered and missed, entities affected, candidate counts per entity.
 
-    Pairs of all rules come from one join that keeps the token's frequency. Sizes are over all S1 records.
+    Rules are counted together, each limit over the one before; no pairs are made. Sizes are over all S1 records.
     """
-    extra = single_token_pairs(s1, targets, frequency).select(*PAIR, "frequency")
-    pairs = current.select(*PAIR).withColumn("extra", F.lit(0)).withColumn("frequency", F.lit(0).cast("long"))
-    pairs = pairs.union(extra.join(current, PAIR, "left_anti").select(*PAIR, F.lit(1), "frequency"))
-    pairs = pairs.join(truth.select(*PAIR).distinct().withColumn("hit", F.lit(1)), PAIR, "left")
-    within = {"A": F.lit(False)} | {k: F.lit(True) if n is None else F.col("frequency") <= n for k, n in limits.items()}
-    held = {k: (F.col("extra") == 0) | w for k, w in within.items()}
-    sums = [x for k in held for x in (F.count_if(held[k]).alias(f"n{k}"), F.count_if(held[k] & F.col("hit").isNotNull()).alias(f"h{k}"), F.count_if((F.col("extra") == 1) & within[k]).alias(f"x{k}"))]
+    order = sorted(limits, key=lambda k: (limits[k] is None, limits[k] or 0))
+    sums = class_counts(s1, targets, truth, frequency, [limits[k] for k in order])
+    upto = lambda x, k: sum((F.col(f"{x}{i}") for i in range(1, k + 1)), F.col(f"{x}0"))
     ids = s1.select(F.col("entity_id").alias("s1_id"))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), *[F.col(f"{p}{k}").alias(p) for p in "nhx"]) for k in held]))
-    rows = ids.join(pairs.groupBy("s1_id").agg(*sums), "s1_id", "left").na.fill(0).select(each.alias("r")).select("r.*")
+    each = [F.struct(F.lit(r).alias("rule"), upto("n", k).alias("n"), upto("h", k).alias("h"), (upto("n", k) - F.col("n0")).alias("x")) for k, r in enumerate(["A", *order])]
+    rows = ids.join(sums, "s1_id", "left").na.fill(0).select(F.explode(F.array(*each)).alias("r")).select("r.*")
     found = rows.groupBy("rule").agg(
         F.sum("h").alias("recovered"),
         F.count_if(F.col("x") > 0).alias("affected"),
@@ -210,4 +262,4 @@ def numeric_features(rows: DataFrame) -> DataFrame:
     """Per feature and class: n, min, median, p90, max."""
     names = ("name_similarity", "name_token_overlap", "name_length_difference", "shared_numeric_tokens", "shared_address_tokens", "frequency", "address_similarity")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names]))
-    return rows.select("is_true", each.alias("x")).select("is_true", "x.*").groupBy("feature", "is_true").agg(*distribution(F.col("value")))
+    return distribution(rows.select("is_true", each.alias("x")).select("is_true", "x.*"), "value", "feature", "is_true")

@@ -1,10 +1,16 @@
-"""Counts, percentiles and profiles that the reports are made of. All exact."""
+"""Counts, percentiles and profiles that the reports are made of. All exact.
+
+``percentile`` keeps a count for each different value in one buffer, which suits counts per record, as few sizes occur.
+``quantiles`` suits values that are all different: it never holds a group's values in one place.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.storage import settled
+
 
 def percentile(column: str | Column, fraction: float) -> Column:
     """Interpolated percentile; 0 where there are no values."""
@@ -35,9 +41,38 @@ def size_report(rows: DataFrame, column: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.coalesce(F.sum(c), F.lit(0)).alias("total"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), *tops, F.coalesce(F.max(c), F.lit(0)).alias("max"))
 
 
-def distribution(column: Column) -> list[Column]:
-    """n, min, median, p90 and max of a column, as aggregates."""
-    return [F.count(column).alias("n"), F.min(column).alias("min"), percentile(column, 0.5).alias("median"), percentile(column, 0.9).alias("p90"), F.max(column).alias("max")]
+def quantiles(rows: DataFrame, value: str, fractions: dict[str, float], keys: list[str]) -> DataFrame:
+    """(*keys, n, min, max, and a column for each fraction): exact interpolated quantiles of each group's values that aren't null.
+
+    Different values with their counts are dealt to ranges. Counts of the ranges tell in which of them a rank lies; only these
+    are read again, and counted up to the rank. Groups without values have no row; of keys, null is a value.
+    """
+    name = "_value"
+    counts = rows.select(*keys, F.col(value).cast("double").alias(name)).filter(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("_c"))
+    ranged = settled(counts.repartitionByRange(*keys, name).withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_size"), F.min(name).alias("_min"), F.max(name).alias("_max"))
+    parts = parts.select(*keys, "_part", "_size", (F.sum("_size").over(group.orderBy("_part")) - F.col("_size")).alias("_before"), F.sum("_size").over(group).alias("n"), F.min("_min").over(group).alias("min"), F.max("_max").over(group).alias("max"))
+    at = lambda q: F.lit(q) * (F.col("n") - 1)
+    ranks = F.array_distinct(F.array(*[f(at(q)).cast("long") for q in fractions.values() for f in (F.floor, F.ceil)]))
+    inside = lambda r, first, size: (r >= first) & (r < first + size)
+    wanted = parts.withColumn("_ranks", F.filter(ranks, lambda r: inside(r, F.col("_before"), F.col("_size")))).filter(F.size("_ranks") > 0)
+    other = lambda df: df.withColumnsRenamed({k: f"_of_{k}" for k in (*keys, "_part")})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_part")]
+    read = ranged.join(other(wanted), same).select(*keys, "_part", name, "_c", "_before", "_ranks")
+    first = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy(name)) - F.col("_c")
+    hit = read.withColumn("_first", first).withColumn("_hit", F.filter("_ranks", lambda r: inside(r, F.col("_first"), F.col("_c")))).filter(F.size("_hit") > 0)
+    found = hit.groupBy(*keys).agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("_hit", lambda r: F.struct(r, F.col(name)))))).alias("_of"))
+    totals = parts.select(*keys, "n", "min", "max").distinct()
+    both = totals.join(other(found), same[:-1]) if keys else totals.crossJoin(found)  # a row each
+    low, high = (lambda q: F.col("_of")[F.floor(at(q)).cast("long")]), (lambda q: F.col("_of")[F.ceil(at(q)).cast("long")])
+    between = lambda q: low(q) + (high(q) - low(q)) * (at(q) - F.floor(at(q)))
+    return both.select(*keys, "n", "min", *[between(q).alias(c) for c, q in fractions.items()], "max")
+
+
+def distribution(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """n, min, median, p90 and max of a column per group."""
+    return quantiles(rows, value, {"median": 0.5, "p90": 0.9}, list(keys))
 
 
 def profile(rows: DataFrame) -> DataFrame:

@@ -220,7 +220,7 @@ SELECT rule, sum(hit)::BIGINT AS recovered, count(*) FILTER (added > 0) AS affec
 @query(PARTS + _SIZES)
 def rules_a_to_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = part_linkage(spark, sf_dir)
-    return rules.rule_sizes(x.s1, x.targets, x.candidates, x.truth, x.frequency)
+    return rules.rule_sizes(x.s1, x.targets, x.truth, x.frequency)
 
 
 @query(PARTS + _SIZES + " ORDER BY recovered DESC, median_size, max_size, rule LIMIT 1")
