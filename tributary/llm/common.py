@@ -45,9 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders of intermediate rows, until ``clear_written`` removes them.
+_FOLDERS: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written once as Parquet in the shared folder: smaller than a checkpoint where rows are many."""
     folder = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -62,6 +67,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(same, low).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Remove what operators have written on the way; for when their results are stored."""
+    while _FOLDERS:
+        remove_folder(spark, _FOLDERS.pop())
+
+
 def folder_exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)

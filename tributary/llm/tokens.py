@@ -10,6 +10,7 @@ disagree, are encoded whole. The tests hold both against the library on whole te
 from __future__ import annotations
 
 import array
+import json
 import re
 from itertools import filterfalse
 
@@ -44,10 +45,28 @@ def load(name: str = WORD_TOKENIZER) -> WordTokenizer:
 LETTERS, NUMBERS = r"a-zªµºß-öø-\u02af\u2c65\u2c66", "0-9²³¹¼½¾"
 
 
+# The rules of a file by which words can be encoded apart. Texts for files of other rules are encoded whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def splits_at_words(path: str) -> bool:
+    """Whether the file has the rules that ``WordTokenizer`` knows."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    split = {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+    model = rules["model"]
+    return rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == split and (model.get("type"), model.get("end_of_word_suffix")) == ("BPE", "</w>")
+
+
 class WordTokenizer:
+    """Encodes a text by its words, each of which is looked up or encoded once."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.by_words = splits_at_words(path)
         self.whole = Tokenizer.from_file(path)
         self.odd = [*map(chr, range(0x1C, 0x20)), *(t.content for t in self.whole.get_added_tokens_decoder().values())]
         #: Characters that lower() and NFC treat alike in Python and in the library.
@@ -69,7 +88,7 @@ class WordTokenizer:
 
     def _keys(self, text: str) -> list[str] | None:
         """What the text is made of, or None if it is to be encoded whole."""
-        if any(x in text for x in self.odd):
+        if not self.by_words or any(x in text for x in self.odd):
             return None
         if not self.beyond(text):
             return self.split(text.lower())
