@@ -2,8 +2,8 @@
 
 Each stage takes the documents that its predecessor kept, works on all of them and gives those that it
 keeps, with all their columns; the last gives packed pieces. ``run`` writes each stage's rows to the
-shared folder and reads them again, so a lost executor costs one stage at most; a stage's rows are removed
-when the next ones are committed.
+shared folder and reads them again, so a lost executor costs one stage at most; a stage's rows, and what its operator
+wrote on the way, are removed when the next ones are committed.
 
 Defined cases: those of the operators, which hold stage by stage: a null text counts as empty; rows with a null
 doc_id are never copies of others; a doc_id that repeats with different texts loses only the rows that a stage
@@ -17,8 +17,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import exact_dedup, simhash
-from tributary.llm.common import remove_folder, shared_folder, table
+from tributary.llm import exact_dedup, ngram_join, simhash
+from tributary.llm.common import clear_written, remove_folder, shared_folder, table, written
 from tributary.llm.decontamination import remove_contaminated
 from tributary.llm.packing import pack_documents
 from tributary.llm.toxicity import remove_toxic
@@ -35,8 +35,12 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by the rule of ``op1``: fingerprints of at most four different bits."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates.
+
+    First by the rule of ``op1``: fingerprints of at most four different bits. Of what stays, documents whose sets of five-word
+    shingles have a similarity of 0.8 or more are found by signatures and verified on the sets; that search misses none.
+    """
+    return ngram_join.keep_one(written(simhash.keep_one(docs)), width=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, rows, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         rows = spark.read.parquet(f"{folder}/{k}-{name}")
+        clear_written(spark)
         if k:
             remove_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return rows
