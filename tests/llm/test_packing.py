@@ -105,3 +105,15 @@ def test_nulls_empties_repeats_and_long_texts(spark, library):
     assert sum(r.length for r in out if r.doc_id == 3) == 10_001
     assert [r.length for r in out if r.doc_id is None] == [3]
     assert pack_documents(docs.limit(0)).count() == 0
+
+
+def test_files_of_other_rules_are_encoded_whole():
+    """Any tokenizer's ids are those of its library, whatever its splitting rules."""
+    from tributary.llm import tokens
+
+    texts = ["Don't stop, it's 12 o'clock", "  naïve  café\nnew line", "x" * 50 + " 日本 text", ""]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        mine, library = tokens.load(name), Tokenizer.from_file(tokenizer_path(name))
+        assert mine.by_words == by_words
+        for text, ids in zip(texts, mine.encode(texts), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids

@@ -10,7 +10,7 @@ from tributary.llm.secrets import RADIUS, scan
 
 SF = "/root/testdata/sf0.01"
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-WEAK = {"secret": re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"), "endpoint": re.compile(r"""https?://[^\x00-\x20"'<>]+""")}
+WEAK = {"secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"), "endpoint": re.compile(r"""https?://[^\x00-\x20"'<>]+""")}
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 
 
@@ -72,3 +72,15 @@ def test_secrets_assigned_without_spaces(spark):
     start = len(head) + len("AWS_SECRET_ACCESS_KEY=")
     whole = f"access:18:38,secret:{start}:{start + 40},endpoint:{start + 45}:{start + 58}"
     assert got_spans == {0: whole, 1: whole, 2: "access:18:38", 3: "access:18:38", 4: ""}
+
+
+def test_unspaced_and_very_long_texts(spark):
+    """A value right behind '=' is one; a text of some megabytes is searched whole."""
+    key, secret = "AKIA" + "Q7" * 8, "aB3/" * 10
+    near = f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={secret}\nURL=https://s3.example.com/x\n"
+    long = "filler words of a log line, 12\n" * 60_000 + "\n" + near + "\n" + "more of it\n" * 60_000
+    rows = [(1, near), (2, long), (3, f"{key} x={secret}="), (4, secret), (5, None)]
+    found = got(scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == sorted(((d, plain(t)) for d, t in rows), key=repr)
+    spans = {d: v[-1] for d, v in found}
+    assert "secret:" in spans[1] and "endpoint:" in spans[1] and spans[2].count(":") == spans[1].count(":")
