@@ -132,7 +132,7 @@ def neighbours(words: DataFrame, bits: int = 64) -> DataFrame:
     rest = F.when(F.col("kind") == ITSELF, F.col("word")).otherwise(F.concat(before, gap, after))
     rows = rows.select("id", (F.col("kind") == ITSELF).alias("own"), (F.col("kind") == AT_PLACE).alias("at_place"), rest.alias("rest"))
     ids = lambda own: F.sort_array(F.collect_set(F.when(F.col("own") == own, F.col("id"))))
-    groups = rows.groupBy("at_place", "rest").agg(ids(False).alias("ids"), ids(True).alias("own"))
+    groups = written(rows.groupBy("at_place", "rest").agg(ids(False).alias("ids"), ids(True).alias("own")).filter("size(ids) + size(own) > 1").drop("rest"))
     changed = groups.filter("at_place and size(ids) > 1").select("ids", F.explode("ids").alias("id"))
     changed = changed.select("id", (F.size("ids") - 1).alias("k"), F.when(F.col("id") == F.col("ids")[0], F.col("ids")[1]).otherwise(F.col("ids")[0]).alias("best"))
     shorter = groups.filter("not at_place and size(own) > 0 and size(ids) > 0").select("ids", F.col("own")[0].alias("own"))
