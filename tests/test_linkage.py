@@ -39,6 +39,14 @@ def test_normalise(spark, given, want):
     assert df.first().x == want
 
 
+def test_composition_is_asked_for_where_it_matters(spark):
+    texts = [chr(c) + x for c in range(0x20, 0x250) for x in ("", "\u0301", "a")]
+    rows = spark.createDataFrame([(v,) for v in texts], "v string").select("v", F.lower(F.trim("v")).alias("low"), t.normalize_text(F.col("v")).alias("x")).collect()
+    for r in rows:
+        normal = unicodedata.normalize("NFKC", r.low).replace("&", " and ")
+        assert r.x == " ".join("".join(c if unicodedata.category(c)[0] in "LNM" else " " for c in normal).split()), r.v
+
+
 def test_tokens(spark):
     x = F.col("v")
     assert one(spark, t.name_tokens(x), v="the acme acme inc tool group of pears") == ["acme", "acme", "tool", "pears"]

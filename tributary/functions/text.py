@@ -31,6 +31,8 @@ SCRIPTS = (
 )
 
 _NOT_ASCII = r"[^\x00-\x7F]"
+#: Composition changes nothing in ASCII and the letters of Latin-1. Two ranges only: more make the test slow.
+_MAY_COMPOSE = r"[^\x00-\x7FÀ-ÿ]"
 
 
 def _beyond_ascii(x: Column) -> Column:
@@ -74,7 +76,7 @@ def normalize_text(x: Column) -> Column:
     Composition comes after lower-casing, so capitals that it makes stay.
     """
     low = F.lower(F.trim(text_of(x)))
-    composed = F.coalesce(_nfkc(_beyond_ascii(low)), low)
+    composed = F.coalesce(_nfkc(F.when(low.rlike(_MAY_COMPOSE), low)), low)
     return F.trim(F.regexp_replace(F.replace(composed, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}\p{M}]+", " "))
 
 

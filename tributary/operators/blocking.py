@@ -69,7 +69,7 @@ class TokenIndex:
     @staticmethod
     def of(targets: DataFrame, tokens: str) -> TokenIndex:
         """Numbers run over ranges of countries and ids, so a country's targets fill few buckets."""
-        ordered = targets.select("country_key", "entity_id", F.col(tokens).alias("tokens")).repartitionByRange("country_key", "entity_id")
+        ordered = settled(targets.select("country_key", "entity_id", F.col(tokens).alias("tokens"))).repartitionByRange("country_key", "entity_id")
         number = F.monotonically_increasing_id()
         rows = settled(ordered.withColumn("number", number))
         bucket, place = F.shiftright("number", SPAN.bit_length() - 1).alias("bucket"), F.col("number").bitwiseAND(F.lit(SPAN - 1)).cast("short").alias("place")
@@ -192,7 +192,7 @@ def exact_name_pairs(s1: DataFrame, targets: DataFrame) -> DataFrame:
 def name_token_pairs(s1: DataFrame, targets: DataFrame, index: TokenIndex | None = None) -> DataFrame:
     """Pairs that share a name token."""
     index = index or TokenIndex.of(targets, "name_set")
-    return index.named(hits(postings(s1, "name_set", "s1_id"), index, 1)).select(*PAIR)
+    return index.named(hits(settled(postings(s1, "name_set", "s1_id")), index, 1)).select(*PAIR)
 
 
 def address_pairs(s1: DataFrame, targets: DataFrame, least: int = 2, mode: str = "multiset", common: int = COMMON_POSTINGS) -> DataFrame:
@@ -205,7 +205,7 @@ def address_pairs(s1: DataFrame, targets: DataFrame, least: int = 2, mode: str =
     with targets that repeat it, look it up.
     """
     index = TokenIndex.of(targets, "address_tokens" if mode == "multiset" else "address_set")
-    left = postings(s1.filter(F.size("address_set") >= least), "address_set", "s1_id")
+    left = settled(postings(s1.filter(F.size("address_set") >= least), "address_set", "s1_id"))
     sizes = index.sizes().filter(F.col("size") > common)
     if sizes.isEmpty():
         return index.named(hits(left, index, least)).select(*PAIR, F.col("shared").cast("long").alias("shared"))
