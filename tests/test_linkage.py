@@ -19,6 +19,7 @@ from tributary.functions import text as t
 from tributary.operators import blocking, classify, evaluate, matcher, rules, stats
 from tributary.operators.features import FEATURES, joined, pair_features
 from tributary.plans import queries, reports
+from tributary.plans.config import RunConfig
 from tributary.plans.fixtures import document_linkage, part_linkage, part_records
 from tributary.sources import tsv
 
@@ -203,6 +204,31 @@ def test_sampling(spark):
         matcher.sample_rows(pairs, ["s1_id"], 500, strict=True)
 
 
+def test_the_source_is_part_of_a_pair(spark):
+    pairs = spark.createDataFrame([("S1-1", "S2-1", "s2"), ("S1-1", "S3-1", "S2"), ("S1-1", "S2-1", "S2"), ("S1-2", "S2-9", None)], tsv.CANDIDATE)
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-1")], "s1_id string, candidate_id string")
+    got = {(r.candidate_id, r.source): r.label for r in matcher.labelled(pairs, truth).collect()}
+    assert got == {("S2-1", "S2"): 1.0, ("S3-1", "S2"): 0.0, ("S2-9", None): 0.0}
+    assert {(r.candidate_id, r.label) for r in matcher.labelled(pairs.drop("source"), truth).collect()} == {("S2-1", 1.0), ("S3-1", 1.0), ("S2-9", 0.0)}
+    assert {(r.candidate_id, r.source, r.label) for r in matcher.training_pairs(pairs, truth).collect()} == {(*k, v) for k, v in got.items()}
+
+
+def test_one_configuration_for_a_run(spark, tmp_path):
+    config = RunConfig(sample=40, negatives=300, thresholds=(0.3, 0.6), seed=7)
+    config.write(spark, str(tmp_path / "config"))
+    assert RunConfig.read(spark, str(tmp_path / "config")) == config
+    with pytest.raises(ValueError, match="threshold"):
+        RunConfig(thresholds=())
+    with pytest.raises(ValueError, match="universe"):
+        RunConfig(universe="some")
+    x = part_linkage(spark, SF)
+    out = reports.evaluated(x, config)
+    assert {r.threshold for r in out["sweep"].collect()} == {0.3, 0.6}
+    ids = {r.entity_id for r in matcher.sample_rows(x.s1.select("entity_id"), ["entity_id"], 40, 7).collect()}
+    assert {r.s1_entity_id for r in out["predictions"].collect()} == ids
+    assert out["verification"].first().all_ok
+
+
 def test_tsv(spark, tmp_path):
     p = tmp_path / "x.tsv"
     p.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS2-1\t"Quoted"" name"\tNA\t\nS2-2\tback\\slash\t"two\nlines"\tUS\n', encoding="utf-8")
@@ -364,6 +390,42 @@ def test_sampled_universe(spark):
     assert friendly <= every
 
 
+def test_stored_index_is_read_by_folders(spark, tmp_path):
+    x = part_linkage(spark, SF)
+    blocking.Blocks.of(x.targets).write(str(tmp_path))
+    assert {tuple(r) for r in blocking.Blocks.pairs(x.s1, spark, str(tmp_path)).collect()} == {tuple(r) for r in x.candidates.collect()}
+    one = x.s1.filter(F.col("entity_id") == x.candidates.agg(F.min("s1_id")).first()[0])
+    probes = blocking.postings(one, "address_set", "s1_id")
+    index = blocking.TokenIndex.read(spark, str(tmp_path / "places"), probes)
+    read = index.lists.select(F.input_file_name().alias("f")).distinct().count()
+    assert 0 < read <= probes.count() < len(spark.read.parquet(str(tmp_path / "places/lists")).inputFiles())
+    assert "PartitionFilters: [isnotnull(folder" in (plan := index.lists._jdf.queryExecution().executedPlan().toString()) or "PartitionFilters: [folder" in plan
+    got = {tuple(r) for r in blocking.Blocks.pairs(one, spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in x.candidates.filter(F.col("s1_id") == one.first().entity_id).collect()} and got
+
+
+def test_common_tokens_are_dealt_and_lookups_agree(spark):
+    """A token that every record has: no key of the join is larger than it may be, and the pairs are the same."""
+    rng = random.Random(9)
+    words = [f"word{k}" for k in range(40)]
+    record = lambda s, i: (f"S{s}-{i}", "common " + " ".join(rng.choices(words, k=2)), "common " + " ".join(rng.choices(words, k=rng.randint(0, 3))) + " common" * rng.randint(0, 1), "US")
+    s1, targets = [record(1, i) for i in range(60)], [record(2, i) for i in range(90)]
+    a, b = (blocking.prepare(spark.createDataFrame(x, tsv.RECORD)) for x in (s1, targets))
+    index, probes = blocking.TokenIndex.of(b, "name_set"), blocking.postings(a, "name_set", "s1_id")
+    plain = {tuple(r) for r in index.named(blocking.hits(probes, index, 1)).select("s1_id", "candidate_id").collect()}
+    assert len(plain) == 60 * 90
+    shape = lambda df: sorted((r.s1_id, r.bucket, tuple(sorted(r.places))) for r in df.collect())
+    assert shape(blocking.dealt(probes, index, key_rows=8, key_arrays=2)) == shape(blocking.dealt(probes, index))
+    keys = blocking.sub_keys(probes, index, 8, 2)
+    sizes = keys[0].groupBy("country_key", "token", "i", "j").count().agg(F.max("count")).first()[0]
+    arrays = keys[1].groupBy("country_key", "token", "i", "j").count().agg(F.max("count")).first()[0]
+    assert probes.groupBy("token").count().agg(F.max("count")).first()[0] == 60 and sizes <= 20 and arrays <= 5
+    for mode in ("multiset", "distinct"):
+        want = {tuple(r) for r in blocking.address_pairs(a, b, mode=mode).collect()}
+        assert {tuple(r) for r in blocking.address_pairs(a, b, mode=mode, common=10).collect()} == want and want
+        assert {(i, j) for i, j, _ in want} == {p for p in plain_candidates([(i, "", x, c) for i, _, x, c in s1], [(i, "", x, c) for i, _, x, c in targets], mode)}
+
+
 def test_stream(spark, tmp_path):
     from tributary.streaming.candidates import stream_candidates
 
@@ -371,6 +433,6 @@ def test_stream(spark, tmp_path):
     s1 = x.s1.select("entity_id", "business_name", "business_address", "country")
     s1.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(s1.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream_candidates(stream, x.targets, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    stream_candidates(stream, x.targets, str(tmp_path / "out"), str(tmp_path / "check"), str(tmp_path / "index")).awaitTermination(120)
     got = {(r.s1_id, r.candidate_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {tuple(r) for r in x.candidates.collect()}

@@ -158,23 +158,29 @@ def _counted(least: int):
     return by_record(count)
 
 
-def dealt(probes: DataFrame, index: TokenIndex, key_rows: int = KEY_ROWS, key_arrays: int = KEY_ARRAYS) -> DataFrame:
-    """(s1_id, bucket, places): the arrays that the tokens of ``probes(s1_id, country_key, token)`` meet, with further columns of it.
-
-    A token of more rows than ``key_rows``, or more arrays than ``key_arrays``, is dealt to a grid: a row goes to its part of
-    the rows in every column, an array to its column in every part. So no key of the join is larger, and nothing is dropped.
-    """
+def sub_keys(probes: DataFrame, index: TokenIndex, key_rows: int, key_arrays: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join with the sub-key (i, j) of each row: a row's part, in every column; an array's column, in every part."""
     key = ["country_key", "token"]
     more = [c for c in probes.columns if c not in (*key, "s1_id")]
     left, right = (x.groupBy(*key).agg(F.count("*").alias(n)) for x, n in ((probes, "l"), (index.lists, "r")))
     grid = left.join(right, key).filter((F.col("l") > key_rows) | (F.col("r") > key_arrays))
     grid = grid.select(*key, F.ceil(F.col("l") / key_rows).cast("int").alias("parts"), F.ceil(F.col("r") / key_arrays).cast("int").alias("columns"))
-    part = lambda x: F.pmod(F.xxhash64(x), F.coalesce("parts", F.lit(1))).cast("int")
+    part = lambda x, n: F.pmod(F.xxhash64(x), F.coalesce(n, F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
-    rows = probes.join(grid, key, "left").select("s1_id", *key, *more, part("s1_id").alias("i"), every("columns").alias("j"))
-    column = F.pmod(F.xxhash64("bucket"), F.coalesce("columns", F.lit(1))).cast("int")
-    arrays = index.lists.join(grid, key, "left").select(*key, "bucket", "places", column.alias("j"), every("parts").alias("i"))
-    return rows.join(arrays, [*key, "i", "j"]).select("s1_id", "bucket", "places", *more)
+    rows = probes.join(grid, key, "left").select("s1_id", *key, *more, part("s1_id", "parts").alias("i"), every("columns").alias("j"))
+    arrays = index.lists.join(grid, key, "left").select(*key, "bucket", "places", part("bucket", "columns").alias("j"), every("parts").alias("i"))
+    return rows, arrays
+
+
+def dealt(probes: DataFrame, index: TokenIndex, key_rows: int = KEY_ROWS, key_arrays: int = KEY_ARRAYS) -> DataFrame:
+    """(s1_id, bucket, places): the arrays that the tokens of ``probes(s1_id, country_key, token)`` meet, with further columns of it.
+
+    A token of more rows than ``key_rows``, or more arrays than ``key_arrays``, is dealt to a grid, so no key of the join is
+    much larger, and nothing is dropped.
+    """
+    rows, arrays = sub_keys(probes, index, key_rows, key_arrays)
+    more = [c for c in probes.columns if c not in ("country_key", "token", "s1_id")]
+    return rows.join(arrays, ["country_key", "token", "i", "j"]).select("s1_id", "bucket", "places", *more)
 
 
 def hits(probes: DataFrame, index: TokenIndex, least: int) -> DataFrame:
@@ -223,6 +229,44 @@ def address_pairs(s1: DataFrame, targets: DataFrame, least: int = 2, mode: str =
     return both.filter(F.col("shared") >= least).select(*PAIR, "shared")
 
 
+@dataclass
+class Blocks:
+    """The three indexes of a source: whole names, names' tokens and addresses' tokens; built once for many look-ups."""
+
+    whole: TokenIndex
+    words: TokenIndex
+    places: TokenIndex
+
+    @staticmethod
+    def of(targets: DataFrame, mode: str = "multiset") -> Blocks:
+        whole = targets.withColumn("name_set", F.array("name")).filter("name != ''")
+        return Blocks(TokenIndex.of(whole, "name_set"), TokenIndex.of(targets, "name_set"), TokenIndex.of(targets, "address_tokens" if mode == "multiset" else "address_set"))
+
+    def write(self, path: str) -> None:
+        for name in ("whole", "words", "places"):
+            getattr(self, name).write(f"{path}/{name}")
+
+    @staticmethod
+    def pairs(s1: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+        """The candidates of records of S1 by stored indexes; for few records only the folders of their tokens are read."""
+        found = None
+        for name, probes, least in _probes(s1):
+            probes = settled(probes)
+            more = Blocks._named(probes, TokenIndex.read(spark, f"{path}/{name}", probes), least)
+            found = more if found is None else found.union(more)
+        return found.distinct()
+
+    @staticmethod
+    def _named(probes: DataFrame, index: TokenIndex, least: int) -> DataFrame:
+        return index.named(hits(probes, index, least)).select(*PAIR)
+
+
+def _probes(s1: DataFrame) -> tuple[tuple[str, DataFrame, int], ...]:
+    """(index, tokens that ask it, how many must meet) of each rule."""
+    whole = s1.filter("name != ''").select("country_key", F.col("name").alias("token"), F.col("entity_id").alias("s1_id"))
+    return ("whole", whole, 1), ("words", postings(s1, "name_set", "s1_id"), 1), ("places", postings(s1.filter(F.size("address_set") >= 2), "address_set", "s1_id"), 2)
+
+
 def candidate_pairs(s1: DataFrame, targets: DataFrame, mode: str = "multiset") -> DataFrame:
     """Pairs that any of the three rules finds."""
     found = exact_name_pairs(s1, targets).union(name_token_pairs(s1, targets))

@@ -10,6 +10,7 @@ from tributary.functions.similarity import safe_ratio
 from tributary.operators import blocking, classify, evaluate, matcher, rules, stats
 from tributary.operators.blocking import PAIR
 from tributary.operators.features import joined, pair_features
+from tributary.plans.config import RunConfig
 from tributary.plans.fixtures import Linkage
 from tributary.storage import settled
 
@@ -107,8 +108,8 @@ def collision_examples(found: DataFrame, n: int = 30) -> DataFrame:
 
 
 def true_pair_patterns(linkage: Linkage, limit: int | None = rules.RULE_F_LIMIT) -> DataFrame:
-    """True pairs that Rule F adds, with the pattern of their names and the combined signal."""
-    rows = classify.with_name_signals(joined(rule_f(linkage, limit).filter("is_true"), linkage.s1, linkage.targets, classify.RAW))
+    """True pairs that Rule F adds, by their ids, with the pattern of their names and the combined signal."""
+    rows = classify.with_name_signals(joined(rule_f(linkage, limit).filter("is_true"), linkage.s1, linkage.targets, classify.RAW)).orderBy(*PAIR)
     numbers = F.size(F.array_intersect("s1_number_set", "target_number_set"))
     return rows.select(
         *PAIR, "token", "frequency", "signals", "different_scripts", numbers.alias("shared_numeric_tokens"), t.is_number(F.col("token")).alias("numeric_token"),
@@ -162,6 +163,23 @@ def export_candidates(linkage: Linkage, sample: int | None = None, universe: str
     return blocking.candidate_pairs(s1, targets).withColumn("source", source_of(F.col("candidate_id")))
 
 
+def evaluated(linkage: Linkage, config: RunConfig) -> dict[str, DataFrame]:
+    """A run by one configuration: candidates, scores, sweep, predictions, their summary and verification."""
+    s1 = linkage.s1 if config.sample is None else settled(matcher.sample_rows(linkage.s1, ["entity_id"], config.sample, config.seed))
+    ids = s1.select(F.col("entity_id").alias("s1_id"))
+    truth = linkage.truth.join(ids, "s1_id", "left_semi")
+    targets = linkage.targets if config.universe == "all" else linkage.targets.join(truth.select(F.col("candidate_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    candidates = settled(blocking.candidate_pairs(s1, targets, config.mode))
+    features = settled(pair_features(candidates, s1, targets))
+    sample = matcher.training_pairs(candidates, truth, config.negatives, config.seed)
+    scores = settled(matcher.score(features, matcher.fit(settled(features.join(sample, PAIR)))))
+    spine = evaluate.spine_of("s1", s1, truth, candidates)
+    sweep = evaluate.sweep(scores, truth, spine, config.thresholds)
+    predicted = evaluate.predictions(scores, spine, evaluate.chosen_threshold(None if config.threshold is not None else sweep, config.threshold))
+    checks = {"verification": evaluate.verification(predicted, spine, candidates), "summary": evaluate.prediction_summary(predicted)}
+    return {"candidates": candidates, "scores": scores, "sweep": sweep, "predictions": predicted, **checks}
+
+
 def candidate_features(linkage: Linkage) -> DataFrame:
     """The features of all candidates, computed once: for training and for scores."""
     return settled(pair_features(linkage.candidates, linkage.s1, linkage.targets))
