@@ -6,7 +6,8 @@
    and every set works in its own band and the next. In a band the bound on similarity bounds how many elements two
    sets may differ in. The domain of elements is dealt to so many partitions that one of them holds one difference at
    most, and each partition to three parts: of these, two hold none. A signature is a set's projection on two of
-   the parts, so similar sets share one. Three ways to choose the two parts, for every partition, are enumerated.
+   the parts, so similar sets share one. Three ways to choose the two parts, for every partition, are enumerated. (For
+   similarities below 0.9, which ask for more partitions, there are two parts, and a signature is a projection on one.)
 3. A map task ties the classes that it sees under one signature to the first of them and sends only that one on;
    the shuffle ties these together. So a signature that very many classes share reaches a task as a few rows.
 4. Ties are checked: for each class its most frequent tie, then within signatures whose classes are still apart the
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches, written
 from .components import connected_components
 
-WIDTH, PERCENT, PARTS = 3, 90, 3
+WIDTH, PERCENT = 3, 90
 #: Signature rows that a map task ties at once.
 BUFFER_ROWS = 1 << 20
 #: Groups of so many classes are searched as pairs, larger ones in cells of so many classes and elements a part.
@@ -86,9 +87,14 @@ def size_bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(starts[:-1], np.int64), np.array(counts, np.int64)
 
 
+def parts_of(percent: int) -> int:
+    return 3 if percent >= 90 else 2
+
+
 def signatures(sizes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row) of all sets."""
     starts, counts = size_bands(percent, int(sizes.max(initial=1)))
+    parts = parts_of(percent)
     own = np.searchsorted(starts, sizes, "right") - 1
     x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -100,16 +106,16 @@ def signatures(sizes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT
         offset = np.cumsum(many) - many
         used = many[row] > 0
         r = row[used]
-        part = place[used] % (many[r].astype(np.uint64) * np.uint64(PARTS))
-        cell = offset[r] * PARTS + part.astype(np.int64)
-        n = int(many.sum()) * PARTS
+        part = place[used] % (many[r].astype(np.uint64) * np.uint64(parts))
+        cell = offset[r] * parts + part.astype(np.int64)
+        n = int(many.sum()) * parts
         half = [np.bincount(cell, v.astype(np.float64), n).astype(np.uint64) for v in (value[used] & np.uint64(0xFFFFFFFF), value[used] >> np.uint64(32))]
-        sums = (half[0] + (half[1] << np.uint64(32))).reshape(-1, PARTS)
+        sums = (half[0] + (half[1] << np.uint64(32))).reshape(-1, parts)
         of = np.repeat(np.arange(len(many)), many)
         partition = (np.arange(len(of)) - offset[of]).astype(np.uint64)
         whole = sums.sum(axis=1, dtype=np.uint64)
-        for j in range(PARTS):
-            name = _mixed((band[of].astype(np.uint64) << np.uint64(40)) + partition * np.uint64(PARTS) + np.uint64(j) + _A)
+        for j in range(parts):
+            name = _mixed((band[of].astype(np.uint64) << np.uint64(40)) + partition * np.uint64(parts) + np.uint64(j) + _A)
             out.append(_mixed((whole - sums[:, j]) ^ name))
             rows.append(of)
     return np.concatenate(out), np.concatenate(rows)
@@ -151,11 +157,16 @@ def may_link(n: int, m: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool
 
 
 def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted (sig, key) and, for each, whether it is the first of its signature, and the first one's key."""
+    """(sig, key) as they come and, for each, whether it is the first of its signature, and the first one's key.
+
+    Rows keep their order, as those of one class side by side compress well.
+    """
     order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    first = np.r_[True, sig[1:] != sig[:-1]]
-    return sig, key, first, key[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    ordered, keys = sig[order], key[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    first, pivot = np.empty(len(sig), bool), np.empty(len(sig), np.int64)
+    first[order], pivot[order] = new, keys[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return sig, key, first, pivot
 
 
 def _signed(width: int, seed: int, percent: int):
@@ -186,7 +197,8 @@ def _signed(width: int, seed: int, percent: int):
             yield pa.RecordBatch.from_arrays([nothing, pa.array(classes, pa.int64()), nothing, pa.array(rows, ROW)], _NAMES)
             if keys:
                 sig, row = signatures(np.array(sizes, np.int64), sets, percent)
-                held.append((sig.view(np.int64), np.array(keys, np.int64)[row]))
+                order = np.argsort(row, kind="stable")
+                held.append((sig.view(np.int64)[order], np.array(keys, np.int64)[row[order]]))
             if sum(len(s) for s, _ in held) >= BUFFER_ROWS:
                 yield flush()
         if any(len(s) for s, _ in held):
