@@ -113,7 +113,7 @@ def test_files_of_other_rules_are_encoded_whole():
 
     texts = ["Don't stop, it's 12 o'clock", "  naïve  café\nnew line", "x" * 50 + " 日本 text", ""]
     for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
-        mine, library = tokens.load(name), Tokenizer.from_file(tokenizer_path(name))
+        mine, library = tokens.load(name), Tokenizer.from_file(tokens.tokenizer_path(name))
         assert mine.by_words == by_words
         for text, ids in zip(texts, mine.encode(texts), strict=True):
             assert np.frombuffer(ids, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
