@@ -1,0 +1,78 @@
+"""Records that repeat: pairs of kinds are weighed and spread, and give what pairs of records give."""
+
+from __future__ import annotations
+
+import pytest
+from compare import rows_of, same_rows
+from pyspark.sql import functions as F
+
+from tributary.operators import rules
+from tributary.operators.blocking import PAIR
+from tributary.plans import fixtures, queries, reports
+from tributary.plans.fixtures import Linkage, part_linkage
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """Folders of the parts 3 and 6 times, with shifted keys, so that copies are in all sources."""
+
+    def folder(n: int) -> str:
+        path = str(tmp_path_factory.mktemp(f"parts{n}"))
+        parts, times = spark.read.parquet(f"{SF}/part.parquet"), spark.range(n).select(F.col("id").alias("i"))
+        shifted = parts.crossJoin(times).withColumn("p_partkey", F.col("p_partkey") + F.col("i") * 1000).drop("i")
+        shifted.coalesce(1).write.parquet(f"{path}/all")
+        import glob
+        import shutil
+
+        shutil.copy(glob.glob(f"{path}/all/*.parquet")[0], f"{path}/part.parquet")
+        shutil.rmtree(f"{path}/all")
+        return path
+
+    return {n: folder(n) for n in (3, 6)}
+
+
+def test_pairs_of_kinds_are_no_more_with_more_copies(spark, repeated):
+    few, many = (part_linkage(spark, repeated[n]) for n in (3, 6))
+    assert few.kinds.candidates.count() == many.kinds.candidates.count()
+    assert 3 * few.candidates.count() < many.candidates.count()
+
+
+@pytest.mark.parametrize("name", ["candidate_five_numbers", "blocker_recall", "best_threshold", "rules_a_to_f", "truth_summary", "truth_lookup", "missed_pairs", "predictions"])
+def test_sql_twins_on_copies(spark, repeated, name):
+    assert same_rows(spark, name, repeated[6])
+
+
+def test_reports_by_kinds_are_those_of_records(spark, repeated):
+    x = part_linkage(spark, repeated[6])
+    plain = Linkage(x.s1.cache(), x.targets.cache(), x.truth.cache())
+    same = lambda a, b: rows_of(a.columns, a.select(*b.columns).collect()) == rows_of(b.columns, b.collect())
+    assert same(reports.selective(x), reports.selective(plain))
+    for report in (rules.condition_report, rules.boolean_features, rules.numeric_features):
+        assert same(report(reports.weighed_rule3(x)), report(reports.rule3(plain)))
+    assert same(reports.missed_patterns(x), reports.missed_patterns(plain))
+    assert same(reports.missed_pattern_counts(reports.weighed_missed_patterns(x)), reports.missed_pattern_counts(reports.missed_patterns(plain)))
+    one, other = (reports.candidate_features(y) for y in (x, plain))
+    assert same(x.spread(one), other)
+    a, b = (reports.trained(y, f).stages[-1] for y, f in ((x, one), (plain, other)))
+    assert a.coefficients.toArray() == pytest.approx(b.coefficients.toArray(), abs=1e-3) and a.intercept == pytest.approx(b.intercept, abs=1e-3)
+
+
+def test_arrays_of_copies_are_bounded(spark, repeated, monkeypatch):
+    want = {tuple(r) for r in part_linkage(spark, repeated[6]).candidates.select(*PAIR).collect()}
+    monkeypatch.setattr(fixtures, "SHARE", 1)
+    x = part_linkage(spark, repeated[6])
+    assert x.copied.members.groupBy("kind").count().agg(F.max("count")).first()[0] > 1
+    got = [tuple(r) for r in x.candidates.select(*PAIR).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_a_repeated_id_leaves_records_as_they_are(spark):
+    records = fixtures.part_records(spark.read.parquet(f"{SF}/part.parquet"))
+    assert fixtures._linkage(records.union(records.limit(1)), F.col("_size"), kinds=True).copied is None
+
+
+def test_rule_3_pairs_are_in_order(spark):
+    got = [(r.s1_id, r.candidate_id) for r in queries.rule_3_candidates(spark, SF).collect()]
+    assert got == sorted(got)

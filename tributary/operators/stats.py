@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from tributary.storage import settled
 
 
-def percentile(column: str | Column, fraction: float) -> Column:
-    """Interpolated percentile; 0 where there are no values."""
-    return F.coalesce(F.percentile(column, F.lit(fraction)), F.lit(0.0))
+def percentile(column: str | Column, fraction: float, times: Column | int = 1) -> Column:
+    """Interpolated percentile, of each value as often as ``times`` says; 0 where there are no values."""
+    return F.coalesce(F.percentile(column, F.lit(fraction), times), F.lit(0.0))
 
 
-def value_counts(rows: DataFrame, *keys: str, by_key: bool = False) -> DataFrame:
-    """Rows per value, most frequent first and equal ones by value; or ordered by value."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+def value_counts(rows: DataFrame, *keys: str, by_key: bool = False, times: Column | None = None) -> DataFrame:
+    """Rows per value, each as often as ``times`` says, most frequent first and equal ones by value; or ordered by value."""
+    counts = rows.groupBy(*keys).agg((F.count("*") if times is None else F.sum(times)).alias("n"))
     return counts.orderBy(*keys) if by_key else counts.orderBy(F.desc("n"), *keys)
 
 
@@ -41,14 +41,16 @@ def size_report(rows: DataFrame, column: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.coalesce(F.sum(c), F.lit(0)).alias("total"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), *tops, F.coalesce(F.max(c), F.lit(0)).alias("max"))
 
 
-def quantiles(rows: DataFrame, value: str, fractions: dict[str, float], keys: list[str]) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, fractions: dict[str, float], keys: list[str], times: Column | None = None) -> DataFrame:
     """(*keys, n, min, max, and a column for each fraction): exact interpolated quantiles of each group's values that aren't null.
 
     Different values with their counts are dealt to ranges. Counts of the ranges tell in which of them a rank lies; only these
-    are read again, and counted up to the rank. Groups without values have no row; of keys, null is a value.
+    are read again, and counted up to the rank. Groups without values have no row; of keys, null is a value. A row counts as
+    often as ``times`` says.
     """
     name = "_value"
-    counts = rows.select(*keys, F.col(value).cast("double").alias(name)).filter(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("_c"))
+    each = F.lit(1).cast("long") if times is None else times
+    counts = rows.select(*keys, F.col(value).cast("double").alias(name), each.alias("_n")).filter(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.sum("_n").alias("_c"))
     ranged = settled(counts.repartitionByRange(*keys, name).withColumn("_part", F.spark_partition_id()))
     group = Window.partitionBy(*keys)
     parts = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_size"), F.min(name).alias("_min"), F.max(name).alias("_max"))
@@ -70,9 +72,9 @@ def quantiles(rows: DataFrame, value: str, fractions: dict[str, float], keys: li
     return both.select(*keys, "n", "min", *[between(q).alias(c) for c, q in fractions.items()], "max")
 
 
-def distribution(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+def distribution(rows: DataFrame, value: str, *keys: str, times: Column | None = None) -> DataFrame:
     """n, min, median, p90 and max of a column per group."""
-    return quantiles(rows, value, {"median": 0.5, "p90": 0.9}, list(keys))
+    return quantiles(rows, value, {"median": 0.5, "p90": 0.9}, list(keys), times)
 
 
 def profile(rows: DataFrame) -> DataFrame:
