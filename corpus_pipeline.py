@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm import exact_dedup, ngram_join, simhash
-from tributary.llm.common import clear_written, remove_folder, shared_folder, table, written
+from tributary.llm.common import clear_written, left_out, remove_folder, shared_folder, table
 from tributary.llm.decontamination import remove_contaminated
 from tributary.llm.packing import pack_documents
 from tributary.llm.toxicity import remove_toxic
@@ -39,8 +39,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     First by the rule of ``op1``: fingerprints of at most four different bits. Of what stays, documents whose sets of five-word
     shingles have a similarity of 0.8 or more are found by signatures and verified on the sets; that search misses none.
+    The second search is told which rows the first rejected, so texts are neither shuffled nor stored in between.
     """
-    return ngram_join.keep_one(written(simhash.keep_one(docs)), width=5, percent=80)
+    first = simhash.rejected(docs)
+    return left_out(docs, first.union(ngram_join.rejected(docs, width=5, percent=80, without=first)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,3 +145,26 @@ def test_shingles_of_equal_hash_count_twice(monkeypatch):
     monkeypatch.setattr(xxhash, "xxh3_128_digest", lambda x, seed=0: b"\0" * 8 + len(x).to_bytes(8, "little"))
     n, hashes = j.shingle_set(b"a bb ccc dddd eeeee")
     assert (n, len(hashes)) == (3, 1)
+
+
+def test_rows_left_out_link_nothing(spark):
+    """A row that is out joins no others, also where its class is met first, and its equals keep their sketch."""
+    base = [f"b{i}" for i in range(90)]
+    change = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    docs = [(1, change(0, 1)), (2, change()), (3, change()), (4, change(88, 89)), (5, change(0, 1, 88, 89)), (6, "other words " * 9), (7, None)]
+    frame = spark.createDataFrame(docs, SCHEMA).coalesce(1)
+    for gone in ((), (2,), (2, 3), (1, 5), (4, 2, 3)):
+        without = frame.filter(frame.doc_id.isin(list(gone))).selectExpr("doc_id id", "xxhash64(coalesce(text, '')) h")
+        got = {r.id for r in j.rejected(frame, 5, 95, without).collect()}
+        left = [(d, t) for d, t in docs if d not in gone]
+        assert got == {d for d, (_, c) in plain(left, 5, 95).items() if c != d}, gone
+        assert {r.doc_id for r in j.left_out(frame, without).collect()} == {d for d, _ in left}
+
+
+def test_few_empty_projections_are_signatures():
+    """With two parts some projections are empty, and all of a band would share these: only sets of very many empty ones sign them."""
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(1, 1 << 63, 300, dtype=np.uint64)) for _ in range(200)]
+    sig, row = j.signatures(np.array([len(s) for s in sets]), sets, 80)
+    _, times = np.unique(sig, return_counts=True)
+    assert times[times > 1].sum() < len(sig) / 1000 and len(set(row.tolist())) == 200

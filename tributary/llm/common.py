@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -57,6 +58,27 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffles of plans that are done: it does so once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows that ``left_out`` broadcasts at most; more are joined by a shuffle.
+FEW_ROWS = 500_000
+
+
+def left_out(documents: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``documents`` but those that the stored ``dropped(id, h)`` names, by doc_id and hash of the text.
+
+    A few dropped rows are broadcast, so that the texts aren't shuffled.
+    """
+    gone = dropped.distinct()
+    gone = F.broadcast(gone) if dropped.count() <= FEW_ROWS else gone
+    same = [documents["doc_id"] == gone["id"], F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == gone["h"]]
+    return documents.join(gone, same, "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. The full-Unicode lower() gives the same, faster, where it leaves all other characters alone.
 

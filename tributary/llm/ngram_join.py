@@ -7,7 +7,9 @@
    sets may differ in. The domain of elements is dealt to so many partitions that one of them holds one difference at
    most, and each partition to three parts: of these, two hold none. A signature is a set's projection on two of
    the parts, so similar sets share one. Three ways to choose the two parts, for every partition, are enumerated. (For
-   similarities below 0.9, which ask for more partitions, there are two parts, and a signature is a projection on one.)
+   similarities below 0.9, which ask for more partitions, there are two parts, and a signature is a projection on one.
+   Some of these are empty, which all sets with nothing in that part would share. So there are some partitions more, and similar
+   sets share several projections, more than most sets have empty ones; only a set with as many empty ones signs those as well.)
 3. A map task ties the classes that it sees under one signature to the first of them and sends only that one on;
    the shuffle ties these together. So a signature that very many classes share reaches a task as a few rows.
 4. Ties are checked: for each class its most frequent tie, then within signatures whose classes are still apart the
@@ -27,6 +29,7 @@ doc_id that repeats with another text has one for each; extra columns are left a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, written
+from .common import cut, left_out, release, small_batches, written
 from .components import connected_components
 
 WIDTH, PERCENT = 3, 90
@@ -76,13 +79,31 @@ def shingle_set(text: bytes, width: int = WIDTH, seed: int = 0) -> tuple[int, np
     return len(hashes), hashes
 
 
+def _partitions(differences: int, percent: int, size: int) -> int:
+    """So many partitions that one holds one difference at most; of two parts so many that sets of some ``size`` share more than are empty."""
+    least = (differences + 2) // 2
+    if parts_of(percent) > 2:
+        return least
+    for k in range(least, 2 * least):
+        empty = 2 * k * math.exp(-size * percent / 100 / (2 * k))
+        if 2 * k - differences > empty + 1.5 * math.sqrt(empty):
+            return k
+    return least
+
+
+def sure_projections(percent: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many projections on one of two parts similar sets share at least, in each band."""
+    top = starts * 100 // percent
+    return 2 * counts - 2 * top * (100 - percent) // (100 + percent)
+
+
 def size_bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     """(first size, partitions) of each band up to that of ``largest`` and one more; 0 partitions: only equal sets are similar."""
     starts, counts = [1], []
     while len(counts) < 2 or starts[-3] <= largest:
         top = starts[-1] * 100 // percent
         differences = 2 * top * (100 - percent) // (100 + percent)
-        counts.append((differences + 2) // 2 if differences else 0)
+        counts.append(_partitions(differences, percent, starts[-1]) if differences else 0)
         starts.append(top + 1)
     return np.array(starts[:-1], np.int64), np.array(counts, np.int64)
 
@@ -94,7 +115,7 @@ def parts_of(percent: int) -> int:
 def signatures(sizes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row) of all sets."""
     starts, counts = size_bands(percent, int(sizes.max(initial=1)))
-    parts = parts_of(percent)
+    parts, sure = parts_of(percent), sure_projections(percent, starts, counts)
     own = np.searchsorted(starts, sizes, "right") - 1
     x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -114,10 +135,15 @@ def signatures(sizes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT
         of = np.repeat(np.arange(len(many)), many)
         partition = (np.arange(len(of)) - offset[of]).astype(np.uint64)
         whole = sums.sum(axis=1, dtype=np.uint64)
+        full = np.bincount(cell, minlength=n).reshape(-1, parts) > 0
+        if parts == 2:  # the projection without part j is that on the other one
+            empty = np.bincount(of, (~full).sum(axis=1), len(many))
+            full = full | (empty >= sure[band])[of, None]
         for j in range(parts):
+            signs = full[:, 1 - j] if parts == 2 else np.ones(len(of), bool)
             name = _mixed((band[of].astype(np.uint64) << np.uint64(40)) + partition * np.uint64(parts) + np.uint64(j) + _A)
-            out.append(_mixed((whole - sums[:, j]) ^ name))
-            rows.append(of)
+            out.append(_mixed((whole - sums[:, j]) ^ name)[signs])
+            rows.append(of[signs])
     return np.concatenate(out), np.concatenate(rows)
 
 
@@ -385,7 +411,7 @@ def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     """(sig, key, component) of the signatures whose classes lie in several components."""
-    rows = cut(_named(members, links))
+    rows = written(_named(members, links))
     apart = rows.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("classes")).filter("x != y")
     return written(rows.join(apart.select("sig", "classes"), "sig"))
 
@@ -414,8 +440,12 @@ def all_links(open_rows: DataFrame, classes: Classes) -> DataFrame:
     return links.union(searched(filled.join(sets, "key"), ["sketch", "set"]))
 
 
-def similarity_links(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, Classes]:
-    """Every row's class (doc_id, n, key, hash); links (a, b) between classes, enough to connect all that are similar; the classes."""
+def similarity_links(documents: DataFrame, width: int, percent: int, without: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Classes]:
+    """Every row's class (doc_id, n, key, hash); links (a, b) between classes, enough to connect all that are similar; the classes.
+
+    Rows that ``without(id, h)`` names, by doc_id and hash of the text, are read, but neither given nor compared: so what
+    an earlier step rejects needn't be taken out of the documents first.
+    """
     small_batches(documents.sparkSession)
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("hash"))
@@ -424,32 +454,41 @@ def similarity_links(documents: DataFrame, width: int, percent: int) -> tuple[Da
     while True:
         signed = docs.mapInArrow(_signed(width, seed, percent), _SIGNED)
         both = written(signed.repartition(home).sortWithinPartitions("sig").mapInArrow(_tied, _SIGNED))
+        release(documents.sparkSession)
         rows = both.filter("row is not null").select("row.*", F.col("a").alias("key"))
-        known = rows.filter("key is not null and doc_id is not null").groupBy("key")
-        known = written(known.agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min("other").alias("x"), F.max("other").alias("y")))
+        there = F.lit(True)
+        if without is not None:
+            named = without.select(F.col("id").alias("doc_id"), F.col("h").alias("hash"), F.lit(True).alias("out")).distinct()
+            rows, there = rows.join(named, ["doc_id", "hash"], "left"), F.col("out").isNull()
+        known = rows.filter("key is not null and doc_id is not null").groupBy("key")  # a class's sketch may be with a row that is out
+        known = known.agg(F.min(F.when(there, F.col("doc_id"))).alias("first"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min("other").alias("x"), F.max("other").alias("y"))
+        known = written(known.filter("first is not null"))
         if known.filter("x != y").isEmpty():
             break
         seed += 1
     classes = Classes(docs.filter("doc_id is not null"), known, width, seed, percent)
     ties = both.filter("sig is not null").select("sig", "a", "b")
-    members = written(ties.select("sig", F.col("a").alias("key")).union(ties.select("sig", "b")).distinct())
+    members = ties.select("sig", F.col("a").alias("key")).union(ties.select("sig", "b")).distinct()
+    members = written(members if without is None else members.join(known.select("key"), "key", "left_semi").select("sig", "key"))
     best = ties.groupBy("a", "b").agg(F.count("*").alias("times")).groupBy("a").agg(F.max(F.struct("times", "b")).alias("x")).select("a", "x.b")
     links = classes.verified(best)
     apart = _open(members, links)
+    release(documents.sparkSession)
     if not apart.isEmpty():
         degree = members.groupBy("key").agg(F.count("*").alias("degree"))
         pivots = apart.join(degree, "key").groupBy("sig").agg(F.max(F.struct("degree", "key", "component")).alias("p"))
         pairs = apart.join(pivots, "sig").filter("component != p.component").select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct()
         links = cut(links.union(classes.verified(pairs)))
         apart = _open(apart.select("sig", "key"), links)
+        release(documents.sparkSession)
         if not apart.isEmpty():
             links = cut(links.union(all_links(apart, classes)))
-    return rows.select("doc_id", "n", "key", "hash"), links, classes
+    return rows.filter(there).select("doc_id", "n", "key", "hash"), links, classes
 
 
-def _components(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, hash, component_id) of every row."""
-    rows, links, classes = similarity_links(documents, width, percent)
+def _components(documents: DataFrame, width: int, percent: int, without: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n, hash, component_id) of every row, but those that ``without`` names."""
+    rows, links, classes = similarity_links(documents, width, percent, without)
     tied = cut(_named(classes.known.select("key", "first"), links))
     least = tied.groupBy("component").agg(F.min("first").alias("component_id"))
     found = tied.join(least, "component").select("key", "component_id")
@@ -462,8 +501,15 @@ def similar_documents(documents: DataFrame, width: int = WIDTH, percent: int = P
     return _components(documents, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def rejected(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, without: DataFrame | None = None) -> DataFrame:
+    """(id, h): doc_id and hash of the text of the rows that aren't of the smallest doc_id in their component.
+
+    Rows that ``without(id, h)`` names belong to no component.
+    """
+    found = _components(documents, width, percent, without).filter("doc_id != component_id")
+    return cut(found.select(F.col("doc_id").alias("id"), F.col("hash").alias("h")).distinct())
+
+
 def keep_one(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``documents`` of the smallest doc_id in each component, with all their columns."""
-    dropped = _components(documents, width, percent).filter("doc_id != component_id").select(F.col("doc_id").alias("id"), F.col("hash").alias("h")).distinct()
-    same = [documents["doc_id"] == dropped["id"], F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == dropped["h"]]
-    return documents.join(dropped, same, "left_anti")
+    return left_out(documents, rejected(documents, width, percent))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, left_out, small_batches
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -260,14 +260,17 @@ def near_duplicates(documents: DataFrame, max_bits: int = MAX_BITS, limit: int =
     return found.select("doc_id", hexed, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def rejected(documents: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT) -> DataFrame:
+    """(id, h): doc_id and hash of the text of the rows that aren't of the smallest doc_id in their component."""
+    prints, component = _components(documents, max_bits, limit)
+    dropped = prints.join(component, "fp").filter("doc_id != component_id")
+    return cut(dropped.select(F.col("doc_id").alias("id"), F.col("hash").alias("h")).distinct())
+
+
 def keep_one(documents: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT) -> DataFrame:
     """The rows of ``documents`` of the smallest doc_id in each component, with all their columns.
 
-    Rows are told apart by doc_id and fingerprint, so a doc_id that repeats with another text loses only the
+    Rows are told apart by doc_id and hash of the text, so a doc_id that repeats with another text loses only the
     rows that are near copies.
     """
-    prints, component = _components(documents, max_bits, limit)
-    dropped = prints.join(component, "fp").filter("doc_id != component_id").select(F.col("doc_id").alias("id"), F.col("size").alias("of"), F.col("hash").alias("h")).distinct()
-    text = F.coalesce(documents["text"], F.lit(""))
-    same = [documents["doc_id"] == dropped["id"], F.octet_length(text) == dropped["of"], F.xxhash64(text) == dropped["h"]]
-    return documents.join(dropped, same, "left_anti")
+    return left_out(documents, rejected(documents, max_bits, limit))
