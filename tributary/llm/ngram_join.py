@@ -373,7 +373,7 @@ def cell_links(key: np.ndarray, comp: np.ndarray, part: np.ndarray, n: np.ndarra
 
 
 def _cells(percent: int, with_sets: bool):
-    """Of rows sorted by cell: the classes that may link, as pairs with themselves; or, with their sets, links."""
+    """Of rows sorted by cell: the classes that may link there, as (class, cell); or, with their sets, links."""
 
     def search(t: pa.Table) -> pa.RecordBatch:
         key, comp, part, n = (t[c].to_numpy() for c in ("key", "comp", "part", "n"))
@@ -382,7 +382,8 @@ def _cells(percent: int, with_sets: bool):
             rows = cell_links(key, comp, part, n, words("sketch"), words("set"), percent)
         else:
             near = {k for i, others in near_in_cell(comp, part, n, words("sketch"), percent) for k in (i, *others.tolist())}
-            rows = [(int(key[k]), int(key[k])) for k in near]
+            cell = t["cell"][0].as_py()
+            rows = [(int(key[k]), cell) for k in near]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,9 +436,10 @@ def all_links(open_rows: DataFrame, classes: Classes) -> DataFrame:
         return cut(sorted_rows.mapInArrow(_cells(classes.percent, "set" in columns), "a long, b long"))
 
     filled = dealt.join(classes.known.select("key", "n", "sketch"), "key")
-    near = searched(filled, ["sketch"]).select(F.col("a").alias("key")).distinct()
-    sets = classes.sets(near).select("key", "set")
-    return links.union(searched(filled.join(sets, "key"), ["sketch", "set"]))
+    near = searched(filled, ["sketch"]).select(F.col("a").alias("key"), F.col("b").alias("cell"))
+    release(open_rows.sparkSession)
+    sets = classes.sets(near.select("key").distinct()).select("key", "set")
+    return links.union(searched(filled.join(near, ["key", "cell"]).join(sets, "key"), ["sketch", "set"]))  # sets go to the cells that may link them
 
 
 def similarity_links(documents: DataFrame, width: int, percent: int, without: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Classes]:
