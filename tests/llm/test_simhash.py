@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tributary.llm import components
 from tributary.llm.components import connected_components
 from tributary.llm.simhash import GrayIndex, fingerprint, keep_one, links, near_duplicates
 
@@ -92,6 +93,18 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+@pytest.mark.parametrize("share", [1 << 16, 16])
+def test_few_links_are_one_task_and_many_are_dealt(spark, monkeypatch, share):
+    monkeypatch.setattr(components, "LINKS_A_TASK", share)
+    monkeypatch.setattr(components, "_signature", lambda links, f=components._signature: (rounds.append(1), f(links))[1])
+    rounds: list[int] = []
+    path = [(i, i + 1) for i in range(60)] + [(-5, 100 + i) for i in range(30)] + [(7, 7), (None, 3)]
+    found = connected_components(spark.createDataFrame(path, "a long, b long").repartition(8))
+    got = {r.node: r.component for r in found.collect()}
+    assert got == {i: 0 for i in range(61)} | {i: -5 for i in (-5, *range(100, 130))}
+    assert len(rounds) == 1 if share > 90 else len(rounds) >= 2  # one task that has all links needs no round of joins
+
+
 def test_a_repeated_id_loses_only_its_near_copies(spark):
     rows = [(5, "one two three four five six"), (2, "x y z w v"), (5, "x y z w v"), (7, None), (7, "one two three four five six")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

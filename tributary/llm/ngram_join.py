@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, left_out, release, small_batches, written
+from .common import left_out, release, small_batches, written
 from .components import connected_components
 
 WIDTH, PERCENT = 3, 90
@@ -279,7 +279,7 @@ class Classes:
 
     def sets(self, keys: DataFrame) -> DataFrame:
         """(key, n, set) of the classes in ``keys(key)``."""
-        wanted = cut(keys.select("key").distinct().join(self.known.select("key", "first"), "key"))
+        wanted = written(keys.select("key").distinct().join(self.known.select("key", "first"), "key"))
         place = F.pmod(F.xxhash64(F.col("first")), F.lit(MAP_BITS))
         bits = np.zeros(MAP_BITS // 8, np.uint8)
         maps = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
@@ -295,14 +295,14 @@ class Classes:
         rows = pairs
         for side in ("a", "b"):
             rows = rows.join(self.known.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-        near = cut(rows.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_filtered(_may_link, self.percent), "a long, b long"))
+        near = written(rows.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_filtered(_may_link, self.percent), "a long, b long"))
         if near.isEmpty():
             return near
         sets = self.sets(near.select(F.col("a").alias("key")).union(near.select("b")))
         rows = near
         for side in ("a", "b"):
             rows = rows.join(sets.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"s_{side}")), side)
-        return cut(rows.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_filtered(_similar, self.percent), "a long, b long"))
+        return written(rows.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_filtered(_similar, self.percent), "a long, b long"))
 
 
 def _may_link(n: int, m: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -433,7 +433,7 @@ def all_links(open_rows: DataFrame, classes: Classes) -> DataFrame:
 
     def searched(rows: DataFrame, columns: list[str]) -> DataFrame:
         sorted_rows = rows.repartition("cell").sortWithinPartitions("cell").select("cell", "key", "comp", "part", "n", *columns)
-        return cut(sorted_rows.mapInArrow(_cells(classes.percent, "set" in columns), "a long, b long"))
+        return written(sorted_rows.mapInArrow(_cells(classes.percent, "set" in columns), "a long, b long"))
 
     filled = dealt.join(classes.known.select("key", "n", "sketch"), "key")
     near = searched(filled, ["sketch"]).select(F.col("a").alias("key"), F.col("b").alias("cell"))
@@ -480,18 +480,18 @@ def similarity_links(documents: DataFrame, width: int, percent: int, without: Da
         degree = members.groupBy("key").agg(F.count("*").alias("degree"))
         pivots = apart.join(degree, "key").groupBy("sig").agg(F.max(F.struct("degree", "key", "component")).alias("p"))
         pairs = apart.join(pivots, "sig").filter("component != p.component").select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct()
-        links = cut(links.union(classes.verified(pairs)))
+        links = written(links.union(classes.verified(pairs)))
         apart = _open(apart.select("sig", "key"), links)
         release(documents.sparkSession)
         if not apart.isEmpty():
-            links = cut(links.union(all_links(apart, classes)))
+            links = written(links.union(all_links(apart, classes)))
     return rows.filter(there).select("doc_id", "n", "key", "hash"), links, classes
 
 
 def _components(documents: DataFrame, width: int, percent: int, without: DataFrame | None = None) -> DataFrame:
     """(doc_id, n, hash, component_id) of every row, but those that ``without`` names."""
     rows, links, classes = similarity_links(documents, width, percent, without)
-    tied = cut(_named(classes.known.select("key", "first"), links))
+    tied = written(_named(classes.known.select("key", "first"), links))
     least = tied.groupBy("component").agg(F.min("first").alias("component_id"))
     found = tied.join(least, "component").select("key", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -509,7 +509,7 @@ def rejected(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, w
     Rows that ``without(id, h)`` names belong to no component.
     """
     found = _components(documents, width, percent, without).filter("doc_id != component_id")
-    return cut(found.select(F.col("doc_id").alias("id"), F.col("hash").alias("h")).distinct())
+    return written(found.select(F.col("doc_id").alias("id"), F.col("hash").alias("h")).distinct())
 
 
 def keep_one(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

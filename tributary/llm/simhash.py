@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, left_out, small_batches
-from .components import connected_components
+from .components import connected_components, unite
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Bits from the top: (offset, width) of the five blocks.
@@ -185,28 +185,12 @@ class GrayIndex:
             near = far <= limit
             q, child, far = q[near], child[near], far[near]
             if level == 1:
-                _unite(label, q, child)
+                unite(label, q, child)
             else:
                 stack += [(level - 1, q[k : k + STEP_ROWS], child[k : k + STEP_ROWS], far[k : k + STEP_ROWS]) for k in range(0, len(q), STEP_ROWS)]
         return label
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Give the ends of each link the smaller of their labels, until every link agrees."""
-    while len(a):
-        la, lb = label[a], label[b]
-        apart = la != lb
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        if not len(a):
-            return
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            jumped = label[label]
-            if (jumped == label).all():
-                break
-            label[:] = jumped
-
-
 def _linked(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
