@@ -122,6 +122,21 @@ def test_blocking_against_plain_python(spark, mode):
     assert all(x <= y for x, y in zip(limits, limits[1:], strict=False))
 
 
+def test_candidates_over_many_buckets_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "PARTS", 3)
+    words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma"]
+    record = lambda s, i, w: (f"{s}-{i}", f"{words[w % 6]} {words[w // 6 % 6]}", f"{w % 9} {words[w % 5]} {words[w % 4]} road", "US" if w % 2 else "IN")
+    s1 = [record("S1", i, i) for i in range(60)] + [("S1-90", "", "", "US"), ("S1-91", "zz", "4", "IN")]
+    targets = [record("S2", i, 5 * i + 1) for i in range(90)] + [("S2-90", "", "", "US"), ("S2-91", "zz", "4 4", "IN"), record("S2", 3, 16)]
+    a, b = (blocking.prepare(spark.createDataFrame(x, tsv.RECORD)) for x in (s1, targets))
+    found = blocking.candidate_pairs(a, b)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_candidates(s1, targets, "multiset")
+    assert found.columns == ["s1_id", "candidate_id"]
+    plan = blocking.candidate_pairs(a, b.dropDuplicates(["entity_id"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.strip().startswith(("Project", "Generate")) and "Union" in plan and "Aggregate [s1_id" not in plan  # pairs aren't shuffled to be told apart
+
+
 def test_features_in_order(spark):
     rows = [("S1-1", "Acme Tools", "5 Main Road, Springfield", "US"), ("S2-1", "Acme Tool", "5 Main Rd, Springfield", "us"), ("S2-2", "", "", "IN")]
     prepared = blocking.prepare(spark.createDataFrame(rows, tsv.RECORD))
