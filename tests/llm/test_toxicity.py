@@ -119,3 +119,27 @@ def test_nulls_and_odd_rows(spark):
     assert left.columns == docs.columns and left.count() == 6
     assert toxicity(docs.limit(0), labels).count() == 0
     assert toxicity(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """Each kind of insult is in few rows, so a fit on some of them knows few kinds; shards are many and small."""
+    rng = random.Random(3)
+    plain = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(1200):
+        toxic = int(d % 3 == 0)
+        words = rng.choices(plain, k=30) + [f"slur{d // 3 % 60}x{'abcdefgh'[k]}" for k in range(3)] * toxic
+        rng.shuffle(words)
+        rows.append((d, " ".join(words), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    model = Model.load(train(docs, labels, rows=60))
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert ((model.scores([t for _, t, _ in held]) >= CUT) == np.array([y for *_, y in held])).mean() > 0.95
+    assert train(docs.repartition(5), labels.repartition(3), rows=60) == model.dump()
+
+
+def test_a_long_text_is_learned_from(spark):
+    docs = spark.createDataFrame([(d, "vile " * 50_000 if d % 2 else "kind " * 3) for d in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, toxic int")
+    assert Model.load(train(docs, labels)).constant < 0  # both classes were seen
