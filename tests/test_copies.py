@@ -6,7 +6,7 @@ import pytest
 from compare import rows_of, same_rows
 from pyspark.sql import functions as F
 
-from tributary.operators import rules
+from tributary.operators import blocking, rules
 from tributary.operators.blocking import PAIR
 from tributary.plans import fixtures, queries, reports
 from tributary.plans.fixtures import Linkage, part_linkage
@@ -76,3 +76,41 @@ def test_a_repeated_id_leaves_records_as_they_are(spark):
 def test_rule_3_pairs_are_in_order(spark):
     got = [(r.s1_id, r.candidate_id) for r in queries.rule_3_candidates(spark, SF).collect()]
     assert got == sorted(got)
+
+
+@pytest.mark.parametrize("mode", ["multiset", "distinct"])
+def test_token_pairs_are_neither_shuffled_nor_stored(spark, monkeypatch, mode):
+    """Pairs are made within tiles, after the only shuffle; ids that repeat, in tiles or countries, count together as in SQL."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    schema = "entity_id string, country_key string, name_set array<string>, address_tokens array<string>, address_set array<string>"
+
+    def side(s, n):
+        rows = []
+        for k in range(n):
+            tokens = rng.choices([f"t{x}" for x in range(25)], k=rng.randint(0, 6))
+            rows.append((f"S{s}-{k}", rng.choice(["a", "b", None]), sorted(set(tokens))[:1], tokens, sorted(set(tokens))))
+        return rows
+
+    def want(a, b, least, mine, theirs):
+        n = Counter()
+        for x in a:
+            for y in b:
+                if x[1] is not None and x[1] == y[1] and len(x[mine]) >= least:
+                    n[x[0], y[0]] += sum(y[theirs].count(t) for t in x[mine])
+        return sorted((*p, k) for p, k in n.items() if k >= least)
+
+    monkeypatch.setattr(blocking, "TILE_TOKENS", 40)
+    a, b = side(1, 70), side(2, 90)
+    for again in (False, True):
+        a, b = (a + [(a[0][0], "b", *a[5][2:])], b + [(b[0][0], "a", *b[7][2:])]) if again else (a, b)
+        left, right = (spark.createDataFrame(x, schema) for x in (a, b))
+        found = blocking.address_pairs(left, right, mode=mode)
+        assert sorted(tuple(r) for r in found.collect()) == want(a, b, 2, 4, 3 if mode == "multiset" else 4)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert again or "Join" not in plan[: plan.index("MapInArrow")] and "Aggregate" not in plan[: plan.index("MapInArrow")]
+        names = blocking.name_token_pairs(left, right)
+        assert sorted(tuple(r) for r in names.collect()) == [w[:2] for w in want(a, b, 1, 2, 2)]
+    assert blocking.address_pairs(left.limit(0), right, mode=mode).count() == 0 == blocking.address_pairs(left, right.limit(0), mode=mode).count()
